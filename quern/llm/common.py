@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 8 << 20
 #: Rows in one Arrow batch; long texts make large batches.
 BATCH_ROWS = 1000
+#: Bytes of a span beyond which it is hashed by itself.
+LONG = 512
 U64 = np.uint64
 _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -135,10 +138,12 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, eight bytes at a time."""
+    """A 64-bit hash of each byte span, eight bytes at a time; long spans go one by one to xxhash."""
     at, size = eights(data), ends - starts
     h = mix((size.astype(U64) + U64(seed)) * _M1 + U64(1))
-    here, k = np.arange(len(starts)), 0
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], seed)
+    here, k = np.flatnonzero(size <= LONG), 0
     while len(here):
         left = size[here] - k
         more = left > 0

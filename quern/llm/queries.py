@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, sharding, substring, suffix_dedup
+from quern.llm import bpe, packing, quality, sharding, sstable, substring, suffix_dedup
 
 MULTI_50K, BYTE_50K = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS = 40
@@ -23,6 +23,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabularies.path(MULTI_50K), vocabularies.PATTERN)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabularies.path(BYTE_50K), ids=False).drop("ids")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sstable.write(table(spark, sf_dir, "documents"), vocabularies.path(BYTE_50K))
+    return sstable.read(shards, ids=False).drop("ids")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -35,6 +48,9 @@ def queries() -> dict:
     return {
         "op2_suffix_array": op2_suffix_array,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_packing": op5_packing,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_sstable": op7_sstable,
         "op8_sharding": op8_sharding,
         "op9_substring": op9_substring,
     }
