@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, packing, quality, sharding, sstable, substring, suffix_dedup
+from quern.llm import bpe, ngram_join, packing, quality, sharding, sstable, substring, suffix_dedup
 
 MULTI_50K, BYTE_50K = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS = 40
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -46,6 +50,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_suffix_array": op2_suffix_array,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
