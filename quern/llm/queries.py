@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, ngram_join, packing, quality, sharding, sstable, substring, suffix_dedup
+from quern.llm import bpe, ngram_join, packing, quality, sharding, sstable, substring, suffix_dedup, vector_graph
 
 MULTI_50K, BYTE_50K = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS = 40
@@ -48,6 +48,10 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.link(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op7_sstable": op7_sstable,
         "op8_sharding": op8_sharding,
         "op9_substring": op9_substring,
+        "op10_vector_graph": op10_vector_graph,
     }
 
 
