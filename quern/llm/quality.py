@@ -156,6 +156,21 @@ def score(df: DataFrame, model: gbt.Model, key: str = "doc_id", text: str = "tex
     return _scan(rows, [key, "_text"], run, f"`{key}` {kind}, {', '.join(c + ' long' for c in COUNTS)}, base_failed boolean, quality double, kept boolean")
 
 
+def passed(df: DataFrame, model: gbt.Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df, with all its columns, that score() would keep. No shuffle."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                counts, x = statistics(*utf8(b.column(at)))
+                failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
+                yield b.filter(pa.array(~failed & (model.probability(x) >= threshold)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """score() of df by trees fitted on its labelled rows."""
     return score(df, train(df, labels, key, text, label, sample), key, text, threshold)

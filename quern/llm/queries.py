@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, ngram_join, packing, quality, sharding, sstable, substring, suffix_dedup, vector_graph
+from quern.llm import bpe, html_text, ngram_join, packing, quality, sharding, sstable, substring, suffix_dedup, vector_graph
 
 MULTI_50K, BYTE_50K = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS = 40
@@ -20,7 +20,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept", "kept_text", "carried")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +60,7 @@ def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_suffix_array": op2_suffix_array,
+        "op3_html_text": op3_html_text,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
         "op6_quality_rules": op6_quality_rules,
