@@ -10,27 +10,37 @@ costs one message per group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from quern.llm.common import bucket_count, one_array, small_batches, text_size, utf8
+from quern.llm.common import binary_rows, bucket_count, chunked, one_array, small_batches, split_by, text_size, utf8
 
 NO_ID = np.iinfo(np.int64).max
 MESSAGE = "bucket int, g int, blob binary"
 
 
 class Grouped:
-    """The rows of df as (g, id, text), and how many groups and buckets there are."""
+    """The rows of df as compressed blobs of (id, text) by group, and how many groups and buckets there are."""
 
-    def __init__(self, df: DataFrame, key: str, text: str):
+    def __init__(self, df: DataFrame, key: str, text: str, carry: Column | None = None):
+        """carry is a string that stays with its row."""
         small_batches(df.sparkSession)
-        self.n = bucket_count(text_size(df, text)[1])
-        self.rows = df.select(F.pmod(F.xxhash64(df[key]), F.lit(self.n)).cast("int").alias("g"), df[key].cast("long").alias("id"), df[text].alias("text"))
+        self.n = n = bucket_count(text_size(df, text)[1])
+        carry = F.lit(None).cast("string") if carry is None else carry
+        rows = df.select(F.pmod(F.xxhash64(df[key]), F.lit(n)).cast("int").alias("g"), df[key].cast("long").alias("id"), df[text].alias("text"), carry.alias("carry"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in chunked(batches):
+                yield binary_rows(list(_blobs(t, n)), "g")
+
+        self.rows = rows.mapInArrow(run, "g int, blob binary")
 
     def tell(self, f: Callable) -> DataFrame:
         """f(Group) -> messages (bucket, g, blob), for every group."""
@@ -46,47 +56,59 @@ class Grouped:
         def run(t: pa.Table, a: pa.Table) -> pa.Table:
             if t.num_rows == 0:
                 return empty if schema else messages([])
-            out = f(Group(t), list(zip(a["bucket"].to_pylist(), a["blob"].to_pylist(), strict=True)))
+            out = f(Group(t), list(zip(a["bucket"].to_pylist(), _opened(a["blob"]), strict=True)))
             return out if schema else messages(out)
 
         empty = None
         if schema:
-            empty = pa.Table.from_pylist([], to_schema(self.rows, schema))
+            empty = pa.Table.from_pylist([], to_arrow_schema(_parse_datatype_string(schema)))
         return self.rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema or MESSAGE)
 
 
-def to_schema(df: DataFrame, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def _blobs(t: pa.Table, n: int) -> Iterator[tuple[int, bytes]]:
+    """(group, its rows of t): count, ids, which ids are null, sizes of texts and of what they carry, bytes of both; compressed."""
+    ids = one_array(t["id"])
+    missing = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+    ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8")
+    data, off = utf8(t["text"])
+    more, more_off = utf8(t["carry"])
+    size, raw, pack = np.diff(off).astype("<u4"), memoryview(data), zstandard.ZstdCompressor(level=1)
+    more_size, more = np.diff(more_off).astype("<u4"), memoryview(more)
+    for g, rows in split_by(one_array(t["g"]).to_numpy(), n, np.arange(len(ids))):
+        texts = b"".join([raw[off[k] : off[k + 1]] for k in rows.tolist()] + [more[more_off[k] : more_off[k + 1]] for k in rows.tolist()])
+        yield g, pack.compress(b"".join([np.array([len(rows)], "<u4").tobytes(), ids[rows].tobytes(), missing[rows].tobytes(), size[rows].tobytes(), more_size[rows].tobytes(), texts]))
+
 
-    return to_arrow_schema(_parse_datatype_string(schema))
+def _opened(column: pa.ChunkedArray) -> list[bytes]:
+    out = zstandard.ZstdDecompressor()
+    return [out.decompress(b) for b in column.to_pylist()]
 
 
 class Group:
-    """One group's documents: ids (NO_ID where null), bytes and offsets."""
+    """One group's documents: ids (NO_ID where null), bytes and offsets, in the same order whenever it is read."""
 
     def __init__(self, t: pa.Table):
         self.g = int(t["g"][0].as_py())
-        t = in_order(t)
-        ids = one_array(t["id"])
-        self.id_column = ids
-        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.data, self.off = utf8(t["text"])
-
-
-def in_order(t: pa.Table) -> pa.Table:
-    """Rows by id, rows of one id by text: the same numbering whenever the group is read."""
-    t = t.take(pc.sort_indices(t["id"]))
-    ids = t["id"].to_pylist()
-    if len(set(ids)) < len(ids):
-        texts = t["text"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] is not None, texts[k] or ""))
-        t = t.take(pa.array(order, pa.int64()))
-    return t
+        ids, missing, size, texts, self.carried = [], [], [], [], []
+        for b in sorted(_opened(t["blob"])):
+            n = int(np.frombuffer(b, "<u4", 1)[0])
+            ids.append(np.frombuffer(b, "<i8", n, 4))
+            missing.append(np.frombuffer(b, np.uint8, n, 4 + 8 * n))
+            size.append(np.frombuffer(b, "<u4", n, 4 + 9 * n))
+            more, at = np.frombuffer(b, "<u4", n, 4 + 13 * n), 4 + 17 * n + int(size[-1].sum())
+            texts.append(np.frombuffer(b, np.uint8, at - 4 - 17 * n, 4 + 17 * n))
+            for m in more.tolist():
+                self.carried.append(b[at : at + m])
+                at += m
+        self.ids = np.concatenate(ids)
+        self.id_column = pa.array(self.ids, mask=np.concatenate(missing) > 0)
+        self.off = np.r_[0, np.cumsum(np.concatenate(size), dtype=np.int64)]
+        self.data = np.concatenate([*texts, np.zeros(8, np.uint8)])
 
 
 def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    b, g, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    pack = zstandard.ZstdCompressor(level=1)
+    b, g, blob = zip(*((b, g, pack.compress(x)) for b, g, x in rows), strict=True) if rows else ((), (), ())
     return pa.table([pa.array(b, pa.int32()), pa.array(g, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "g", "blob"])
 
 
@@ -94,7 +116,7 @@ def reduced(df: DataFrame, f: Callable) -> DataFrame:
     """f(bucket, [(g, blob)]) -> messages, once for all messages of a bucket."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["g"].to_pylist(), t["blob"].to_pylist(), strict=True))
+        rows = sorted(zip(t["g"].to_pylist(), _opened(t["blob"]), strict=True))
         return messages(f(int(t["bucket"][0].as_py()), rows))
 
     return df.groupBy("bucket").applyInArrow(run, MESSAGE)
@@ -139,8 +161,6 @@ def shared_here(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def told_numbers(g: int, hashes: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     """Messages with the distinct 64-bit hashes of a group: the bucket by the high half, the low half as uint32."""
-    from quern.llm.common import split_by
-
     h = np.unique(hashes)
     bucket = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
     return [(b, g, low.tobytes()) for b, low in split_by(bucket, n, (h & np.uint64(0xFFFFFFFF)).astype("<u4"))]

@@ -14,8 +14,8 @@ judge its windows alone. Windows of a document that share an anchor form one
    another group has too. What no second document holds ends here.
 2. Groups send the segments of the anchors left to shards, a segment that
    several of their documents hold once, for the least id; the others lose its
-   windows. An anchor that many groups hold is *wide*: its windows are sent one
-   by one, to shards by their own bytes, so that no shard gets all of it.
+   windows. An anchor with many different segments is *wide*: its windows are
+   sent one by one, to shards by their own bytes, so that no shard gets all.
 3. A shard concatenates its segments, builds the suffix array, and finds with
    permuted common prefixes the runs of suffixes that agree on `width` bytes.
    A window goes if its run has a smaller id.
@@ -28,15 +28,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from quern.llm.common import U64, eights, mix, spans_hash, split_by
-from quern.llm.grouped import NO_ID, Group, Grouped, in_answer, messages, reduced, shared_here, told_numbers
+from quern.llm.grouped import NO_ID, Group, Grouped, in_answer, reduced, shared_here
 from quern.llm.suffix import permuted_lcp, suffix_array
 
 WIDTH, GRAM = 50, 16
-#: Groups that hold an anchor, beyond which its windows are sent one by one.
-WIDE = 16
+#: Segments of an anchor, different within each group, beyond which its windows are sent one by one.
+WIDE = 1024
 #: Bytes that are looked at together when minimal hashes are sought.
 BLOCK = 1 << 20
 SEGMENT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("size", "<u4")])
@@ -117,46 +117,65 @@ def _packed(data: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
     return _SEGMENTS + np.array([len(rows)], "<u4").tobytes() + rows.tobytes() + data[take].tobytes()
 
 
+def _told_anchors(g: int, anchor: np.ndarray, content: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    """Messages with a group's distinct anchors, as uint32, and how many different segments each has, up to 255."""
+    order = np.lexsort((content, anchor))
+    a, c = anchor[order], content[order]
+    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    different = np.r_[0, np.cumsum(first | np.r_[True, c[1:] != c[:-1]])] if len(a) else np.zeros(1, np.int64)
+    count = np.minimum(different[np.r_[begin[1:], len(a)]] - different[begin], 255).astype(np.uint8) if len(a) else np.zeros(0, np.uint8)
+    a = a[begin]
+    bucket = ((a >> U64(32)) % U64(n)).astype(np.int64)
+    return [(b, g, low.tobytes() + k.tobytes()) for b, low, k in split_by(bucket, n, (a & U64(0xFFFFFFFF)).astype("<u4"), count)]
+
+
 def _wide_numbers(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Each group's anchors that another group sent too: their count, the numbers, and which are wide."""
-    sizes = [len(b) // 4 for _, b in rows]
-    both = np.concatenate([np.frombuffer(b, "<u4") for _, b in rows]).astype(U64) << U64(32)
-    both |= np.repeat(np.arange(len(rows), dtype=U64), sizes)
-    both.sort()
-    number = (both >> U64(32)).astype("<u4")
+    """Each group's anchors that another group sent too: the numbers, and which are wide. A group's own wide ones too."""
+    sizes = [len(b) // 5 for _, b in rows]
+    number = np.concatenate([np.frombuffer(b, "<u4", m) for (_, b), m in zip(rows, sizes, strict=True)])
+    count = np.concatenate([np.frombuffer(b, np.uint8, m, 4 * m) for (_, b), m in zip(rows, sizes, strict=True)]).astype(np.int64)
+    who = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(number, kind="stable")
+    number, count, who = number[order], count[order], who[order]
     begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    count = np.diff(np.r_[begin, len(number)])
-    count = np.repeat(count, count)
-    both, number, count = both[count > 1], number[count > 1], count[count > 1]
-    who = (both & U64(0xFFFFFFFF)).astype(np.int64)
-    return [
-        (bucket, rows[k][0], np.array([len(a)], "<u4").tobytes() + a.tobytes() + w.tobytes())
-        for k, a, w in split_by(who, len(rows), number, (count > WIDE).astype(np.uint8))
-    ]
+    held = np.diff(np.r_[begin, len(number)])
+    wide = np.repeat(np.add.reduceat(count, begin) > WIDE, held)
+    due = np.repeat(held > 1, held) | wide
+    return [(bucket, rows[k][0], a.tobytes() + w.tobytes()) for k, a, w in split_by(who[due], len(rows), number[due], wide[due].astype(np.uint8))]
+
 
+def _by_group(shard: int, who: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, bytes]]:
+    groups, at = np.unique(who, return_inverse=True)
+    return [(shard, int(groups[k]), x.tobytes()) for k, x in split_by(at, len(groups), rows)]
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
-    """Every row's key, n_bytes, n_removed, n_spans, kept (the bytes left) and kept_sha256.
+
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True, carry: Column | None = None) -> DataFrame:
+    """Every row's key, n_bytes, n_removed, n_spans, kept (the bytes left), kept_text, kept_sha256 and carried.
+
+    kept_text is kept without the characters that a removed span cuts in two;
+    carried is `carry`, a string column, unchanged.
 
     n_spans counts maximal removed runs. A null text is empty. Rows with the
     same id do not count against each other; a row with a null id keeps all its
     bytes and is held against none. Other columns of df are ignored, whatever
-    their names. Without `texts`, kept is null.
+    their names. Without `texts`, kept and kept_text are null.
     """
     if not 8 <= gram <= 16 or not gram < width <= gram + 63:
         raise ValueError("gram is 8 to 16 bytes, and width up to 63 bytes more")
-    docs = Grouped(df, key, text)
+    docs = Grouped(df, key, text, carry)
     n = docs.n
     shards = 4 * n
 
     def tell_anchors(group: Group):
-        return told_numbers(group.g, Segments(group, width, gram).anchor, n)
+        s = Segments(group, width, gram)
+        return _told_anchors(group.g, s.anchor, spans_hash(group.data, s.begin, s.last + width, seed=7), n)
 
     def tell_segments(group: Group, answer):
         s = Segments(group, width, gram)
-        parts = [(b, int(np.frombuffer(x[:4], "<u4")[0]), x) for b, x in answer]
-        shared = in_answer(s.anchor, [(b, x[4 : 4 + 4 * m]) for b, m, x in parts], n)
-        wide = in_answer(s.anchor, [(b, np.frombuffer(x[4 : 4 + 4 * m], "<u4")[np.frombuffer(x[4 + 4 * m :], np.uint8) > 0].tobytes()) for b, m, x in parts], n)
+        parts = [(b, np.frombuffer(x, "<u4", len(x) // 5), np.frombuffer(x, np.uint8, offset=len(x) // 5 * 4)) for b, x in answer]
+        shared = in_answer(s.anchor, [(b, a.tobytes()) for b, a, _ in parts], n)
+        wide = in_answer(s.anchor, [(b, a[w > 0].tobytes()) for b, a, w in parts], n)
         take = shared | shared_here(s.anchor, s.id)
         begin, last, doc, ids, anchor, wide = (x[take] for x in (s.begin, s.last, s.doc, s.id, s.anchor, wide))
         if not len(begin):
@@ -197,7 +216,18 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
                 who.append(np.full(m, g, np.int64))
         if not rows:
             return out
-        rows, t, who = np.concatenate(rows), np.concatenate(raw), np.concatenate(who)
+        every, t, all_who = np.concatenate(rows), np.concatenate(raw), np.concatenate(who)
+        # Of equal segments of several groups the least id's go into the array; the others lose all their windows.
+        size = every["size"].astype(np.int64)
+        ends = np.cumsum(size)
+        padded = np.concatenate([t, np.zeros(8, np.uint8)])
+        least = _least_of_equals(spans_hash(padded, ends - size, ends, seed=13), every["id"])
+        gone = every[~least]
+        notes = np.zeros(len(gone), GONE)
+        notes["doc"], notes["at"] = gone["doc"], gone["at"]
+        notes["mask"] = U64(0xFFFFFFFFFFFFFFFF) >> (U64(63) - (gone["size"] - width).astype(U64))
+        out += _by_group(shard, all_who[~least], notes)
+        rows, who, t = every[least], all_who[least], t[np.repeat(least, size)]
         size = rows["size"].astype(np.int64)
         ends = np.cumsum(size)
         sa = suffix_array(t)
@@ -218,11 +248,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
             hit = np.flatnonzero(gone)
             reply = np.zeros(len(hit), GONE)
             reply["doc"], reply["at"], reply["mask"] = rows["doc"][hit], rows["at"][hit], gone[hit]
-            groups, who = np.unique(who[hit], return_inverse=True)
-            out += [(shard, int(groups[k]), x.tobytes()) for k, x in split_by(who, len(groups), reply)]
+            out += _by_group(shard, who[hit], reply)
         return out
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string, carried string"
 
     def remove(group: Group, answer) -> pa.Table:
         n_all = int(group.off[-1])
@@ -250,8 +279,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
             kept.append(own if texts else None)
             digest.append(hashlib.sha256(own).hexdigest())
         return pa.table(
-            [group.id_column, pa.array(np.diff(group.off), pa.int64()), pa.array(count, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest)],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+            [
+                group.id_column, pa.array(np.diff(group.off), pa.int64()), pa.array(count, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()),
+                pa.array([k.decode("utf-8", "ignore") if texts else None for k in kept], pa.string()), pa.array(digest), pa.array([c.decode() for c in group.carried], pa.string()),
+            ],
+            ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", "carried"],
         )
 
     shared = reduced(docs.tell(tell_anchors), _wide_numbers)
