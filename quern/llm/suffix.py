@@ -8,7 +8,9 @@ of the string of names; the order of the LMS suffixes then induces all others.
 Inducing scans the array and places the suffix before each one it meets. Here
 one step takes a whole run of slots that are already filled: what they induce
 lies beyond the run, or it would have been an empty slot in it. A bucket of
-bytes needs a few steps, an alphabet of names about the root of its length.
+bytes needs a few steps, an alphabet of names about the root of its length. The
+recursion ends where the string of names is short or most names are unique:
+there one or two rounds of doubling settle the order.
 """
 
 from __future__ import annotations
@@ -128,11 +130,33 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
     return of[lms], int(name[-1]) + 1
 
 
+#: Length of a string of names up to which doubling ends the recursion.
+SHORT = 1 << 12
+
+
+def _doubled(t: np.ndarray) -> np.ndarray:
+    """Suffixes of t in order, by doubling the length that ranks stand for."""
+    n, step = len(t), 1
+    rank = t.astype(np.uint64) + np.uint64(1)
+    while True:
+        key = rank << np.uint64(32)
+        key[: n - step] |= rank[step:]
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        if new.all() or step * 2 >= n:
+            return order.astype(np.int32)
+        rank[order] = np.cumsum(new).astype(np.uint64)
+        step *= 2
+
+
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     """Suffixes of t in order, as int32 positions; t holds numbers below k and is shorter than 2^31."""
     n = len(t)
     if n < 2:
         return np.arange(n, dtype=np.int32)
+    if t.dtype != np.uint8 and (n <= SHORT or 2 * k > n):
+        return _doubled(t)
     is_s = _types(t)
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
