@@ -1,0 +1,19 @@
+"""Where a plan's lineage is cut."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once, by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    What several later steps read is computed once, and survives a lost
+    executor. Only where no folder is set, as in tests, a local one is.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return df.checkpoint()
