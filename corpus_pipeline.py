@@ -37,8 +37,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = suffix_dedup.dedup(docs, carry=F.to_json(F.struct(*others)))
-    kept = left.withColumn("_more", F.from_json("carried", docs.select(*others).schema))
+    left = suffix_dedup.dedup(docs, carry=F.to_json(F.struct(*others)) if others else None)
+    kept = left.withColumn("_more", F.from_json("carried", docs.select(*others).schema)) if others else left
     return kept.select(
         *[
             F.col("doc_id") if c == "doc_id" else F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col("_more")[c].alias(c)

@@ -156,12 +156,10 @@ def parse(page: str) -> list[Node]:
             continue
         attributes = m[3] or m[6] or ""
         if name in _INLINE:
-            if not attributes.endswith("/"):
-                stack.append(name)
-                links += name == "a"
+            stack.append(name)
+            links += name == "a"
             continue
         if name in ("html", "body"):
-            current.hints |= _hints(attributes)[0] & 0
             continue
         closes = _CLOSES.get(name, {"p"})
         for k in range(len(stack) - 1, 0, -1):
