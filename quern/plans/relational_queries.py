@@ -133,15 +133,15 @@ def crm_counts(spark, sf_dir):
     return crm.by_category(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type")).alias("category")))
 
 
-@query("crm_match", """WITH tag AS (SELECT p_partkey AS pattern_id, unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_size < 4), snap AS (SELECT p_partkey AS snapshot_id, split_part(p_name, ' ', 2) AS category FROM part WHERE p_size = 7 AND p_partkey % 2 = 0)
+@query("crm_match", """WITH tag AS (SELECT p_partkey AS pattern_id, unnest(string_split(p_name, ' ')) AS tag FROM part), snap AS (SELECT min(p_partkey) AS snapshot_id, split_part(p_name, ' ', 2) AS category FROM part GROUP BY split_part(p_name, ' ', 2), p_type HAVING min(p_partkey) % 2 = 0)
 SELECT DISTINCT pattern_id, snapshot_id, category FROM tag JOIN snap ON contains(lower(tag), lower(category)) OR contains(lower(category), lower(tag)) WHERE (pattern_id + snapshot_id) % 3 <> 0""")
 def crm_match(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    tags = p.where("p_size < 4").select(F.col("p_partkey").alias("pattern_id"), F.explode(F.split("p_name", " ")).alias("tag"))
-    snaps = p.where("p_size = 7").select(
-        F.col("p_partkey").alias("snapshot_id"), F.element_at(F.split("p_name", " "), 2).alias("category"), F.when(F.col("p_partkey") % 2 == 0, now()).otherwise(now() - F.expr("interval 61 days")).alias("date")
-    )
-    known = tags.select("pattern_id").distinct().join(snaps.select("snapshot_id").distinct(), (F.col("pattern_id") + F.col("snapshot_id")) % 3 == 0)
+    tags = p.select(F.col("p_partkey").alias("pattern_id"), F.explode(F.split("p_name", " ")).alias("tag"))
+    snaps = p.groupBy(F.element_at(F.split("p_name", " "), 2).alias("category"), "p_type").agg(F.min("p_partkey").alias("snapshot_id"))
+    # Odd snapshots are too old.
+    snaps = snaps.select("snapshot_id", "category", F.when(F.col("snapshot_id") % 2 == 0, now()).otherwise(now() - F.expr("interval 61 days")).alias("date"))
+    known = crm.matches(tags, snaps, spark.createDataFrame([], "pattern_id long, snapshot_id long"), now()).where((F.col("pattern_id") + F.col("snapshot_id")) % 3 == 0).select("pattern_id", "snapshot_id")
     return crm.matches(tags, snaps, known, now())
 
 
@@ -162,12 +162,13 @@ def repetition_flags(spark, sf_dir):
     return analytics.repetition(_repeating(spark, sf_dir))
 
 
-_TITLES = "titles AS (SELECT p_partkey AS id, p_name AS title, [p_brand, p_type, split_part(p_name, ' ', 1)] AS topics FROM part WHERE p_partkey < 400)"
+_TITLES = "titles AS (SELECT min(p_partkey) AS id, p_name AS title, [p_type, split_part(p_name, ' ', 1), p_name] AS topics, count(*) AS count FROM part GROUP BY p_name, p_type)"
 
 
 def _titled(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 400")
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array(F.col("p_brand"), F.col("p_type"), F.element_at(F.split("p_name", " "), 1)).alias("topics"))
+    """A pattern for every name and type of parts, with how many there are."""
+    p = table(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("count"))
+    return p.select("id", F.col("p_name").alias("title"), F.array(F.col("p_type"), F.element_at(F.split("p_name", " "), 1), F.col("p_name")).alias("topics"), "count")
 
 
 _RELATED = f"""{_TITLES}, rel AS (SELECT a.id AS a, b.id AS b FROM titles a JOIN titles b ON a.id < b.id WHERE lower(a.title) = lower(b.title) OR
@@ -179,16 +180,17 @@ def cross_pattern_flags(spark, sf_dir):
     return analytics.related(_titled(spark, sf_dir))
 
 
-@query("priority_score", _REPEAT + f""", {_RELATED}, q AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'ESCALATING' WHEN 1 THEN 'CROSS_TEAM' WHEN 2 THEN 'CROSS_PERSON' ELSE 'RECURRING' END AS t, p_size AS count, CASE WHEN p_partkey % 3 = 0 THEN 'EMERGING' ELSE 'CONFIRMED' END AS status FROM part WHERE p_partkey < 400),
+@query("priority_score", _REPEAT + f""", {_RELATED}, q AS (SELECT id, CASE id % 4 WHEN 0 THEN 'ESCALATING' WHEN 1 THEN 'CROSS_TEAM' WHEN 2 THEN 'CROSS_PERSON' ELSE 'RECURRING' END AS t, count, CASE WHEN id % 3 = 0 THEN 'EMERGING' ELSE 'CONFIRMED' END AS status FROM titles),
 f AS (SELECT pattern AS id, 'repetition' AS flag FROM repeats UNION ALL SELECT id, 'cross-pattern' FROM (SELECT a AS id FROM rel UNION SELECT b FROM rel) WHERE id NOT IN (SELECT pattern FROM repeats)),
 s AS (SELECT q.id, flag, (CASE WHEN flag = 'repetition' THEN 40 WHEN flag IS NOT NULL THEN 20 ELSE 0 END + CASE t WHEN 'ESCALATING' THEN 30 WHEN 'CROSS_TEAM' THEN 15 WHEN 'CROSS_PERSON' THEN 10 ELSE 0 END + CASE WHEN count >= 10 THEN 20 WHEN count >= 5 THEN 10 ELSE 3 END + CASE WHEN status = 'EMERGING' THEN 5 ELSE 0 END) AS score FROM q LEFT JOIN f USING (id))
 SELECT id, flag, score, CASE WHEN score >= 50 THEN 'critical' WHEN score >= 30 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def priority_score(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 400").select(
-        F.col("p_partkey").alias("id"), F.element_at(F.array(*map(F.lit, ["ESCALATING", "CROSS_TEAM", "CROSS_PERSON", "RECURRING"])), (F.col("p_partkey") % 4 + 1).cast("int")).alias("pattern_type"),
-        F.col("p_size").alias("count"), F.when(F.col("p_partkey") % 3 == 0, "EMERGING").otherwise("CONFIRMED").alias("status"),
+    titled = _titled(spark, sf_dir)
+    p = titled.select(
+        "id", F.element_at(F.array(*map(F.lit, ["ESCALATING", "CROSS_TEAM", "CROSS_PERSON", "RECURRING"])), (F.col("id") % 4 + 1).cast("int")).alias("pattern_type"),
+        "count", F.when(F.col("id") % 3 == 0, "EMERGING").otherwise("CONFIRMED").alias("status"),
     )
-    return analytics.priorities(p, analytics.flags(_titled(spark, sf_dir), _repeating(spark, sf_dir))).select("id", "flag", "score", "level")
+    return analytics.priorities(p, analytics.flags(titled, _repeating(spark, sf_dir))).select("id", "flag", "score", "level")
 
 
 @query("group_by_tag", f"""WITH {TICKETS}, {_P}, c AS (SELECT pattern, unnest(tags) AS tag, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, tag) AS k FROM c) SELECT tag, count(*) AS patterns, CAST(sum(n) AS BIGINT) AS n FROM r WHERE k = 1 GROUP BY 1""")
@@ -250,10 +252,10 @@ def loaded_edges(spark, sf_dir):
     return context.loaded_edges(r, nodes).select("from", "to", "relation")
 
 
-@query("rule_links", """WITH rel AS (SELECT 'p' || l_partkey AS f, 's' || l_suppkey AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'CONSTRAINS' ELSE 'IMPLEMENTS' END AS relation FROM lineitem WHERE l_orderkey < 300)
+@query("rule_links", """WITH rel AS (SELECT 'p' || l_partkey AS f, 's' || l_suppkey AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'CONSTRAINS' ELSE 'IMPLEMENTS' END AS relation FROM lineitem)
 SELECT id, array_to_string(list(DISTINCT rule ORDER BY rule), ',') AS rules FROM (SELECT t AS id, f AS rule FROM rel WHERE relation = 'CONSTRAINS' UNION ALL SELECT f, t FROM rel WHERE relation = 'IMPLEMENTS') GROUP BY 1""")
 def rule_links(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 300")
+    li = table(spark, sf_dir, "lineitem")
     rel = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to"), F.when(F.col("l_linenumber") % 2 == 0, "CONSTRAINS").otherwise("IMPLEMENTS").alias("relation"))
     return context.rule_links(rel).select("id", F.array_join("rules", ",").alias("rules"))
 
@@ -279,7 +281,7 @@ _QUERY = "small red ring the nd of"
 _TOKENS = "['" + "', '".join(T.query_tokens(_QUERY)) + "']"
 _FOUND = f"""{_RULES}, found AS (SELECT 'd' || doc_id AS id, 'File' AS entity_type, 'src/' || source || chr(10) || left(text, 200) || chr(10) || text AS text, CASE WHEN doc_id % 11 = 0 THEN 'Deprecated' ELSE 'active' END AS status, doc_id % 3 = 0 AS source_of_truth, (doc_id % 120)::DOUBLE AS trust_level,
  TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 60 AS INTEGER)) AS updated_at FROM documents UNION ALL SELECT id, 'Rule', id || chr(10) || title || chr(10) || body, status, source_of_truth, trust_level, updated_at FROM rules),
-deg AS (SELECT id, count(*) AS degree FROM (SELECT 'd' || (l_partkey % 200) AS id FROM lineitem WHERE l_orderkey < 100 UNION ALL SELECT 'rule' || l_suppkey FROM lineitem WHERE l_orderkey < 100) GROUP BY 1),
+deg AS (SELECT id, count(*) AS degree FROM (SELECT 'd' || (l_partkey % 200) AS id FROM lineitem UNION ALL SELECT 'rule' || l_suppkey FROM lineitem) GROUP BY 1),
 lex AS (SELECT *, len(list_intersect({_TOKENS}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2)))::DOUBLE / len({_TOKENS}) AS share, contains(lower(text), '{_QUERY}') AS phrase FROM found WHERE lower(status) <> 'deprecated'),
 lexical AS (SELECT *, CASE WHEN share > 0 THEN least(1.0, share * 0.85 + CASE WHEN phrase THEN 0.15 ELSE 0 END) ELSE 0 END AS lexical FROM lex)"""
 _SCORE = f"""SELECT id, entity_type, round(semantic * 0.4 + least(1.0, coalesce(degree, 0) / 4) * 0.25 + least(1.0, greatest(0.0, trust_level / 100)) * 0.2 + 1 / (1 + greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 864e8) / 30) * 0.15 + CASE WHEN source_of_truth THEN semantic * 0.1 ELSE 0 END, 4) AS score,
@@ -296,7 +298,7 @@ def found(spark, sf_dir):
     )
     empty = "id string, path string, title string, body string, status string, source_of_truth boolean, trust_level double, decision_date timestamp"
     chunk = "id string, file_id string, name string, kind string, signature string, body string, status string, source_of_truth boolean, trust_level double, updated_at timestamp"
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 100")
+    li = table(spark, sf_dir, "lineitem")
     rel = li.select(F.concat(F.lit("d"), (F.col("l_partkey") % 200).cast("string")).alias("from"), F.concat(F.lit("rule"), F.col("l_suppkey").cast("string")).alias("to"), F.lit("SUPERSEDES").alias("relation"), F.lit("").alias("note"))
     return context.entities(documents, rules(spark, sf_dir), spark.createDataFrame([], empty), spark.createDataFrame([], chunk), rel), rel
 
