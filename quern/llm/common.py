@@ -48,7 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
         top = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    # With its scheme and host, for readers other than Spark's.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if top.startswith("file:/") and not top.startswith("file://"):
+        top = "file://" + top[5:]
+    return f"{top}/quern-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

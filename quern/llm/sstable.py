@@ -226,7 +226,7 @@ def write(df: DataFrame, path: str, folder: str | None = None, key: str = "doc_i
             writer.close()
             out.close()
             system.move(temporary, name)
-            uri = name if "://" not in folder else folder.split("://")[0] + "://" + name
+            uri = f"{folder}/ids-{shard:06d}.sst"
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.total], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     made = written(rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"))
