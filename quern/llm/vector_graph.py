@@ -33,7 +33,7 @@ THRESHOLD, OVERLAP, RECALL = 0.98, 2, 0.9
 #: Vectors of a shard, of a block of a larger shard, of the sample for centroids, and audited queries (bounds).
 SHARD, BLOCK, SAMPLE, AUDIT = 1024, 1024, 32_768, 256
 #: Graph: vectors of a cluster, degree and slack of pruning; beam of the search; queries searched together.
-CLUSTER, DEGREE, ALPHA, BEAM, TOGETHER = 192, 24, 1.2, 16, 128
+CLUSTER, DEGREE, ALPHA, BEAM, TOGETHER = 128, 16, 1.2, 8, 128
 EDGE = 1e-12
 
 
@@ -74,8 +74,8 @@ def build(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndar
     medoids = np.unique(medoids)
     edges.append(np.array([(a, b) for a in medoids for b in medoids if a != b], np.int64).reshape(-1, 2))
     e = np.concatenate(edges)
-    e = np.unique(np.concatenate([e, e[:, ::-1]]), axis=0)
-    return np.searchsorted(e[:, 0], np.arange(n + 1)), e[:, 1], medoids
+    key = np.unique(np.concatenate([e[:, 0] * n + e[:, 1], e[:, 1] * n + e[:, 0]]))
+    return np.searchsorted(key // n, np.arange(n + 1)), key % n, medoids
 
 
 def _neighbours(starts: np.ndarray, to: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +90,14 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], th
     starts, to, medoids = graph
     n, out = len(x), []
 
-    def visit(q: np.ndarray, node: np.ndarray) -> np.ndarray:
-        key = np.unique(q * n + node)
-        q, node = key // n, key % n
-        new = ~seen[q, node]
-        q, node = q[new], node[new]
+    def visit(q: np.ndarray, node: np.ndarray) -> None:
+        fresh = np.zeros((m, n), bool)
+        fresh[q, node] = True
+        q, node = np.nonzero(fresh & ~seen)
         for k in range(0, len(q), 1 << 18):
             a, b = q[k : k + (1 << 18)], node[k : k + (1 << 18)]
             sim[a, b] = np.einsum("ij,ij->i", x[lo + a], x[b])
         seen[q, node] = True
-        return np.stack([q, node], 1)
 
     for lo in range(0, n, TOGETHER):
         m = min(TOGETHER, n - lo)
@@ -108,11 +106,9 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], th
         visit(np.r_[np.repeat(own, len(medoids)), own], np.r_[np.tile(medoids, m), lo + own])
         while True:
             open_ = np.where(seen & ~done, sim, -3.0)
-            best = open_.argmax(1)
-            floor = np.partition(sim, n - beam, axis=1)[:, n - beam] if n > beam else np.full(m, -2.0)
-            q = np.flatnonzero(open_[own, best] >= np.maximum(floor, -2.0))
-            reach = np.argwhere(open_ >= threshold)
-            q, node = (np.r_[q, reach[:, 0]], np.r_[best[q], reach[:, 1]]) if len(q) or len(reach) else (q, q)
+            floor = np.partition(sim, n - beam, axis=1)[:, n - beam, None] if n > beam else np.full((m, 1), -2.0)
+            # All of the beam that is open, and all that is in range.
+            q, node = np.nonzero((open_ > -3.0) & ((open_ >= floor) | (open_ >= threshold)))
             if not len(q):
                 break
             done[q, node] = True
@@ -122,7 +118,8 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], th
         hit[:, 0] += lo
         out.append(hit[hit[:, 0] != hit[:, 1]])
     pairs = np.sort(np.concatenate(out), axis=1)
-    return np.unique(pairs, axis=0)
+    key = np.unique(pairs[:, 0] * n + pairs[:, 1])
+    return np.stack([key // n, key % n], 1)
 
 
 def centroids(sample: dict[str, np.ndarray], share: float, shard: int = SHARD, rounds: int = 6) -> dict[str, np.ndarray]:
