@@ -26,6 +26,8 @@ from quern.llm.common import chunked, small_batches
 from quern.llm.tokens import encoder
 
 CAPACITY, END = 2048, 1
+#: Bytes of text that are packed together.
+PACKED_BYTES = 12 << 20
 #: Padding of a window, as a share of the capacity, beyond which it is cut to powers of two.
 SLACK = 1 / 128
 
@@ -122,7 +124,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, base = encoder(path), TaskContext.get().partitionId(), 0
-        for t in chunked(batches):
+        for t in chunked(batches, PACKED_BYTES):
             keys = t.column(0).combine_chunks()
             found = own.encode(t.column(1).to_pylist())
             n = np.array([len(x) + 1 for x in found], np.int64)

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept, and the longest piece that is kept.
-KEPT, LONGEST = 400_000, 48
+KEPT, LONGEST = 800_000, 48
 _PIECE = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _JOINS = re.compile("[\t-\r ].*[^\t-\r ]", re.DOTALL)
