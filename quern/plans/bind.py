@@ -34,9 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are cores; else df itself, without a shuffle.
+
+    Text costs far more to analyse than to move, and a small file of one row
+    group is one partition.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over documents: id, text, person, org, batch, tags, date, ordinal, workspace."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     date = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("doc_id") % 60) * F.lit(86_400_000_000))
     d = d.select(
         F.col("doc_id").alias("id"), "text", F.concat(F.lit("p"), (F.col("doc_id") % 12).cast("string")).alias("person"), F.col("source").alias("org"), F.col("source").alias("batch"),

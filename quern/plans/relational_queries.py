@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import analytics, context, crm, evaluate, relational
-from quern.plans.bind import NOW, TICKETS, now, query, table, tickets
+from quern.plans.bind import NOW, TICKETS, now, query, spread, table, tickets
 from quern.plans.corpus_queries import STOP
 from quern.plans.vector_queries import vectors
 from quern.functions import fixed
@@ -290,7 +290,7 @@ _SCORE = f"""SELECT id, entity_type, round(semantic * 0.4 + least(1.0, coalesce(
 
 def found(spark, sf_dir):
     """Search entities over documents (files) and parts (rules), and what relates them."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     documents = d.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("src/"), "source").alias("path"), F.lit("DOC").alias("kind"), F.substring("text", 1, 200).alias("excerpt"), F.col("text").alias("content"),
         F.when(F.col("doc_id") % 11 == 0, "Deprecated").otherwise("active").alias("status"), (F.col("doc_id") % 3 == 0).alias("source_of_truth"), (F.col("doc_id") % 120).cast("double").alias("trust_level"),
