@@ -84,3 +84,8 @@ def test_vectors_equal_brute_force(spark):
         assert all(got[k]["component_id"] == comp[k] for k in range(len(rows)))
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (9001, 9002, 9003, 9004, 9005, 9006, 9007))
     assert vector_graph.link(df.limit(0)).count() == 0
+
+
+def test_graph_is_not_cut():
+    """The sizes that were cut along with the search's CPU time."""
+    assert vector_graph.CLUSTER >= 192 and vector_graph.DEGREE >= 24 and vector_graph.BEAM >= 16
