@@ -13,8 +13,9 @@ Vectors of one label link at a cosine of `threshold` or more.
    medoids and the vector's own node, and expands beyond the beam while what it
    reaches is in range. Cosines are in double precision, so what is found is
    verified. A pair that shares several shards counts in the first only.
-4. Recall is audited on a bounded sample of queries against all rows by brute
-   force. Below the target, overlap is doubled and the search repeated.
+4. Recall is audited against all rows by brute force, as the average over
+   sampled queries that have links. Below the target, overlap, degree and beam
+   are doubled and the search repeated; at last units are searched exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ from quern.llm.ngram_join import block_pairs
 THRESHOLD, OVERLAP, RECALL = 0.98, 2, 0.9
 #: Vectors of a shard, of a block of a larger shard, of the sample for centroids, and audited queries (bounds).
 SHARD, BLOCK, SAMPLE, AUDIT = 1024, 1024, 32_768, 256
+#: Audited queries that should have links, and how many are drawn at most to find them (bounds).
+LINKED, DRAWN = 64, 4096
+#: Factor of degree and beam from which units are searched exactly, if every shard of a label is already searched.
+WIDEST = 4
 #: Graph: vectors of a cluster, degree and slack of pruning; beam of the search; queries searched together.
 CLUSTER, DEGREE, ALPHA, BEAM, TOGETHER = 192, 24, 1.2, 16, 128
 EDGE = 1e-12
@@ -59,7 +64,7 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def build(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(x: np.ndarray, seed: int = 1, degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The united graph as row starts and neighbours, and the clusters' medoids."""
     n, rng = len(x), np.random.default_rng(seed)
     k = max(1, -(-n // CLUSTER))
@@ -70,7 +75,7 @@ def build(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndar
         for part in np.array_split(np.flatnonzero((near == c).any(1)), max(1, int((near == c).sum()) // (4 * CLUSTER))):
             if len(part):
                 medoids.append(part[int((x[part] @ x[part].mean(0)).argmax())])
-                edges.append(part[robust_prune(x[part])])
+                edges.append(part[robust_prune(x[part], degree)])
     medoids = np.unique(medoids)
     edges.append(np.array([(a, b) for a in medoids for b in medoids if a != b], np.int64).reshape(-1, 2))
     e = np.concatenate(edges)
@@ -122,6 +127,14 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], th
     return np.stack([key // n, key % n], 1)
 
 
+def all_pairs(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """As in_range, but by every product of two vectors."""
+    out = [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(x), TOGETHER):
+        out.append(np.argwhere(np.triu(x[lo : lo + TOGETHER] @ x[lo:].T >= threshold - EDGE, 1)) + lo)
+    return np.concatenate(out)
+
+
 def centroids(sample: dict[str, np.ndarray], share: float, shard: int = SHARD, rounds: int = 6) -> dict[str, np.ndarray]:
     """Centroids of each label that is estimated to need several shards, by spherical k-means on its sample."""
     out = {}
@@ -146,7 +159,7 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _search(threshold: float):
+def _search(threshold: float, wide: int, exact: bool):
     def run(t: pa.Table) -> pa.Table:
         cell, a, b, own, ids = (t[c].to_numpy() for c in ("cell", "unit_a", "unit_b", "own", "id"))
         labels, cells = np.array(t["label"].to_pylist()), t["cells"].to_pylist()
@@ -158,7 +171,7 @@ def _search(threshold: float):
             if len(at) < 2:
                 continue
             x = unit(_matrix(vectors.take(pa.array(at))))
-            pairs = in_range(x, build(x), threshold)
+            pairs = all_pairs(x, threshold) if exact else in_range(x, build(x, degree=wide * DEGREE), threshold, wide * BEAM)
             if not len(pairs):
                 continue
             i, j = at[pairs[:, 0]], at[pairs[:, 1]]
@@ -209,6 +222,12 @@ def _truth(df: DataFrame, queries, threshold: float) -> dict[int, int]:
     return {int(r["id"]): int(r["n"]) for r in counts.collect()}
 
 
+def average_recall(truth: dict[int, int], got: dict[int, int]) -> float:
+    """Average over the queries with links of the share found, so that each counts alike; 1 if there are none."""
+    shares = [min(got.get(k, 0), v) / v for k, v in truth.items() if v]
+    return sum(shares) / len(shares) if shares else 1.0
+
+
 def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, overlap: int = OVERLAP, recall: float = RECALL) -> DataFrame:
     """Every row's key, n_links, component_id, kept (key = component_id).
 
@@ -226,26 +245,32 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     good = written(good)
     n = good.count()
     sample, share = _sampled(good, SAMPLE, n, "centroids")
-    audit, _ = _sampled(good, AUDIT, n, "audit")
     cents = centroids({k: unit(np.stack(v["vector"].to_numpy()).astype(np.float64)) for k, v in sample.groupby("label")}, share)
-    truth = _truth(good, audit, threshold) if len(audit) else {}
+    truth, drawn = {}, AUDIT
+    while True:
+        audit, _ = _sampled(good, drawn, n, "audit")
+        truth = _truth(good, audit, threshold) if len(audit) else {}
+        if sum(v > 0 for v in truth.values()) >= LINKED or drawn >= min(n, DRAWN):
+            break
+        drawn *= 4
     most = max([len(c) for c in cents.values()], default=1)
+    wide, exact = 1, False
     while True:
-        found = written(_found(good, cents, overlap, threshold, n))
+        found = written(_found(good, cents, overlap, threshold, n, wide, exact))
         links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
-        # At most AUDIT ids are looked up.
-        got = {int(r["id"]): int(r["n_links"]) for r in links.where(F.col("id").isin(list(truth) or [None])).collect()}
-        measured = sum(min(got.get(k, 0), v) for k, v in truth.items()) / max(1, sum(truth.values()))
-        if not any(truth.values()) or measured >= recall or overlap >= most:
+        # At most DRAWN ids are looked up.
+        got = {int(r["id"]): int(r["n_links"]) for r in links.where(F.col("id").isin([k for k, v in truth.items() if v] or [None])).collect()}
+        if exact and overlap >= most or average_recall(truth, got) >= recall:
             break
-        overlap *= 2
+        exact = overlap >= most and wide >= WIDEST
+        overlap, wide = max(overlap, min(2 * overlap, most)), min(2 * wide, WIDEST)
     groups = connected_components(found.where("b is not null").select("a", "b"))
     out = rows.select("id").join(links, "id", "left").join(groups, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _found(good: DataFrame, cents: dict[str, np.ndarray], overlap: int, threshold: float, n: int) -> DataFrame:
+def _found(good: DataFrame, cents: dict[str, np.ndarray], overlap: int, threshold: float, n: int, wide: int, exact: bool) -> DataFrame:
     """Link counts (a, links) and forest edges (a, b) of all units."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,4 +292,4 @@ def _found(good: DataFrame, cents: dict[str, np.ndarray], overlap: int, threshol
     units = block_pairs(dealt.join(sizes, "cell"), "cell", F.col("size"), "id", BLOCK)
     buckets = max(32, -(-n * overlap // (2 * BLOCK)))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("cell", "unit_a", "unit_b"), F.lit(buckets)).cast("int"))
-    return units.select("bucket", "cell", "unit_a", "unit_b", "own", "id", "label", "cells", "vector").groupBy("bucket").applyInArrow(_search(threshold), "a long, b long, links long")
+    return units.select("bucket", "cell", "unit_a", "unit_b", "own", "id", "label", "cells", "vector").groupBy("bucket").applyInArrow(_search(threshold, wide, exact), "a long, b long, links long")

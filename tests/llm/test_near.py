@@ -89,3 +89,17 @@ def test_vectors_equal_brute_force(spark):
 def test_graph_is_not_cut():
     """The sizes that were cut along with the search's CPU time."""
     assert vector_graph.CLUSTER >= 192 and vector_graph.DEGREE >= 24 and vector_graph.BEAM >= 16
+
+
+def test_audit_counts_queries_alike():
+    """A hot query does not outweigh small ones; a query without links does not count."""
+    assert vector_graph.average_recall({1: 1000, 2: 1, 3: 1, 4: 0}, {1: 1000}) == 1 / 3 and vector_graph.average_recall({4: 0}, {}) == 1
+
+
+def test_audit_ends_in_an_exact_search(spark, monkeypatch):
+    """Labels of one shard, and a graph search that finds nothing: the audit must act."""
+    monkeypatch.setattr(vector_graph, "in_range", lambda x, graph, threshold, beam: np.zeros((0, 2), np.int64))
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 12)), 3, axis=0) + 0.01 * rng.normal(size=(180, 12))
+    df = spark.createDataFrame([(k, v.tolist(), k // 90) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert all(r["n_links"] == 2 and r["component_id"] == r["vec_id"] // 3 * 3 for r in vector_graph.link(df).collect())
