@@ -9,8 +9,8 @@ similarity of 0.8 or more.
    prefixes are shortened from `deepest` values on, until a pair of exactly
    the threshold is predicted to share a prefix in some tree with the target
    recall: 1 - (1 - t^k)^trees. Sorted by that prefix, classes fall into groups.
-3. A group links its members if their signatures agree in 60 % of the places,
-   which a pair of the threshold fails with a chance of 1e-7; it hands on a
+3. A group links its members if their signatures agree in a share of the places
+   that a pair of the threshold reaches but for a chance of 1e-7; it hands on a
    spanning forest of these links, not the pairs. Components of the forests
    hold every candidate pair, and little else.
 4. Components are verified exactly: all pairs of a component, as products of
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import U64, bucket_count, checkpointed, connected_components, mix, small_batches, spans_hash, utf8, windows_hash, words, written
 
 WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
-#: Share of equal places below which two signatures are no candidates.
-LOOSE = 0.6
+#: Standard deviations below the threshold from which on two signatures are no candidates.
+LOOSE = 5.5
 #: Members of a prefix group, and of a component, that one unit takes from each of two blocks.
 GROUP_BLOCK, BLOCK = 2048, 256
 
@@ -48,6 +48,11 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float
     return depth
 
 
+def least_agreement(threshold: float, places: int) -> float:
+    """The share of equal places that a pair of exactly the threshold reaches but for a chance of about 1e-7."""
+    return max(0.0, threshold - LOOSE * (threshold * (1 - threshold) / places) ** 0.5)
+
+
 def shingles(data: np.ndarray, off: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams; of all its words where it has fewer than n."""
     starts, ends, woff = words(data, off)
@@ -136,40 +141,43 @@ def spanning(linked: np.ndarray, label: np.ndarray, rows: np.ndarray, columns: n
     return out
 
 
-def _candidates(t: pa.Table) -> pa.Table:
-    """Forests of the groups in a bucket: rows key, unit_a, unit_b, own, rep, sig."""
-    key, a, b = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b"))
-    order = np.lexsort((t["rep"].to_numpy(), b, a, key))
-    key, a, b = key[order], a[order], b[order]
-    rep, own = t["rep"].to_numpy()[order], t["own"].to_numpy()[order]
-    data, off = utf8(t["sig"])
-    width = int(off[1] - off[0])
-    sig = data[: int(off[-1])].reshape(-1, width)[order]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    size = np.diff(np.r_[new, len(key)])
-    edges = []
-    two = new[size == 2]
-    two = two[(sig[two] == sig[two + 1]).mean(1) >= LOOSE]
-    edges.append(np.stack([rep[two], rep[two + 1]], 1))
-    for lo, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        s, at, forest, found = sig[lo : lo + n], np.arange(n), np.arange(n), []
-        cross = a[lo] != b[lo]
-        for k in range(0, n, 64):
-            agree = (s[k : k + 64, None, :] == s[None, :, :]).mean(2) >= LOOSE if n <= 512 else _agree(s[k : k + 64], s)
-            if cross:
-                agree &= own[lo + k : lo + min(k + 64, n), None] != own[None, lo : lo + n]
-            found += spanning(agree, forest, at[k : k + 64], at)
-        if found:
-            edges.append(rep[lo + np.array(found)])
-    edges = np.unique(np.concatenate(edges), axis=0)
-    return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+def _candidates(least: float):
+    def run(t: pa.Table) -> pa.Table:
+        """Forests of the groups in a bucket: rows key, unit_a, unit_b, own, rep, sig."""
+        key, a, b = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b"))
+        order = np.lexsort((t["rep"].to_numpy(), b, a, key))
+        key, a, b = key[order], a[order], b[order]
+        rep, own = t["rep"].to_numpy()[order], t["own"].to_numpy()[order]
+        data, off = utf8(t["sig"])
+        width = int(off[1] - off[0])
+        sig = data[: int(off[-1])].reshape(-1, width)[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        size = np.diff(np.r_[new, len(key)])
+        edges = []
+        two = new[size == 2]
+        two = two[(sig[two] == sig[two + 1]).mean(1) >= least]
+        edges.append(np.stack([rep[two], rep[two + 1]], 1))
+        for lo, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            s, at, forest, found = sig[lo : lo + n], np.arange(n), np.arange(n), []
+            cross = a[lo] != b[lo]
+            for k in range(0, n, 64):
+                agree = (s[k : k + 64, None, :] == s[None, :, :]).mean(2) >= least if n <= 512 else _agree(s[k : k + 64], s, least)
+                if cross:
+                    agree &= own[lo + k : lo + min(k + 64, n), None] != own[None, lo : lo + n]
+                found += spanning(agree, forest, at[k : k + 64], at)
+            if found:
+                edges.append(rep[lo + np.array(found)])
+        edges = np.unique(np.concatenate(edges), axis=0)
+        return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    return run
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _agree(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     count = np.zeros((len(x), len(y)), np.int16)
     for k in range(x.shape[1]):
         count += x[:, k, None] == y[None, :, k]
-    return count >= LOOSE * x.shape[1]
+    return count >= least * x.shape[1]
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -265,7 +273,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     units = checkpointed(units)
     n = max(32, -(-units.count() // 20_000))
     units = units.join(reps.select("rep", "sig"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int"))
-    forest = units.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
+    forest = units.groupBy("bucket").applyInArrow(_candidates(least_agreement(threshold, trees * depth)), "a long, b long")
     members = connected_components(forest).withColumnRenamed("id", "rep")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = checkpointed(members.join(sizes, "component").join(reps.select("rep", "weight", "n", "h1"), "rep"))

@@ -103,3 +103,17 @@ def test_audit_ends_in_an_exact_search(spark, monkeypatch):
     x = np.repeat(rng.normal(size=(60, 12)), 3, axis=0) + 0.01 * rng.normal(size=(180, 12))
     df = spark.createDataFrame([(k, v.tolist(), k // 90) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     assert all(r["n_links"] == 2 and r["component_id"] == r["vec_id"] // 3 * 3 for r in vector_graph.link(df).collect())
+
+
+def test_join_at_low_thresholds(spark):
+    """Separate pairs just above the threshold survive the comparison of signatures."""
+    for threshold, own in ((0.6, 31), (0.5, 47)):
+        rows = []
+        for k in range(60):
+            # 5-grams of 100 shared words and `own` words apart on either side: 96 of 96 + 2 own.
+            shared = [f"p{k}w{n}" for n in range(100)]
+            rows += [(2 * k + side, " ".join(shared + [f"p{k}s{side}n{n}" for n in range(own)])) for side in (0, 1)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        sizes = [grams(t) for _, t in rows[:2]]
+        assert threshold <= len(sizes[0] & sizes[1]) / len(sizes[0] | sizes[1]) < threshold + 0.02
+        assert all(r["n_links"] == 1 for r in ngram_join.join(df, threshold=threshold).collect())
