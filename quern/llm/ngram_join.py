@@ -3,7 +3,8 @@
 Two documents are linked if the sets of their word 5-grams have a Jaccard
 similarity of 0.8 or more.
 
-1. Documents with the same set form a *class*, whose least id stands for it.
+1. Documents with the same set form a *class*. It has a number, since its least
+   id may also be that of another class (if one id comes with two texts).
    Everything below is about classes; copies only count.
 2. Each class has a signature for each of `trees` prefix tries. Matched
    prefixes are shortened from `deepest` values on, until a pair of exactly
@@ -49,7 +50,7 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float
 
 
 def least_agreement(threshold: float, places: int) -> float:
-    """The share of equal places that a pair of exactly the threshold reaches but for a chance of about 1e-7."""
+    """The share of equal places that a pair of exactly the threshold reaches but for a chance of about 1e-7 (1e-6 at .95)."""
     return max(0.0, threshold - LOOSE * (threshold * (1 - threshold) / places) ** 0.5)
 
 
@@ -143,11 +144,11 @@ def spanning(linked: np.ndarray, label: np.ndarray, rows: np.ndarray, columns: n
 
 def _candidates(least: float):
     def run(t: pa.Table) -> pa.Table:
-        """Forests of the groups in a bucket: rows key, unit_a, unit_b, own, rep, sig."""
+        """Forests of the groups in a bucket: rows key, unit_a, unit_b, own, cls, sig."""
         key, a, b = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b"))
-        order = np.lexsort((t["rep"].to_numpy(), b, a, key))
+        order = np.lexsort((t["cls"].to_numpy(), b, a, key))
         key, a, b = key[order], a[order], b[order]
-        rep, own = t["rep"].to_numpy()[order], t["own"].to_numpy()[order]
+        cls, own = t["cls"].to_numpy()[order], t["own"].to_numpy()[order]
         data, off = utf8(t["sig"])
         width = int(off[1] - off[0])
         sig = data[: int(off[-1])].reshape(-1, width)[order]
@@ -156,7 +157,7 @@ def _candidates(least: float):
         edges = []
         two = new[size == 2]
         two = two[(sig[two] == sig[two + 1]).mean(1) >= least]
-        edges.append(np.stack([rep[two], rep[two + 1]], 1))
+        edges.append(np.stack([cls[two], cls[two + 1]], 1))
         for lo, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             s, at, forest, found = sig[lo : lo + n], np.arange(n), np.arange(n), []
             cross = a[lo] != b[lo]
@@ -166,7 +167,7 @@ def _candidates(least: float):
                     agree &= own[lo + k : lo + min(k + 64, n), None] != own[None, lo : lo + n]
                 found += spanning(agree, forest, at[k : k + 64], at)
             if found:
-                edges.append(rep[lo + np.array(found)])
+                edges.append(cls[lo + np.array(found)])
         edges = np.unique(np.concatenate(edges), axis=0)
         return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
@@ -215,8 +216,8 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: flo
 def _verifier(threshold: float, width: int):
     def run(t: pa.Table) -> pa.Table:
         comp, a, b = (t[c].to_numpy() for c in ("component", "unit_a", "unit_b"))
-        rep, own, weight, h1 = (t[c].to_numpy() for c in ("rep", "own", "weight", "h1"))
-        order = np.lexsort((rep, b, a, comp))
+        cls, own, weight, h1, h2 = (t[c].to_numpy() for c in ("cls", "own", "weight", "h1", "h2"))
+        order = np.lexsort((cls, b, a, comp))
         new = np.flatnonzero(np.r_[True, np.diff(comp[order]) != 0] | np.r_[True, np.diff(a[order]) != 0] | np.r_[True, np.diff(b[order]) != 0])
         texts, links, edges = t["text"].combine_chunks(), [], []
         for at in np.split(order, new[1:]):
@@ -224,9 +225,9 @@ def _verifier(threshold: float, width: int):
             # Of rows with one id, that whose set is the class's; once.
             good, seen = [], set()
             for k, (s, row) in enumerate(zip(sets, at.tolist(), strict=True)):
-                if rep[row] not in seen and len(s) and set_hash(s)[0] == h1[row]:
+                if cls[row] not in seen and len(s) and set_hash(s) == (h1[row], h2[row]):
                     good.append(k)
-                    seen.add(rep[row])
+                    seen.add(cls[row])
             at, sets = at[good], [sets[k] for k in good]
             if len(at) < 2:
                 continue
@@ -243,8 +244,8 @@ def _verifier(threshold: float, width: int):
             count[left] += ok @ w[right]
             if cross:
                 count[right] += ok.T @ w[left]
-            links += [(int(rep[at[k]]), int(count[k])) for k in np.flatnonzero(count)]
-            edges += [(int(rep[at[x]]), int(rep[at[y]])) for x, y in spanning(ok, np.arange(len(at)), left, right)]
+            links += [(int(cls[at[k]]), int(count[k])) for k in np.flatnonzero(count)]
+            edges += [(int(cls[at[x]]), int(cls[at[y]])) for x, y in spanning(ok, np.arange(len(at)), left, right)]
         rows = [(r, None, n) for r, n in links] + [(x, y, None) for x, y in edges]
         return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "links"])
 
@@ -264,30 +265,32 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     depth = prefix_depth(threshold, trees, recall, deepest)
     rows = written(signed(df, key, text, trees, depth))
     known = rows.where("id is not null and n > 0")
-    reps = written(
-        known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    )
-    keys = reps.select("rep", F.explode("keys").alias("key"))
+    reps = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    # The numbers hold because they are written.
+    reps = written(reps.withColumn("cls", F.monotonically_increasing_id()))
+    keys = reps.select("cls", F.explode("keys").alias("key"))
     keys = keys.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-    units = block_pairs(keys, "key", F.col("size"), "rep", GROUP_BLOCK)
+    units = block_pairs(keys, "key", F.col("size"), "cls", GROUP_BLOCK)
     units = checkpointed(units)
     n = max(32, -(-units.count() // 20_000))
-    units = units.join(reps.select("rep", "sig"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int"))
+    units = units.join(reps.select("cls", "sig"), "cls").withColumn("bucket", F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int"))
     forest = units.groupBy("bucket").applyInArrow(_candidates(least_agreement(threshold, trees * depth)), "a long, b long")
-    members = connected_components(forest).withColumnRenamed("id", "rep")
+    members = connected_components(forest).withColumnRenamed("id", "cls")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = checkpointed(members.join(sizes, "component").join(reps.select("rep", "weight", "n", "h1"), "rep"))
+    members = checkpointed(members.join(sizes, "component").join(reps.select("cls", "rep", "weight", "n", "h1", "h2"), "cls"))
     total = members.agg(F.sum(F.col("n") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
     # A shingle stands for about seven bytes of text.
     n = bucket_count(7 * int(total))
     texts = df.select(df[key].cast("long").alias("rep"), df[text].alias("text"))
-    units = block_pairs(texts.join(members, "rep"), "component", F.col("size"), "rep", BLOCK)
+    units = block_pairs(texts.join(members, "rep"), "component", F.col("size"), "cls", BLOCK)
     units = units.withColumn("bucket", F.pmod(F.xxhash64("component", "unit_a", "unit_b"), F.lit(n)).cast("int"))
-    found = written(units.select("bucket", "component", "unit_a", "unit_b", "own", "rep", "weight", "h1", "text").groupBy("bucket").applyInArrow(_verifier(threshold, width), "a long, b long, links long"))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
-    classes = reps.select("h1", "h2", "rep", "weight").join(links, "rep", "left").join(groups, "rep", "left")
-    classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = written(units.select("bucket", "component", "unit_a", "unit_b", "own", "cls", "weight", "h1", "h2", "text").groupBy("bucket").applyInArrow(_verifier(threshold, width), "a long, b long, links long"))
+    links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    groups = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "cls")
+    least = groups.join(reps.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("least"))
+    groups = groups.join(least, "component").select("cls", "least")
+    classes = reps.select("cls", "h1", "h2", "rep", "weight").join(links, "cls", "left").join(groups, "cls", "left")
+    classes = classes.select("h1", "h2", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = known.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "class_id", "n_links")
     alone = rows.where("id is null or n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(alone).select(F.col("id").alias(key), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))

@@ -117,3 +117,11 @@ def test_join_at_low_thresholds(spark):
         sizes = [grams(t) for _, t in rows[:2]]
         assert threshold <= len(sizes[0] & sizes[1]) / len(sizes[0] | sizes[1]) < threshold + 0.02
         assert all(r["n_links"] == 1 for r in ngram_join.join(df, threshold=threshold).collect())
+
+
+def test_one_id_with_two_texts(spark):
+    """An id that is the least of two classes: each keeps its own links and group."""
+    a, b = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a + ["x"])), (3, " ".join(b + ["y"])), (4, " ".join(b + ["z"]))]
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)])
