@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH by bands of a fixed depth, then exact verification.
 
 Two documents are linked if the sets of their word 5-grams have a Jaccard
 similarity of 0.8 or more.
@@ -6,10 +6,11 @@ similarity of 0.8 or more.
 1. Documents with the same set form a *class*. It has a number, since its least
    id may also be that of another class (if one id comes with two texts).
    Everything below is about classes; copies only count.
-2. Each class has a signature for each of `trees` prefix tries. Matched
-   prefixes are shortened from `deepest` values on, until a pair of exactly
-   the threshold is predicted to share a prefix in some tree with the target
-   recall: 1 - (1 - t^k)^trees. Sorted by that prefix, classes fall into groups.
+2. Each class has `trees` bands of values. Before data is read, their depth is
+   lowered from `deepest` on, until a pair of exactly the threshold is predicted
+   to share a band with the target recall: 1 - (1 - t^k)^trees. Classes with the
+   same hash of a band are a group. No other depth is matched, so this is
+   banding and not an LSH forest.
 3. A group links its members if their signatures agree in a share of the places
    that a pair of the threshold reaches but for a chance of 1e-7; it hands on a
    spanning forest of these links, not the pairs. Components of the forests
