@@ -36,6 +36,10 @@ _ATTR = re.compile(r"""\b(class|id|role|data-drop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\
 _TOKEN = re.compile(r"[a-z]+")
 _GONE = {"head", "script", "style", "noscript", "template", "svg", "iframe", "select", "button", "textarea", "object", "canvas", "audio", "video", "title"}
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg"}
+#: Tags that may stand in a head; any other ends it.
+_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "script", "style", "template", "noframes"}
+#: A slash that belongs to an attribute's unquoted value.
+_SLASH = re.compile(r"""=\s*[^\s"'>]+/>\Z""")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "acronym", "output", "ruby", "rt", "rp"}
 _TAGS = ["nav", "header", "footer", "aside", "article", "main", "section", "div", "p", "h", "li", "ul", "table", "form", "quote", "other"]
@@ -82,11 +86,31 @@ def _hints(attributes: str) -> tuple[int, bool]:
     return found, drop
 
 
+def _head_end(page: str, pos: int) -> int:
+    """Where a head whose start tag ends at pos is over: after its end tag, or before a tag that cannot stand in it."""
+    while m := _TAG.search(page, pos):
+        name, ends = (m[2] or m[5] or "").lower(), m[1] or m[4]
+        if ends and name == "head":
+            return m.end()
+        if name and (name in ("body", "html", "br") if ends else name not in _HEAD):
+            return m.start()
+        pos = m.end()
+        if name in _RAW and not ends:
+            close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, pos)
+            pos = close.end() if close else len(page) if name in ("script", "style") else pos
+    return len(page)
+
+
 def parse(page: str) -> list[Node]:
-    """Block nodes in page order, the root first; each text block is with the node that holds it."""
+    """Block nodes in page order, the root first; each text block is with the node that holds it.
+
+    Of an element that holds no text to read, but lacks its end tag, only the
+    tag is skipped; a script or style without one runs to the end of the page.
+    """
     nodes, stack = [Node("html", -1, 0, 0, False)], [0]  # stack: node numbers, or inline tags as strings
     order = pos = gone = links = 0
     current = nodes[0]
+    unclosed: set[str] = set()  # names without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal order
@@ -116,6 +140,18 @@ def parse(page: str) -> list[Node]:
                 flush()
                 current = nodes[next(x for x in reversed(stack) if not isinstance(x, str))]
 
+    def past(name: str, at: int) -> int:
+        """Where the element whose start tag ends at `at` is over; `at` itself if its end tag is missing."""
+        if name in unclosed:
+            return at
+        close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
+        if not close:
+            unclosed.add(name)
+            return at
+        # Buttons and lists of options do not nest: another start tag comes first, so this one is not closed.
+        nested = name in ("button", "select") and re.compile(rf"<{name}[\s/>]", re.IGNORECASE).search(page, at, close.start())
+        return at if nested else close.end()
+
     end = len(page)
     while pos < end:
         m = _TAG.search(page, pos)
@@ -140,14 +176,16 @@ def parse(page: str) -> list[Node]:
                     break
             continue
         current.tags += 1
+        if name == "svg" and m[0].endswith("/>") and not _SLASH.search(m[0]):
+            continue
         if name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, pos)
-            pos = close.end() if close else end
+            pos = past(name, pos)
+            if name in unclosed and name in ("script", "style"):
+                pos = end
             continue
         if name in _GONE:
             current.controls += 1
-            close = re.compile(rf"</{name}\b[^>]*>|<body\b", re.IGNORECASE).search(page, pos)
-            pos = end if not close else close.start() if close[0].lower().startswith("<body") else close.end()
+            pos = _head_end(page, pos) if name == "head" else past(name, pos)
             continue
         if name in _VOID:
             current.controls += name == "input"

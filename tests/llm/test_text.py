@@ -197,3 +197,15 @@ def test_pages_of_all_kinds(spark):
     assert got[1]["text"] == got[None]["text"] == got[7]["text"] == want and got[1]["n_chars"] == len(want)
     assert got[2]["text"] == got[3]["text"] == "" and got[5]["text"] == "a < b & c" and len(got) == len(rows)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_missing_end_tags_drop_no_text():
+    from quern.llm.html_text import parse
+
+    read = lambda page: " ".join(t for _, t in sorted(b for x in parse(page) for b in x.blocks))
+    for tag in ("<button>", "<select>", "<video src=a>", "<svg viewBox='0 0 1 1'/>", "<object>", "<noscript>"):
+        assert read(f"<body><article><p>one</p>{tag}<p>two</p><p>three</p></article>") == "one two three"
+    assert read("<article><button><p>one</p><button>x</button><p>two</p></article>") == "one two"
+    assert read("<html><head><title>t</title><script>a<b</script><article><p>one</p></article>") == "one"
+    assert read("<head><title>t</title><meta a=b></head><p>one</p><button>x</button><svg><text>x</text></svg><p>two</p>") == "one two"
+    assert read("<p>one</p><script>x = 1") == "one"
