@@ -126,14 +126,12 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capa
         own, task, base = encoder(path), TaskContext.get().partitionId(), 0
         for t in chunked(batches, PACKED_BYTES):
             keys = t.column(0).combine_chunks()
-            found = own.encode(t.column(1).to_pylist())
-            n = np.array([len(x) + 1 for x in found], np.int64)
+            flat, off = own.encode(t.column(1), end)
+            n = np.diff(off)
             pieces = pack_lengths(n, capacity)
             crc, out = [], []
             for k, start, length, _, _ in pieces.tolist():
-                part = found[k][start : start + length].astype("<u4")
-                if len(part) < length:
-                    part = np.append(part, np.array([end], "<u4"))
+                part = flat[off[k] + start : off[k] + start + length].astype("<u4")
                 crc.append(zlib.crc32(part.tobytes()))
                 out.append(part.view("<i4") if ids else None)
             item = pieces[:, 0]

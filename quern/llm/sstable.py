@@ -213,7 +213,8 @@ def write(df: DataFrame, path: str, folder: str | None = None, key: str = "doc_i
         name = f"{top}/ids-{shard:06d}.sst"
         for b in batches:
             keys, hashes = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for k, h, ids in zip(keys, hashes, own.encode(b.column(1).to_pylist()), strict=True):
+            flat, off = own.encode(b.column(1), end)
+            for k, h, lo, hi in zip(keys, hashes, off[:-1].tolist(), off[1:].tolist(), strict=True):
                 if writer is None:
                     system.create_dir(top, recursive=True)
                     temporary = f"{name}.{uuid.uuid4().hex}"
@@ -221,7 +222,7 @@ def write(df: DataFrame, path: str, folder: str | None = None, key: str = "doc_i
                     writer, before, row = Writer(out, own.dtype.itemsize), None, 0
                 row = row + 1 if before and before[0] == k else 0
                 before = (k, h)
-                writer.add(key_bytes(k, row), np.append(ids, np.array([end], own.dtype)))
+                writer.add(key_bytes(k, row), flat[lo:hi])
         if writer is not None:
             writer.close()
             out.close()

@@ -5,12 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from conftest_llm import pairs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import bpe, gbt, html_text, packing, quality, sharding, sstable
+from quern.llm import bpe, gbt, html_text, packing, quality, sharding, sstable, tokens
 from quern.llm.html_pages import pages
 from quern.llm.tokens import Encoder
 
@@ -35,7 +36,28 @@ def test_tree_is_the_library(text):
 @settings(max_examples=200, deadline=None)
 @given(TEXT)
 def test_pieces_are_the_library(library, text):
-    assert library.encode([text])[0].tolist() == library.library.encode(text, add_special_tokens=False).ids
+    flat, off = library.encode(pa.array([text, None, "x " + text, text]))
+    for k, t in enumerate([text, "", "x " + text, text]):
+        assert flat[off[k] : off[k + 1]].tolist() == library.library.encode(t, add_special_tokens=False).ids
+
+
+def test_table_tells_equal_hashes_apart(library, monkeypatch):
+    monkeypatch.setattr(tokens, "spans_hash", lambda data, a, b, seed=0: np.full(len(a), 9, np.uint64))
+    own = Encoder(BYTE)
+    flat, off = own.encode(pa.array(["one two", "one two three", "three"]), 0)
+    assert [flat[off[k] : off[k + 1]].tolist() for k in range(3)] == [[*library.library.encode(t, add_special_tokens=False).ids, 0] for t in ("one two", "one two three", "three")]
+
+
+def test_special_strings_are_the_library_s(library):
+    texts = ["foo  <|endoftext|> bar", "a<|endoftext|>b c", "<|endoftext", "|> x"]
+    flat, off = library.encode(pa.array(texts))
+    assert [flat[off[k] : off[k + 1]].tolist() for k in range(4)] == [library.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ordinary_documents_pass_the_tree():
+    tree = bpe.Tree(bpe.encoding(MULTI, P.PATTERN))
+    text = "the quick brown fox jumps, over 12 lazy dogs. " * 40
+    assert tree.encode(text).tolist() == tree.enc.encode_ordinary(text) and tree.joins == 7
 
 
 def test_bpe_rows(docs, none):
