@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from quern.llm.common import small_batches
 
 #: Characters of a leaf, and of the first window on each side of a seam.
-LEAF, WINDOW = 16384, 64
+LEAF, WINDOW = 256, 32
 _CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
 
 
@@ -57,7 +57,7 @@ class Tree:
     """Encodes and decodes with one vocabulary."""
 
     def __init__(self, enc: tiktoken.Encoding, leaf: int = LEAF, window: int = WINDOW):
-        self.enc, self.leaf_size, self.window = enc, leaf, window
+        self.enc, self.leaf_size, self.window, self.joins = enc, leaf, window, 0
         self.sizes = np.zeros(enc.n_vocab, np.int64)
         for token in enc.token_byte_values():
             self.sizes[enc.encode_single_token(token)] = len(token)
@@ -96,6 +96,7 @@ class Tree:
         if hi - lo <= self.leaf_size:
             return self.leaf(text, lo, hi)
         half = (lo + hi) // 2
+        self.joins += 1
         return self.join(text, self.tree(text, lo, half), self.tree(text, half, hi))
 
     def encode(self, text: str) -> np.ndarray:
