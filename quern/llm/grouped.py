@@ -1,8 +1,8 @@
 """Documents in groups, and messages between the groups.
 
 Both substring operators work on the same frame. Documents are dealt into
-groups of about BUCKET_BYTES of text by a hash of their id, in one shuffle that
-every later step reuses. A group tells reducers what its documents hold, each
+groups of about BUCKET_BYTES of text by a hash of their id (of their text where
+there is none), in one shuffle that every later step reuses. A group tells reducers what its documents hold, each
 value once however many of its documents hold it; a reducer compares the groups
 and answers a group, not its documents. So a passage in a third of all documents
 costs one message per group.
@@ -24,6 +24,18 @@ from quern.llm.common import binary_rows, bucket_count, chunked, one_array, smal
 
 NO_ID = np.iinfo(np.int64).max
 MESSAGE = "bucket int, g int, blob binary"
+#: Groups (or buckets) that a task reads, from which on there are more tasks than the session's setting.
+GROUPS_PER_TASK = 4
+
+
+def dealt(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df dealt by column, n values of it, over so many tasks that each reads few of them.
+
+    The session's count of shuffle partitions holds while it suffices; it does
+    not grow with the input, and n does.
+    """
+    tasks = -(-n // GROUPS_PER_TASK)
+    return df.repartition(tasks, column) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 class Grouped:
@@ -34,13 +46,14 @@ class Grouped:
         small_batches(df.sparkSession)
         self.n = n = bucket_count(text_size(df, text)[1])
         carry = F.lit(None).cast("string") if carry is None else carry
-        rows = df.select(F.pmod(F.xxhash64(df[key]), F.lit(n)).cast("int").alias("g"), df[key].cast("long").alias("id"), df[text].alias("text"), carry.alias("carry"))
+        spread = F.xxhash64(df[key], F.when(df[key].isNull(), df[text]))
+        rows = df.select(F.pmod(spread, F.lit(n)).cast("int").alias("g"), df[key].cast("long").alias("id"), df[text].alias("text"), carry.alias("carry"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in chunked(batches):
                 yield binary_rows(list(_blobs(t, n)), "g")
 
-        self.rows = rows.mapInArrow(run, "g int, blob binary")
+        self.rows = dealt(rows.mapInArrow(run, "g int, blob binary"), "g", n)
 
     def tell(self, f: Callable) -> DataFrame:
         """f(Group) -> messages (bucket, g, blob), for every group."""
@@ -62,7 +75,7 @@ class Grouped:
         empty = None
         if schema:
             empty = pa.Table.from_pylist([], to_arrow_schema(_parse_datatype_string(schema)))
-        return self.rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema or MESSAGE)
+        return self.rows.groupBy("g").cogroup(dealt(answers, "g", self.n).groupBy("g")).applyInArrow(run, schema or MESSAGE)
 
 
 def _blobs(t: pa.Table, n: int) -> Iterator[tuple[int, bytes]]:
@@ -112,14 +125,14 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(b, pa.int32()), pa.array(g, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "g", "blob"])
 
 
-def reduced(df: DataFrame, f: Callable) -> DataFrame:
-    """f(bucket, [(g, blob)]) -> messages, once for all messages of a bucket."""
+def reduced(df: DataFrame, f: Callable, n: int) -> DataFrame:
+    """f(bucket, [(g, blob)]) -> messages, once for all messages of each of n buckets."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t["g"].to_pylist(), _opened(t["blob"]), strict=True))
         return messages(f(int(t["bucket"][0].as_py()), rows))
 
-    return df.groupBy("bucket").applyInArrow(run, MESSAGE)
+    return dealt(df, "bucket", n).groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
 def shared_numbers(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:

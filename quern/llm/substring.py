@@ -147,9 +147,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
         return results(group, w, gone, texts)
 
     anchors = docs.tell(tell_anchors)
-    shared = reduced(anchors, shared_numbers)
+    shared = reduced(anchors, shared_numbers, n)
     windows = docs.hear(shared, tell_windows)
-    answers = reduced(windows, answer_windows)
+    answers = reduced(windows, answer_windows, n)
     return docs.hear(answers, remove, schema).withColumnRenamed("id", key)
 
 

@@ -6,19 +6,21 @@ documents.
 
 One suffix array over all text is out of reach, so the text is cut into shards
 by content: a window's *anchor* is the `gram` bytes in it whose hash is least,
-the leftmost of equals. Equal windows have equal anchors, so every shard can
-judge its windows alone. Windows of a document that share an anchor form one
-*segment*, the bytes they span.
+the leftmost of equals. Equal windows have equal anchors in equal places, so
+every shard can judge its windows alone. Windows of a document that share an
+anchor, and lie on the same side of it, form one *segment*, the bytes they span;
+its *key* is the anchor with the bytes that all windows of that side hold.
 
-1. Groups of documents send their anchors' hashes; reducers answer those that
+1. Groups of documents send their keys' hashes; reducers answer those that
    another group has too. What no second document holds ends here.
-2. Groups send the segments of the anchors left to shards, a segment that
+2. Groups send the segments of the keys left to shards, a segment that
    several of their documents hold once, for the least id; the others lose its
-   windows. An anchor with many different segments is *wide*: its windows are
+   windows. A key with many different segments is *wide*: its windows are
    sent one by one, to shards by their own bytes, so that no shard gets all.
-3. A shard concatenates its segments, builds the suffix array, and finds with
-   permuted common prefixes the runs of suffixes that agree on `width` bytes.
-   A window goes if its run has a smaller id.
+3. A shard does the same with equal segments of several groups. It concatenates
+   the different segments of keys that several documents hold, builds the suffix
+   array, and finds with permuted common prefixes the runs of suffixes that agree
+   on `width` bytes. A window goes if its run has a smaller id.
 4. Groups remove what is covered.
 """
 
@@ -35,20 +37,20 @@ from quern.llm.grouped import NO_ID, Group, Grouped, in_answer, reduced, shared_
 from quern.llm.suffix import permuted_lcp, suffix_array
 
 WIDTH, GRAM = 50, 16
-#: Segments of an anchor, different within each group, beyond which its windows are sent one by one.
+#: Segments of a key, different within each group, beyond which its windows are sent one by one.
 WIDE = 1024
 #: Bytes that are looked at together when minimal hashes are sought.
 BLOCK = 1 << 20
-SEGMENT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("size", "<u4")])
+SEGMENT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("key", "<u4"), ("size", "u1")])
 GONE = np.dtype([("doc", "<u4"), ("at", "<u4"), ("mask", "<u8")])
 _NOTES, _SEGMENTS = b"N", b"S"
 
 
 def _anchors(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with one anchor: first start, last start, the anchor's hash."""
+    """Of each run of windows with one anchor: first start, last start, where the anchor is."""
     n, span = int(off[-1]), width - gram + 1
     if n < width:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),)
+        return (np.zeros(0, np.int64),) * 3
     at = eights(data)
     h = np.zeros(n, U64)
     m = n - gram + 1
@@ -73,40 +75,66 @@ def _anchors(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[
     new[cut[(cut > 0) & (cut < len(where))]] = True
     begin = np.flatnonzero(new & full)
     last = np.flatnonzero(full & np.r_[new[1:] | ~full[1:], True])
-    return begin, last, h[where[begin]]
+    return begin, last, where[begin]
 
 
 class Segments:
-    """All segments of a group: document, first and last window start (group positions), anchor hash."""
+    """All segments of a group: document, first and last window start (group positions), key.
+
+    The windows of an anchor are two segments: those that hold the anchor and
+    `half` bytes or more before it, and the others, which hold over `half` bytes
+    after it. The key is the hash of the anchor with those bytes, so that
+    segments meet only if they agree on about two thirds of a window.
+    """
 
     def __init__(self, group: Group, width: int, gram: int):
-        begin, last, h = [], [], []
+        half, more = (width - gram) // 2, width - gram - (width - gram) // 2 + 1
+        begin, last, key = [], [], []
         docs, off = len(group.ids), group.off
         k = 0
         while k < docs:
             e = max(k + 1, int(np.searchsorted(off, off[k] + BLOCK, "right")) - 1)
             data = group.data[off[k] : off[e] + 8]
-            a, b, c = _anchors(data, off[k : e + 1] - off[k], width, gram)
-            begin.append(a + off[k])
-            last.append(b + off[k])
-            h.append(c)
+            a, b, p = _anchors(data, off[k : e + 1] - off[k], width, gram)
+            left, right = np.flatnonzero(a <= p - half), np.flatnonzero(b > p - half)
+            begin += [a[left] + off[k], np.maximum(a[right], p[right] - half + 1) + off[k]]
+            last += [np.minimum(b[left], p[left] - half) + off[k], b[right] + off[k]]
+            key += [spans_hash(data, p[left] - half, p[left] + gram, 3), spans_hash(data, p[right], p[right] + gram + more, 4)]
             k = e
-        self.begin, self.last, self.anchor = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, last, h))
+        self.begin, self.last, self.key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((begin, np.int64), (last, np.int64), (key, U64)))
         self.doc = np.searchsorted(off, self.begin, "right") - 1
         self.id = group.ids[self.doc]
         known = self.id != NO_ID
         if not known.all():
-            self.begin, self.last, self.anchor, self.doc, self.id = (x[known] for x in (self.begin, self.last, self.anchor, self.doc, self.id))
+            self.begin, self.last, self.key, self.doc, self.id = (x[known] for x in (self.begin, self.last, self.key, self.doc, self.id))
 
 
-def _least_of_equals(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which items have the least id of those with their hash."""
+def _least_of_equals(data: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which spans of data have the least id of those with their bytes.
+
+    Spans with the hash of a least one, but other bytes, count as least too.
+    """
+    h = spans_hash(data, begin, end, seed=7)
     order = np.lexsort((ids, h))
     hs, i = h[order], ids[order]
-    first = np.r_[True, hs[1:] != hs[:-1]]
-    begin = np.flatnonzero(first)
+    first = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+    size = np.diff(np.r_[first, len(h)])
+    least = i == np.repeat(i[first], size)
+    low = np.flatnonzero(~least)
+    a, b, n = begin[order[low]], begin[np.repeat(order[first], size)[low]], (end - begin)[order[low]]
+    other = n != (end - begin)[np.repeat(order[first], size)[low]]
+    at, here, k = eights(data), np.flatnonzero(~other), 0
+    while len(here):
+        left = n[here] - k
+        # Of the last eight bytes some may lie before k.
+        step = np.minimum(k, np.maximum(n[here] - 8, 0))
+        part = np.where(left >= 8, U64(0xFFFFFFFFFFFFFFFF), U64(0xFFFFFFFFFFFFFFFF) if k else (U64(1) << (np.minimum(left, 7) * 8).astype(U64)) - U64(1))
+        other[here] |= (at[a[here] + step] ^ at[b[here] + step]) & part != 0
+        k += 8
+        here = here[n[here] > k]
+    least[low[other]] = True
     out = np.zeros(len(h), bool)
-    out[order] = i == np.repeat(i[begin], np.diff(np.r_[begin, len(h)]))
+    out[order] = least
     return out
 
 
@@ -117,32 +145,39 @@ def _packed(data: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
     return _SEGMENTS + np.array([len(rows)], "<u4").tobytes() + rows.tobytes() + data[take].tobytes()
 
 
-def _told_anchors(g: int, anchor: np.ndarray, content: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
-    """Messages with a group's distinct anchors, as uint32, and how many different segments each has, up to 255."""
-    order = np.lexsort((content, anchor))
-    a, c = anchor[order], content[order]
-    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-    begin = np.flatnonzero(first)
-    different = np.r_[0, np.cumsum(first | np.r_[True, c[1:] != c[:-1]])] if len(a) else np.zeros(1, np.int64)
-    count = np.minimum(different[np.r_[begin[1:], len(a)]] - different[begin], 255).astype(np.uint8) if len(a) else np.zeros(0, np.uint8)
-    a = a[begin]
-    bucket = ((a >> U64(32)) % U64(n)).astype(np.int64)
-    return [(b, g, low.tobytes() + k.tobytes()) for b, low, k in split_by(bucket, n, (a & U64(0xFFFFFFFF)).astype("<u4"), count)]
-
-
-def _wide_numbers(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Each group's anchors that another group sent too: the numbers, and which are wide. A group's own wide ones too."""
-    sizes = [len(b) // 5 for _, b in rows]
-    number = np.concatenate([np.frombuffer(b, "<u4", m) for (_, b), m in zip(rows, sizes, strict=True)])
-    count = np.concatenate([np.frombuffer(b, np.uint8, m, 4 * m) for (_, b), m in zip(rows, sizes, strict=True)]).astype(np.int64)
-    who = np.repeat(np.arange(len(rows)), sizes)
-    order = np.argsort(number, kind="stable")
-    number, count, who = number[order], count[order], who[order]
-    begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    held = np.diff(np.r_[begin, len(number)])
-    wide = np.repeat(np.add.reduceat(count, begin) > WIDE, held)
-    due = np.repeat(held > 1, held) | wide
-    return [(bucket, rows[k][0], a.tobytes() + w.tobytes()) for k, a, w in split_by(who[due], len(rows), number[due], wide[due].astype(np.uint8))]
+def _told_keys(g: int, key: np.ndarray, content: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    """Messages with a group's distinct keys, as uint32, and how many different segments each has, up to 255."""
+    _, at = np.unique(mix(key ^ mix(content)), return_index=True)
+    k, count = np.unique(key[at], return_counts=True)
+    count = np.minimum(count, 255).astype(np.uint8)
+    bucket = ((k >> U64(32)) % U64(n)).astype(np.int64)
+    return [(b, g, low.tobytes() + c.tobytes()) for b, low, c in split_by(bucket, n, (k & U64(0xFFFFFFFF)).astype("<u4"), count)]
+
+
+def _wide_numbers(most: int):
+    def run(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+        """Each group's keys that another group sent too: the numbers, and which are wide. A group's own wide ones too."""
+        sizes = [len(b) // 5 for _, b in rows]
+        number = np.concatenate([np.frombuffer(b, "<u4", m) for (_, b), m in zip(rows, sizes, strict=True)])
+        count = np.concatenate([np.frombuffer(b, np.uint8, m, 4 * m) for (_, b), m in zip(rows, sizes, strict=True)]).astype(np.int64)
+        who = np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(number, kind="stable")
+        number, count, who = number[order], count[order], who[order]
+        begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        held = np.diff(np.r_[begin, len(number)])
+        wide = np.repeat(np.add.reduceat(count, begin) > most, held)
+        due = np.repeat(held > 1, held) | wide
+        return [(bucket, rows[k][0], a.tobytes() + w.tobytes()) for k, a, w in split_by(who[due], len(rows), number[due], wide[due].astype(np.uint8))]
+
+    return run
+
+
+def _notes(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All of `count` windows from each place on."""
+    out = np.zeros(len(doc), GONE)
+    out["doc"], out["at"] = doc, at
+    out["mask"] = U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - count.astype(U64))
+    return out
 
 
 def _by_group(shard: int, who: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -150,7 +185,7 @@ def _by_group(shard: int, who: np.ndarray, rows: np.ndarray) -> list[tuple[int,
     return [(shard, int(groups[k]), x.tobytes()) for k, x in split_by(at, len(groups), rows)]
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True, carry: Column | None = None) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True, carry: Column | None = None, wide: int = WIDE) -> DataFrame:
     """Every row's key, n_bytes, n_removed, n_spans, kept (the bytes left), kept_text, kept_sha256 and carried.
 
     kept_text is kept without the characters that a removed span cuts in two;
@@ -167,28 +202,28 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
     n = docs.n
     shards = 4 * n
 
-    def tell_anchors(group: Group):
+    def tell_keys(group: Group):
         s = Segments(group, width, gram)
-        return _told_anchors(group.g, s.anchor, spans_hash(group.data, s.begin, s.last + width, seed=7), n)
+        return _told_keys(group.g, s.key, spans_hash(group.data, s.begin, s.last + width, seed=7), n)
 
     def tell_segments(group: Group, answer):
         s = Segments(group, width, gram)
         parts = [(b, np.frombuffer(x, "<u4", len(x) // 5), np.frombuffer(x, np.uint8, offset=len(x) // 5 * 4)) for b, x in answer]
-        shared = in_answer(s.anchor, [(b, a.tobytes()) for b, a, _ in parts], n)
-        wide = in_answer(s.anchor, [(b, a[w > 0].tobytes()) for b, a, w in parts], n)
-        take = shared | shared_here(s.anchor, s.id)
-        begin, last, doc, ids, anchor, wide = (x[take] for x in (s.begin, s.last, s.doc, s.id, s.anchor, wide))
+        shared = in_answer(s.key, [(b, a.tobytes()) for b, a, _ in parts], n)
+        wide = in_answer(s.key, [(b, a[w > 0].tobytes()) for b, a, w in parts], n)
+        take = shared | shared_here(s.key, s.id)
+        begin, last, doc, ids, key, wide = (x[take] for x in (s.begin, s.last, s.doc, s.id, s.key, wide))
         if not len(begin):
             return []
-        # Windows of wide anchors are segments of their own.
+        # Windows of wide keys are segments of their own, and keys.
         count = np.where(wide, last - begin + 1, 1)
         each = np.repeat(np.arange(len(begin)), count)
         step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
         wide = wide[each]
         begin, last = begin[each] + step, np.where(wide, begin[each] + step, last[each])
-        doc, ids, anchor = doc[each], ids[each], anchor[each]
-        content = spans_hash(group.data, begin, last + width, seed=7)
-        least = _least_of_equals(content, ids)
+        doc, ids, key = doc[each], ids[each], key[each]
+        key[wide] = spans_hash(group.data, begin[wide], begin[wide] + width, seed=7)
+        least = _least_of_equals(group.data, begin, last + width, ids)
         out = []
         for own, part in ((False, ~least), (True, least)):
             b, e, d = begin[part], last[part], doc[part]
@@ -196,13 +231,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
             if own:
                 rows = np.zeros(len(b), SEGMENT)
                 rows["id"], rows["doc"], rows["at"], rows["size"] = ids[part], d, at, e + width - b
-                shard = (np.where(wide[part], content[part], anchor[part]) >> U64(20)) % U64(shards)
+                rows["key"] = key[part] & U64(0xFFFFFFFF)
+                shard = (key[part] >> U64(20)) % U64(shards)
                 out += [(k, group.g, _packed(group.data, r, x)) for k, r, x in split_by(shard.astype(np.int64), shards, rows, b)]
             elif len(b):
-                notes = np.zeros(len(b), GONE)
-                notes["doc"], notes["at"] = d, at
-                notes["mask"] = U64(0xFFFFFFFFFFFFFFFF) >> (U64(63) - (e - b).astype(U64))
-                out.append((group.g % shards, group.g, _NOTES + notes.tobytes()))
+                out.append((group.g % shards, group.g, _NOTES + _notes(d, at, e - b + 1).tobytes()))
         return out
 
     def judge(shard: int, sent):
@@ -216,18 +249,21 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
                 who.append(np.full(m, g, np.int64))
         if not rows:
             return out
-        every, t, all_who = np.concatenate(rows), np.concatenate(raw), np.concatenate(who)
-        # Of equal segments of several groups the least id's go into the array; the others lose all their windows.
-        size = every["size"].astype(np.int64)
+        rows, t, who = np.concatenate(rows), np.concatenate(raw), np.concatenate(who)
+        # Of equal segments of several groups the least id's go on; the others lose all their windows.
+        size = rows["size"].astype(np.int64)
         ends = np.cumsum(size)
-        padded = np.concatenate([t, np.zeros(8, np.uint8)])
-        least = _least_of_equals(spans_hash(padded, ends - size, ends, seed=13), every["id"])
-        gone = every[~least]
-        notes = np.zeros(len(gone), GONE)
-        notes["doc"], notes["at"] = gone["doc"], gone["at"]
-        notes["mask"] = U64(0xFFFFFFFFFFFFFFFF) >> (U64(63) - (gone["size"] - width).astype(U64))
-        out += _by_group(shard, all_who[~least], notes)
-        rows, who, t = every[least], all_who[least], t[np.repeat(least, size)]
+        least = _least_of_equals(np.concatenate([t, np.zeros(8, np.uint8)]), ends - size, ends, rows["id"])
+        gone = rows[~least]
+        out += _by_group(shard, who[~least], _notes(gone["doc"], gone["at"], gone["size"].astype(np.int64) - width + 1))
+        # Equal windows have equal keys: a segment that is alone with its key, or whose key has one id, meets nothing.
+        at = np.flatnonzero(least)
+        at = at[shared_here(rows["key"][at], rows["id"][at])]
+        go = np.zeros(len(rows), bool)
+        go[at] = True
+        rows, who, t = rows[go], who[go], t[np.repeat(go, size)]
+        if not len(rows):
+            return out
         size = rows["size"].astype(np.int64)
         ends = np.cumsum(size)
         sa = suffix_array(t)
@@ -286,6 +322,6 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
             ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", "carried"],
         )
 
-    shared = reduced(docs.tell(tell_anchors), _wide_numbers)
-    answers = reduced(docs.hear(shared, tell_segments), judge)
+    shared = reduced(docs.tell(tell_keys), _wide_numbers(wide), n)
+    answers = reduced(docs.hear(shared, tell_segments), judge, shards)
     return docs.hear(answers, remove, schema).withColumnRenamed("id", key)

@@ -43,20 +43,37 @@ def covered(rows, width, cut):
         yield i, w, gone
 
 
-def check_bytes(df):
+def check_bytes(df, wide=suffix_dedup.WIDE):
     want = Counter()
     for i, w, gone in covered(pairs(df), 50, lambda t: (t or "").encode()):
         left = bytes(x for x, g in zip(w, gone, strict=True) if not g)
         want[i, len(w), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(left).hexdigest()] += 1
-    got = suffix_dedup.dedup(df).collect()
+    got = suffix_dedup.dedup(df, wide=wide).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
 
 @pytest.mark.parametrize("wide", [1, 1024])
-def test_bytes_equal_brute_force(docs, monkeypatch, wide):
-    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
-    check_bytes(docs)
+def test_bytes_equal_brute_force(docs, wide):
+    check_bytes(docs, wide)
+
+
+@pytest.mark.parametrize("wide", [1, 1024])
+def test_overlapping_passages_equal_brute_force(spark, wide):
+    rng = np.random.default_rng(3)
+    words = ["alpha", "be", "gamma", "delta,", "épsilon", "z"]
+    pool = [" ".join(rng.choice(words, int(n))) for n in rng.integers(3, 60, 12)]
+    rows = [(int(rng.integers(0, 60)) if k % 9 else None, " ".join(pool[j] for j in rng.integers(0, 12, 4))) for k in range(80)]
+    check_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), wide)
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "spans_hash", lambda data, a, b, seed=0: np.zeros(len(a), np.uint64))
+    text = b"abcdefghij" * 2 + b"abcdefghiX" + b"abc" + b"abc"
+    data = np.frombuffer(text + bytes(8), np.uint8)
+    begin, end = np.array([0, 10, 20, 30, 33]), np.array([10, 20, 30, 33, 36])
+    assert suffix_dedup._least_of_equals(data, begin, end, np.array([1, 2, 3, 4, 5])).tolist() == [True, False, True, True, True]
+    assert suffix_dedup._least_of_equals(data, begin, end, np.array([3, 2, 3, 2, 1])).tolist() == [True, True, True, False, True]
 
 
 def test_words_equal_brute_force(docs):
