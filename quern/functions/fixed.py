@@ -33,6 +33,17 @@ STOP_WORDS = [
     "used", "free", "less", "more", "like", "need", "please", "want", "regarding",
 ]
 
+# Stop words of the suggestion of tags.
+TAG_STOP_WORDS = [
+    "och", "i", "att", "en", "ett", "det", "som", "på", "är", "av", "för",
+    "med", "till", "den", "har", "inte", "om", "de", "vi", "kan", "var",
+    "från", "så", "men", "alla", "ska", "här", "vid", "eller", "hur",
+    "efter", "upp", "ut", "där", "in", "sig", "över", "under", "utan",
+    "när", "vad", "mer", "man", "sin", "sina", "sedan", "mot",
+    "nu", "bara", "än", "mycket", "också", "andra", "samma", "the",
+    "and", "is", "in", "to", "of", "a", "for", "that", "with", "on",
+]
+
 # Action words; the first list is matched as words, the second as substrings.
 ACTIONS = [
     "saknas", "fel", "fungerar inte", "funkar inte", "synlighet", "inloggning", "import", "export", "uppgradering", "integration",
@@ -45,6 +56,9 @@ TITLE_ACTIONS = [
     "missing", "error", "broken", "failed", "unavailable", "felanmälan", "störning", "driftstörning",
 ]
 
+# Tags that only give a priority.
+PRIORITY_TAG = r"(?i)^[0-9]+\.\s*(Normal|Hög|Låg|Kritisk|Medium|High|Low)"
+
 # Aliases of query tokens.
 ALIASES = {"semantisk": "semantic", "sökning": "search", "sokning": "search", "regel": "rule", "regler": "rules", "relaterad": "related", "meddelande": "message", "avvikelse": "deviation"}
 

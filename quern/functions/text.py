@@ -69,27 +69,32 @@ def is_stop_word(c: Column) -> Column:
 
 
 def words_for_topics(c: Column) -> Column:
-    """The words n-grams are made of: no ticket numbers, hex codes, addresses, quotes, brackets or end marks."""
-    for gone, by in (
-        (f"(?i){EDGE}(?:IS-|INC-|REF|REQ|SESD-|CAS-|CS)[0-9]+{EDGE}", ""),
-        (f"(?i){EDGE}[0-9A-F]{{6,}}{EDGE}", ""),
-        (f"{NOT_SPACE}+@{NOT_SPACE}+", ""),
-        ("[\"'“”‘’`«»]", ""),
-        (r"[()\[\]{}<>]", " "),
-    ):
-        c = F.regexp_replace(c, gone, by)
-    words = F.transform(F.split(c, f"{SPACE}+"), lambda w: F.regexp_replace(w, "^[.,;:!?]+|[.,;:!?]+$", ""))
+    """The words n-grams are made of: no ticket numbers, hex codes, addresses, quotes, brackets or end marks.
+
+    What is rare is sought only where its literal part occurs, and no pattern
+    looks at a run of characters twice.
+    """
+    no_word, numbered = "(?<![A-Za-z0-9_])", c.rlike("[0-9]")
+    c = F.when(numbered, F.regexp_replace(c, f"(?i){no_word}(?:IS-|INC-|REF|REQ|SESD-|CAS-|CS)[0-9]++(?![A-Za-z0-9_])", "")).otherwise(c)
+    c = F.regexp_replace(c, f"{no_word}[0-9A-Fa-f]{{6,}}+(?![A-Za-z0-9_])", "")
+    c = F.when(c.contains("@"), F.regexp_replace(c, f"(?<!{NOT_SPACE}){NOT_SPACE}+@{NOT_SPACE}+", "")).otherwise(c)
+    # Brackets become spaces, quotes go.
+    c = F.translate(c, "()[]{}<>\"'“”‘’`«»", " " * 8)
+    marks = "[.,;:!?]"
+    words = F.split(F.concat(F.lit(" "), c, F.lit(" ")), f"(?:(?<!{marks}){marks}+)?{SPACE}+{marks}*+")
     return F.filter(words, lambda w: F.length(w) >= 2)
 
 
-def ngrams(words: Column) -> Column:
-    """Unigrams, then bigrams, as they come. A proper noun keeps its case; bigrams are lower case."""
-    plain = F.filter(words, lambda w: ~is_stop_word(w) & ~w.rlike("^[0-9]+$") & ~w.rlike(r"^[0-9]+\.[0-9]+"))
-    single = F.transform(plain, lambda w: F.when(is_proper_noun(w), w).otherwise(F.lower(w)))
-    low = F.transform(words, F.lower)
-    pairs = F.zip_with(low, F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.filter(pairs, lambda p: p["b"].isNotNull() & ~p["a"].isin(fixed.STOP_WORDS) & ~p["b"].isin(fixed.STOP_WORDS) & ~p["a"].rlike("^[0-9]+$") & ~p["b"].rlike("^[0-9]+$"))
-    return F.concat(single, F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))
+def topic_terms(word: Column, following: Column) -> Column:
+    """(rank, term) of the unigram and the bigram that start at a word; a proper noun keeps its case, bigrams are lower case.
+
+    A term that does not count is null, and so is a bigram without a following word.
+    """
+    low, next_ = F.lower(word), F.lower(following)
+    number = word.rlike("^[0-9]+$")
+    single = F.when(~low.isin(fixed.STOP_WORDS) & ~number & ~word.rlike(r"^[0-9]+\.[0-9]+"), F.when(is_proper_noun(word), word).otherwise(low))
+    pair = F.when(~low.isin(fixed.STOP_WORDS) & ~next_.isin(fixed.STOP_WORDS) & ~number & ~following.rlike("^[0-9]+$"), F.concat_ws(" ", low, next_))
+    return F.array(F.struct(F.lit(0).alias("rank"), single.alias("term")), F.struct(F.lit(1).alias("rank"), pair.alias("term")))
 
 
 def is_noise_token(c: Column) -> Column:
@@ -121,8 +126,8 @@ def signature(systems: Column, acts: Column) -> Column:
 
 
 def words_for_tags(c: Column, stop: list[str]) -> Column:
-    """Distinct lower-case words of more than two characters that are no stop words."""
-    words = F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\t-\r ]", ""), f"{SPACE}+")
+    """Distinct lower-case words of more than two characters that are no stop words; a mark parts words."""
+    words = F.split(F.regexp_replace(F.lower(c), f"[^\\p{{L}}\\p{{N}}{SPACE[1:-1]}]", " "), f"{SPACE}+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(stop)))
 
 

@@ -34,10 +34,42 @@ def related(patterns: DataFrame) -> DataFrame:
     return same.union(shared.where(ratio >= 0.5).select("a", "b")).distinct()
 
 
+def trends(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, n, trend) by the timestamps of each key, in two aggregates; a null one does not count.
+
+    No list of a key's dates is made, so a key may have any number of them.
+    """
+    each = df.where(F.col(at).isNotNull()).select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"))
+    ends = each.groupBy(*keys).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    both = each.alias("e").join(ends.alias("b"), [F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    both = both.select("e.*", "b._low", "b._high")
+    out = both.groupBy(*keys, "_low", "_high").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("_at") - F.col("_low")) * 2 <= F.col("_high") - F.col("_low")).alias("_early"))
+    return out.select(*keys, "n", scoring.trend_of(F.col("n"), F.col("_high") - F.col("_low"), F.col("_early")).alias("trend"))
+
+
+def crossing(patterns: DataFrame) -> DataFrame:
+    """(id) of patterns that related() pairs with some other, without the pairs of alike ones.
+
+    Patterns with one leading word, or with the same list of topics, are counted;
+    only different lists that share a topic meet.
+    """
+    p = patterns.select("id", T.leading_word(F.col("title")).alias("lead"), F.transform("topics", lambda t: F.lower(T.trim(t))).alias("topics"))
+    many = p.where(F.length("lead") > 2).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead")
+    lists = p.where(F.size("topics") > 0).groupBy("topics").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    t = lists.select("topics", "low", "high", F.explode(F.array_distinct("topics")).alias("t"))
+    met = t.alias("x").join(t.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.topics") != F.col("y.topics")))
+    met = met.select(F.col("x.topics").alias("topics"), F.col("y.topics").alias("other"), "y.low", "y.high").distinct()
+    # Of two patterns the repeats of the first one's list count: a pattern has a match after it, or before it, or both.
+    ratio = lambda a, b: F.size(F.filter(a, lambda x: F.array_contains(F.col(b), x))) / F.size(F.array_union(a, b))
+    ends = met.groupBy("topics").agg(F.max(F.when(ratio("topics", "other") >= 0.5, F.col("high"))).alias("after"), F.min(F.when(ratio("other", "topics") >= 0.5, F.col("low"))).alias("before"))
+    near = p.join(ends, "topics").where((F.col("id") < F.col("after")) | (F.col("id") > F.col("before"))).select("id")
+    alike = p.join(lists.where("n > 1"), "topics", "left_semi").select("id")
+    return p.join(many, "lead", "left_semi").select("id").union(alike).union(near).distinct()
+
+
 def flags(patterns: DataFrame, members: DataFrame) -> DataFrame:
     """(id, flag): repetition, else cross-pattern; patterns without one are left out."""
-    pairs = related(patterns)
-    cross = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    cross = crossing(patterns)
     again = repetition(members).select(F.col("pattern").alias("id"), F.lit("repetition").alias("flag"))
     return again.union(cross.join(again, "id", "left_anti").select("id", F.lit("cross-pattern").alias("flag")))
 

@@ -21,9 +21,16 @@ def reused(members: DataFrame) -> DataFrame:
 
 
 def lower_median(members: DataFrame) -> DataFrame:
-    """The size at half the list of sizes from the largest."""
-    sizes = members.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sort_array(F.collect_list("n"), asc=False).alias("s")).select(F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("median_size"))
+    """The size at half the list of sizes from the largest.
+
+    Sizes are counted first: the running count is over distinct sizes, which are
+    few (their sum is at most the count of members).
+    """
+    sizes = members.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    down = Window.orderBy(F.desc("n"))
+    upto = sizes.withColumn("upto", F.sum("k").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("k").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    place = F.floor(F.col("total") / 2) + 1
+    return upto.where((F.col("upto") >= place) & (F.col("upto") - F.col("k") < place)).select(F.col("n").alias("median_size"))
 
 
 def overlaps(members: DataFrame, least: float = 0.5) -> DataFrame:

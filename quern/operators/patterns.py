@@ -16,14 +16,20 @@ def words_of(members: DataFrame) -> DataFrame:
     return members.select("cluster", "id", F.explode(words).alias("word"))
 
 
-def common_words(members: DataFrame, share: float, k: int, below_all: bool = False) -> DataFrame:
-    """(cluster, words): the k commonest words in at least the rounded-up share of the members; ties by word."""
+def ranked_words(members: DataFrame, share: float) -> DataFrame:
+    """(cluster, size, ranked): structs (word, n) of the words in at least the rounded-up share of the members, commonest first; ties by word."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     counts = words_of(members).groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n")).join(sizes, "cluster")
-    kept = counts.where((F.col("n") >= F.ceil(F.col("size") * F.lit(share))) & (F.col("n") < F.col("size") if below_all else F.lit(True)))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "word"))
-    best = kept.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
+    kept = counts.where(F.col("n") >= F.ceil(F.col("size") * F.lit(share)))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("word"))))
+    return kept.groupBy("cluster", "size").agg(F.transform(listed, lambda x: F.struct(x["word"].alias("word"), (-x["k"]).alias("n"))).alias("ranked"))
+
+
+def common_words(members: DataFrame, share: float, k: int, below_all: bool = False) -> DataFrame:
+    """(cluster, words): the k commonest words in at least the rounded-up share of the members (and not in all); ties by word."""
+    found = ranked_words(members, share)
+    words = F.filter("ranked", lambda x: x["n"] < F.col("size")) if below_all else F.col("ranked")
+    return found.select("cluster", F.slice(F.transform(words, lambda x: x["word"]), 1, k).alias("words")).where(F.size("words") > 0)
 
 
 def action_words(members: DataFrame, share: float = 0.3) -> DataFrame:
@@ -58,6 +64,17 @@ def title(topics: Column, action: Column, common: Column, top: Column, count: Co
     )
 
 
+def evidence(members: DataFrame, texts: DataFrame, order: str, k: int = 3) -> DataFrame:
+    """(cluster, pos, id) of the first k members (cluster, id and order) of each cluster, from 1, with what texts has for their ids.
+
+    Only ids are ranked; a cluster of any size sends k rows of each task to the
+    window, and texts are joined to what is left.
+    """
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(order))
+    first = members.select("cluster", "id", order).withColumn("pos", rank).where(F.col("pos") <= k)
+    return first.select("cluster", F.col("pos").cast("long").alias("pos"), "id").join(texts, "id")
+
+
 def scored(members: DataFrame, topics: DataFrame) -> DataFrame:
     """A row per cluster of members (cluster, pos, id, text, person, org, date) with topics (cluster, topics).
 
@@ -68,7 +85,10 @@ def scored(members: DataFrame, topics: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.count_distinct(F.nullif("org", F.lit(""))).alias("orgs"), F.count_distinct(F.nullif("person", F.lit(""))).alias("persons"), listed.alias("m")
     )
     out = base.join(topics, "cluster", "left").join(action_words(members), "cluster", "left")
-    out = out.join(common_words(members, 0.4, 1_000_000).withColumnRenamed("words", "common"), "cluster", "left").join(common_words(members, 0.5, 3).withColumnRenamed("words", "top"), "cluster", "left")
+    words = ranked_words(members, 0.4)
+    half = F.filter("ranked", lambda x: x["n"] >= F.ceil(F.col("size") * F.lit(0.5)))
+    words = words.select("cluster", F.transform("ranked", lambda x: x["word"]).alias("common"), F.slice(F.transform(half, lambda x: x["word"]), 1, 3).alias("top"))
+    out = out.join(words, "cluster", "left")
     empty = F.array().cast("array<string>")
     out = out.select(
         "cluster", "count", "orgs", "persons", F.coalesce("topics", empty).alias("topics"), "action", F.coalesce("common", empty).alias("common"), F.coalesce("top", empty).alias("top"),
@@ -86,9 +106,9 @@ def scored(members: DataFrame, topics: DataFrame) -> DataFrame:
     return out.withColumn("topics", F.slice("topics", 1, 5)).drop("common", "top", "dates", "action")
 
 
-def numbered_titles(df: DataFrame, order: list[str], title_: str = "title", person: str = "person") -> DataFrame:
-    """Titles that several rows share get the person (first two) or their number (later ones)."""
-    w = Window.partitionBy(title_)
+def numbered_titles(df: DataFrame, order: list[str], title_: str = "title", person: str = "person", by: tuple[str, ...] = ()) -> DataFrame:
+    """Titles that several rows (of one `by`) share get the person (first two) or their number (later ones)."""
+    w = Window.partitionBy(*by, title_)
     k, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
     new = F.when(n == 1, F.col(title_)).when((k <= 2) & (F.col(person) != ""), F.concat(title_, F.lit(" ("), person, F.lit(")"))).otherwise(F.concat(F.col(title_), F.lit(" #"), k.cast("string")))
     return df.withColumn("_new", new).drop(title_).withColumnRenamed("_new", title_)
@@ -101,16 +121,32 @@ def centroids(members: DataFrame) -> DataFrame:
     return means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def merge_candidates(patterns: DataFrame) -> DataFrame:
-    """(i, j, similarity, overlap) of patterns (cluster, centroid, topics, size) that may merge.
+def linkage(members: DataFrame) -> DataFrame:
+    """(cluster, linkage, n): the average cosine of all n pairs of members (cluster, vector), without making pairs.
+
+    The cosines of all ordered pairs add up to the squared length of the sum of
+    the unit vectors; a zero vector has none with any other.
+    """
+    v = members.where(F.col("vector").isNotNull()).withColumn("_size", F.sqrt(V.dot(F.col("vector"), F.col("vector"))))
+    unit = v.where("_size > 0").select("cluster", F.posexplode("vector").alias("pos", "x"), "_size").withColumn("x", F.col("x").cast("double") / F.col("_size"))
+    total = unit.groupBy("cluster", "pos").agg(F.sum("x").alias("x")).groupBy("cluster").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    count = v.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("_size") > 0).alias("own"))
+    out = count.where("k > 1").join(total, "cluster", "left").withColumn("n", (F.col("k") * (F.col("k") - 1) / 2).cast("long"))
+    return out.select("cluster", ((F.coalesce("square", F.lit(0.0)) - F.col("own")) / (2 * F.col("n"))).alias("linkage"), "n")
+
+
+def merge_candidates(patterns: DataFrame, most: int = fixed.MERGE_SIZE, similarity: float = fixed.MERGE_CENTROID, overlap: float = fixed.MERGE_TOPICS) -> DataFrame:
+    """(workspace, i, j, similarity, overlap) of patterns (workspace, cluster, centroid, topics, size) of a workspace that may merge.
 
-    Overlap needs a shared topic, so pairs come from an equi-join on topics; a
-    topic that n patterns share makes n^2 / 2 pairs, and patterns are few.
+    Overlap needs a shared topic, so pairs come from an equi-join on workspace
+    and topic; a topic that n patterns share makes n^2 / 2 pairs, and a
+    workspace's patterns are few.
     """
-    p = patterns.select("cluster", "centroid", "topics", "size")
-    t = p.select("cluster", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("t"))
-    pairs = t.alias("a").join(t.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.cluster") < F.col("b.cluster"))).select(F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j")).distinct()
-    a, b = p.toDF("i", "ci", "ti", "si"), p.toDF("j", "cj", "tj", "sj")
-    out = pairs.join(a, "i").join(b, "j").where(F.col("si") + F.col("sj") <= fixed.MERGE_SIZE)
-    out = out.select("i", "j", V.cosine(F.col("ci"), F.col("cj")).alias("similarity"), V.jaccard(F.col("ti"), F.col("tj")).alias("overlap"))
-    return out.where((F.col("similarity") >= fixed.MERGE_CENTROID) & (F.col("overlap") >= fixed.MERGE_TOPICS))
+    p = patterns.select("workspace", "cluster", "centroid", "topics", "size")
+    t = p.select("workspace", "cluster", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("t"))
+    pairs = t.alias("a").join(t.alias("b"), (F.col("a.workspace") == F.col("b.workspace")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.cluster") < F.col("b.cluster")))
+    pairs = pairs.select("a.workspace", F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j")).distinct()
+    a, b = p.toDF("workspace", "i", "ci", "ti", "si"), p.toDF("workspace", "j", "cj", "tj", "sj")
+    out = pairs.join(a, ["workspace", "i"]).join(b, ["workspace", "j"]).where(F.col("si") + F.col("sj") <= most)
+    out = out.select("workspace", "i", "j", V.cosine(F.col("ci"), F.col("cj")).alias("similarity"), V.jaccard(F.col("ti"), F.col("tj")).alias("overlap"))
+    return out.where((F.col("similarity") >= similarity) & (F.col("overlap") >= overlap))

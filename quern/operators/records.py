@@ -27,23 +27,23 @@ def batch_key(session: Column, import_: Column, id_: Column) -> Column:
     return T.first_text(session, import_, id_.cast("string"))
 
 
-def with_duplicates(df: DataFrame) -> DataFrame:
-    """is_duplicate: a record before it in input order has its batch, person and normalised title.
+def with_duplicates(df: DataFrame, *by: str) -> DataFrame:
+    """is_duplicate: a record (of the same `by`) before it in input order has its batch, person and normalised title.
 
     The rows of one key may be many (copies), so the first is found by an
     aggregate with map-side combine and joined back, rather than by a window
     that sorts all rows of a key in one task.
     """
     keyed = df.withColumn("_title", T.normalize_title(F.col("text")))
-    keys = ["batch", "person", "_title"]
+    keys = [*by, "batch", "person", "_title"]
     first = keyed.groupBy(*keys).agg(F.min("ordinal").alias("_first"))
     joined = keyed.alias("a").join(first.alias("f"), [F.col(f"a.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys])
     return joined.select("a.*", (F.col("a.ordinal") > F.col("f._first")).alias("is_duplicate")).drop("_title")
 
 
-def core(df: DataFrame) -> DataFrame:
-    """Records that are neither noise nor duplicates."""
-    return with_duplicates(classified(df)).where(~F.col("is_noise") & ~F.col("is_duplicate"))
+def core(df: DataFrame, *by: str) -> DataFrame:
+    """Records that are neither noise nor duplicates (of one `by`)."""
+    return with_duplicates(classified(df), *by).where(~F.col("is_noise") & ~F.col("is_duplicate"))
 
 
 def batch_context(df: DataFrame, k: int = 5) -> DataFrame:

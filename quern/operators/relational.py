@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import text as T
 
 
@@ -84,15 +85,23 @@ def tag_patterns(df: DataFrame, least: int = 3) -> DataFrame:
     return out.where((F.col("sessions") >= least) | (F.col("persons") >= least)).withColumn("pattern_type", F.when(F.col("persons") >= least, "CROSS_PERSON").otherwise("RECURRING"))
 
 
-def suggested_tags(df: DataFrame, target: int, stop: list[str], k: int = 3) -> DataFrame:
+def suggested_tags(df: DataFrame, target: int, tags: DataFrame | None = None, stop: list[str] = fixed.TAG_STOP_WORDS, k: int = 3) -> DataFrame:
     """(tag, score): tags of other records by the words they share with the target's text; ties by tag.
 
-    The target's words are one row's; they are joined as a broadcast side.
+    Where no other record has a tag, the k most used of tags (name), or of the
+    records' own tags, come instead, with a score of 0. The target's words are
+    one row's; they are joined as a broadcast side.
     """
-    words = df.select("id", "tags", F.explode(T.words_for_tags(F.col("text"), stop)).alias("word"))
-    own = words.where(F.col("id") == target).select("word")
-    hits = words.where((F.col("id") != target) & (F.size("tags") > 0)).join(F.broadcast(own), "word").groupBy("id", "tags").agg(F.count(F.lit(1)).alias("shared"))
-    return hits.select(F.explode("tags").alias("tag"), "shared").groupBy("tag").agg(F.sum("shared").alias("score")).orderBy(F.desc("score"), "tag").limit(k)
+    others = df.where((F.col("id") != target) & (F.size("tags") > 0))
+    own = df.where(F.col("id") == target).select(F.explode(T.words_for_tags(F.col("text"), stop)).alias("word"))
+    words = others.select("id", "tags", F.explode(T.words_for_tags(F.col("text"), stop)).alias("word"))
+    hits = words.join(F.broadcast(own), "word").groupBy("id", "tags").agg(F.count(F.lit(1)).alias("shared"))
+    best = hits.select(F.explode("tags").alias("tag"), "shared").groupBy("tag").agg(F.sum("shared").alias("score")).orderBy(F.desc("score"), "tag").limit(k)
+    used = df.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    known = used if tags is None else tags.select(F.col("name").alias("tag")).distinct().join(used, "tag", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    most = known.orderBy(F.desc("n"), "tag").limit(k).select("tag", F.lit(0).cast("long").alias("score"))
+    # At most one row says whether there is anything to learn from.
+    return best.unionByName(most.join(F.broadcast(others.limit(1).select("id")), F.lit(True), "left_anti"))
 
 
 def linked_by_prefix(rows: DataFrame, records: DataFrame, size: int = 100) -> DataFrame:

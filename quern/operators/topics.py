@@ -7,28 +7,52 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as T
+from quern.operators.lineage import kept
 
 
-def term_counts(df: DataFrame) -> DataFrame:
-    """(id, term, tf, first_pos) of the text and tags of each record; unigrams come before bigrams."""
-    grams = T.ngrams(T.words_for_topics(F.concat_ws(" ", "text", F.array_join("tags", " "))))
-    terms = df.select("id", F.posexplode(grams).alias("pos", "term"))
-    return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+def words(df: DataFrame, *by: str) -> DataFrame:
+    """(by, id, w): the words of the text and tags of each record, computed once, in tasks that hold whole records.
 
+    The texts are dealt by id, so that counting terms, and ranking them, needs no
+    shuffle of the terms, which are several times as large.
+    """
+    text = T.words_for_topics(F.concat_ws(" ", "text", F.array_join("tags", " ")))
+    return kept(df.select(*by, "id", "text", "tags").repartition("id").select(*by, "id", text.alias("w")))
 
-def document_counts(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+def terms_of(found: DataFrame, *by: str) -> DataFrame:
+    """(by, id, term, tf, first_pos) of words (by, id, w); unigrams come before bigrams."""
+    following = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
+    each = found.select(*by, "id", F.posexplode(F.arrays_zip(F.col("w").alias("w"), following.alias("n"))).alias("pos", "p"))
+    each = each.select(*by, "id", "pos", F.explode(T.topic_terms(F.col("p.w"), F.col("p.n"))).alias("t")).where("t.term is not null")
+    each = each.select(*by, "id", F.col("t.term").alias("term"), (F.col("t.rank").cast("long") * (1 << 31) + F.col("pos")).alias("at"))
+    return each.groupBy(*by, "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first_pos"))
 
-def banded(terms: DataFrame, n: int, share: float = fixed.TOPIC_SHARE, least: int = 2) -> DataFrame:
-    """(term, df) of terms in at least `least` records and at most the rounded-up share of n."""
-    return document_counts(terms).where((F.col("df") >= least) & (F.col("df") <= F.ceil(F.lit(n) * F.lit(share))))
 
+def term_counts(df: DataFrame, *by: str) -> DataFrame:
+    """(by, id, term, tf, first_pos) of the text and tags of each record."""
+    return terms_of(words(df, *by), *by)
 
-def tf_idf(terms: DataFrame, n: int) -> DataFrame:
+
+def document_counts(terms: DataFrame, *by: str) -> DataFrame:
+    return terms.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def banded(terms: DataFrame, sizes: DataFrame, *by: str, share: float = fixed.TOPIC_SHARE, least: int = 2) -> DataFrame:
+    """(by, term, df, n) of terms in at least `least` records and at most the rounded-up share of n; sizes is (by, n), one row without by."""
+    counts = document_counts(terms, *by).where(F.col("df") >= least)
+    counts = counts.join(sizes, list(by)) if by else counts.join(F.broadcast(sizes), F.lit(True))
+    return counts.where(F.col("df") <= F.ceil(F.col("n") * F.lit(share)))
+
+
+def corpus_sizes(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tf_idf(terms: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
     """terms in the band with their score: tf * ln(n / df), doubled for proper nouns."""
-    score = F.col("tf") * F.log(F.lit(float(n)) / F.col("df")) * F.when(T.is_proper_noun(F.col("term")), fixed.PROPER_BOOST).otherwise(1.0)
-    return terms.join(banded(terms, n), "term").withColumn("score", score)
+    score = F.col("tf") * F.log(F.col("n").cast("double") / F.col("df")) * F.when(T.is_proper_noun(F.col("term")), fixed.PROPER_BOOST).otherwise(1.0)
+    return terms.join(banded(terms, sizes, *by), [*by, "term"]).withColumn("score", score)
 
 
 def top_topics(scored: DataFrame, k: int = fixed.TOPIC_COUNT) -> DataFrame:
@@ -40,11 +64,11 @@ def top_topics(scored: DataFrame, k: int = fixed.TOPIC_COUNT) -> DataFrame:
     return out.withColumn("signature", F.array_join(F.slice("topics", 1, 3), "|"))
 
 
-def corpus_topics(df: DataFrame) -> DataFrame:
-    """(id, topics, signature) for every record; no topics and UNKNOWN where none is in the band."""
-    n = df.count()
-    found = top_topics(tf_idf(term_counts(df), n))
-    return df.select("id").join(found, "id", "left").select("id", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.coalesce("signature", F.lit("UNKNOWN")).alias("signature"))
+def corpus_topics(df: DataFrame, *by: str) -> DataFrame:
+    """(id, topics, signature) for every record, each corpus (by) by itself; no topics and UNKNOWN where none is in the band."""
+    own = words(df, *by)
+    found = top_topics(tf_idf(terms_of(own, *by), corpus_sizes(own, *by), *by))
+    return own.select("id").join(found, "id", "left").select("id", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.coalesce("signature", F.lit("UNKNOWN")).alias("signature"))
 
 
 def cluster_scores(topics: DataFrame, members: DataFrame) -> DataFrame:

@@ -101,14 +101,14 @@ def doc_freq(spark, sf_dir):
 
 @query("df_band", f"WITH {TICKETS}, {TERMS} SELECT term, df FROM band")
 def df_band(spark, sf_dir):
-    t = tickets(spark, sf_dir)
-    return topics.banded(topics.term_counts(t), t.count())
+    w = topics.words(tickets(spark, sf_dir))
+    return topics.banded(topics.terms_of(w), topics.corpus_sizes(w)).select("term", "df")
 
 
 @query("tfidf", f"WITH {TICKETS}, {TERMS} SELECT id, term, tf, round(score, 6) AS score FROM scored")
 def tfidf(spark, sf_dir):
-    t = tickets(spark, sf_dir)
-    return topics.tf_idf(topics.term_counts(t), t.count()).select("id", "term", "tf", F.round("score", 6).alias("score"))
+    w = topics.words(tickets(spark, sf_dir))
+    return topics.tf_idf(topics.terms_of(w), topics.corpus_sizes(w)).select("id", "term", "tf", F.round("score", 6).alias("score"))
 
 
 @query("tfidf_top5", f"WITH {TICKETS}, {TERMS} SELECT t.id, coalesce(array_to_string(topics, ','), '') AS topics, CASE WHEN topics IS NULL THEN 'UNKNOWN' ELSE array_to_string(topics[1:3], '|') END AS signature FROM tickets t LEFT JOIN topics USING (id)")
@@ -179,6 +179,5 @@ def action_words(spark, sf_dir):
 SELECT cluster, pos, md5(text) AS text_md5, person FROM r WHERE pos <= 3""")
 def evidence_top3(spark, sf_dir):
     m = tickets(spark, sf_dir).withColumn("cluster", F.col("id") % 40)
-    first = F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "text", "person"))), 1, 3)
-    out = m.groupBy("cluster").agg(first.alias("e")).select("cluster", F.posexplode("e").alias("pos", "e"))
-    return out.select("cluster", (F.col("pos") + 1).cast("long").alias("pos"), F.md5(F.col("e.text").cast("binary")).alias("text_md5"), "e.person")
+    out = patterns.evidence(m.select("cluster", "id", "ordinal"), m.select("id", "text", "person"), "ordinal")
+    return out.select("cluster", "pos", F.md5(F.col("text").cast("binary")).alias("text_md5"), "person")

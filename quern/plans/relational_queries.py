@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import analytics, context, crm, evaluate, relational
 from quern.plans.bind import NOW, TICKETS, now, query, spread, table, tickets
-from quern.plans.corpus_queries import STOP
+from quern.plans.corpus_queries import _list
 from quern.plans.vector_queries import vectors
 from quern.functions import fixed
 
@@ -25,11 +25,22 @@ def tag_patterns(spark, sf_dir):
     return relational.tag_patterns(tickets(spark, sf_dir).withColumn("session", F.when(F.col("id") % 4 == 0, F.col("batch"))))
 
 
-@query("suggest_tags", f"""WITH {TICKETS}, w AS (SELECT DISTINCT id, tags, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\t-\\r ]', '', 'g'), '\\s+')) AS word FROM tickets),
-k AS (SELECT * FROM w WHERE length(word) > 2 AND NOT list_contains({STOP}, word)), h AS (SELECT id, any_value(tags) AS tags, count(*) AS shared FROM k WHERE id <> 1 AND word IN (SELECT word FROM k WHERE id = 1) GROUP BY 1)
+_TAG_WORDS = f"""w AS (SELECT DISTINCT id, tags, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+')) AS word FROM tickets),
+k AS (SELECT * FROM w WHERE length(word) > 2 AND NOT list_contains({_list(fixed.TAG_STOP_WORDS)}, word))"""
+
+
+@query("suggest_tags", f"""WITH {TICKETS}, {_TAG_WORDS}, h AS (SELECT id, any_value(tags) AS tags, count(*) AS shared FROM k WHERE id <> 1 AND word IN (SELECT word FROM k WHERE id = 1) GROUP BY 1)
 SELECT tag, CAST(sum(shared) AS BIGINT) AS score FROM (SELECT unnest(tags) AS tag, shared FROM h) GROUP BY 1 ORDER BY score DESC, tag LIMIT 3""")
 def suggest_tags(spark, sf_dir):
-    return relational.suggested_tags(tickets(spark, sf_dir), 1, fixed.STOP_WORDS)
+    return relational.suggested_tags(tickets(spark, sf_dir), 1)
+
+
+@query("suggest_most_used", """SELECT p_brand AS tag, CAST(0 AS BIGINT) AS score FROM (SELECT p_brand, count(*) FILTER (p_partkey = 1) AS n FROM part GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3)""")
+def suggest_most_used(spark, sf_dir):
+    """Only the target has a tag: the tags used most."""
+    p = table(spark, sf_dir, "part")
+    df = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.when(F.col("p_partkey") == 1, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("tags"))
+    return relational.suggested_tags(df, 1, p.select(F.col("p_brand").alias("name")))
 
 
 @query("tagged_semi", "SELECT doc_id AS id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -128,7 +139,7 @@ def crm_snapshots(spark, sf_dir):
     return o.agg(F.count(F.lit(1)).alias("ticket_count"), F.round(F.avg("o_totalprice"), 4).alias("avg_value")).withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
-@query("crm_counts", "SELECT coalesce(nullif(CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END, ''), 'Uncategorized') AS category, count(*) AS ticket_count FROM events GROUP BY 1")
+@query("crm_counts", "SELECT coalesce(nullif(CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END, ''), 'Övrigt') AS category, count(*) AS ticket_count FROM events GROUP BY 1")
 def crm_counts(spark, sf_dir):
     return crm.by_category(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type")).alias("category")))
 

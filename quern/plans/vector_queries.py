@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scoring
 from quern.functions import vectors as V
-from quern.operators import patterns
+from quern.operators import analytics, patterns
 from quern.plans.bind import TICKETS, query, table
 
 _V = "v AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
@@ -31,7 +31,7 @@ def pair_similarity(spark, sf_dir):
 
 @query("avg_linkage", _PAIRS + " SELECT cluster, round(avg(sim), 8) AS linkage, count(*) AS n FROM pairs GROUP BY 1")
 def avg_linkage(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy("cluster").agg(F.round(F.avg("sim"), 8).alias("linkage"), F.count(F.lit(1)).alias("n"))
+    return patterns.linkage(vectors(spark, sf_dir)).select("cluster", F.round("linkage", 8).alias("linkage"), "n")
 
 
 _CENTROIDS = f"WITH {_V}, e AS (SELECT cluster, unnest(x) AS x, unnest(range(len(x))) AS pos FROM v), c AS (SELECT cluster, pos, avg(x) AS x FROM e GROUP BY 1, 2)"
@@ -63,8 +63,7 @@ def topic_jaccard(spark, sf_dir):
 e AS (SELECT user_id, event_type, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n, count(*) FILTER ((t - lo) * 2 <= hi - lo) AS early FROM d JOIN m USING (user_id, event_type) GROUP BY 1, 2)
 SELECT user_id, event_type, n, CASE WHEN n < 3 OR hi - lo < 604800000000 THEN 'ISOLATED' WHEN n - early >= early * 2 THEN 'ESCALATING' ELSE 'RECURRING' END AS trend FROM e""")
 def trend(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.collect_list("ts").alias("d"))
-    return e.select("user_id", "event_type", F.size("d").cast("long").alias("n"), scoring.trend(F.col("d")).alias("trend"))
+    return analytics.trends(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts")
 
 
 _META = f"""WITH {TICKETS}, g AS (SELECT id % 40 AS cluster, count(DISTINCT CASE WHEN id % 3 = 0 THEN nullif(org, '') END) AS orgs, count(DISTINCT person) AS persons, count(*) AS n FROM tickets GROUP BY 1),

@@ -1,5 +1,7 @@
+import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scoring
@@ -37,10 +39,22 @@ def test_duplicates_keep_the_newest_of_a_batch(spark):
 def test_ngrams(spark):
     words = one(spark, "TIMS crashed (again) on PubTrans 12 a@b.c", T.words_for_topics)
     assert words == ["TIMS", "crashed", "again", "on", "PubTrans", "12"]
-    grams = one(spark, "TIMS crashed (again) on PubTrans 12", lambda c: T.ngrams(T.words_for_topics(c)))
+    df = spark.createDataFrame([(1, "TIMS crashed (again) on PubTrans 12", ["x"]), (2, None, None)], "id long, text string, tags array<string>")
+    grams = [r["term"] for r in topics.term_counts(df).where("id = 1").orderBy("first_pos").collect()]
     assert grams == ["TIMS", "crashed", "again", "on", "PubTrans", "tims crashed", "crashed again", "again on", "on pubtrans"]
 
 
+@pytest.mark.parametrize("text", ["a@b.c x@ @y a@@ z", "IS-123 ref99 REFa CS12x cas-7.", "deadbeef cafe12g 1234567 \"0a1b2c3d\"", "..,;x!? , ;y; ... a,b .c", "(one)[two]{three}<four>", ",,,,,, a", "x" * 50 + "." * 50])
+def test_words_for_topics_are_the_definition(spark, text):
+    space = "[\\t-\\r \u00a0\ufeff]"
+    want = re.sub(r"(?i)\b(?:IS-|INC-|REF|REQ|SESD-|CAS-|CS)[0-9]+\b", "", text)
+    want = re.sub(r"(?i)\b[0-9A-F]{6,}\b", "", want)
+    want = re.sub(r"\S+@\S+", "", want)
+    want = re.sub(r"[()\[\]{}<>]", " ", re.sub("[\"'“”‘’`«»]", "", want))
+    want = [w for w in (re.sub("^[.,;:!?]+|[.,;:!?]+$", "", w) for w in re.split(f"{space}+", want)) if len(w) >= 2]
+    assert one(spark, text, T.words_for_topics) == want
+
+
 def test_topics_keep_the_band(spark):
     rows = [(k, "printer broken" if k < 3 else f"word{k} other", []) for k in range(10)]
     df = spark.createDataFrame(rows, "id long, text string, tags array<string>")
