@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest_llm import pairs
 
 from quern.llm import ngram_join, vector_graph
@@ -61,6 +62,13 @@ def test_join_of_nothing(none):
     assert ngram_join.join(none).count() == 0
 
 
+def _brute(x, label):
+    x = vector_graph.unit(x)
+    close = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(close, False)
+    return close
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -71,10 +79,7 @@ def test_vectors_equal_brute_force(spark):
             rows.append((len(rows), x + 0.03 * rng.normal(size=16), k % 3))
     odd = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] * 16, 1), (9004, [], 1), (9005, [1.0, None], 1), (9006, rows[0][1].tolist(), None), (None, rows[0][1].tolist(), 0), (9007, [1.0, 2.0], 0), (3, rows[3][1].tolist(), rows[3][2])]
     df = spark.createDataFrame([(i, None if v is None else [None if y is None else float(y) for y in v], c, "x") for i, v, c in [*rows, *odd]], "vec_id long, embedding array<double>, label int, id string")
-    x = vector_graph.unit(np.stack([r[1] for r in rows]))
-    label = np.array([r[2] for r in rows])
-    close = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
-    np.fill_diagonal(close, False)
+    close = _brute(np.stack([r[1] for r in rows]), np.array([r[2] for r in rows]))
     comp = components(range(len(rows)), np.argwhere(close).tolist())
     got = {r["vec_id"]: r for r in vector_graph.link(df).collect()}
     assert vector_graph.link(df).count() == len(rows) + len(odd)
@@ -86,6 +91,42 @@ def test_vectors_equal_brute_force(spark):
     assert vector_graph.link(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_many_regions_and_blocks(spark, block):
+    """A label of many regions with a hot group: overlap, blocks and counting in the first common region."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(500, 12))
+    x = np.concatenate([centres, centres[:150] + 0.02 * rng.normal(size=(150, 12)), centres[7] + 0.02 * rng.normal(size=(350, 12))])
+    label = np.r_[np.zeros(900, int), np.ones(100, int)]
+    close = _brute(x, label)
+    df = spark.createDataFrame([(k, [float(y) for y in v], int(c)) for k, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vector_graph.link(df, region=64, block=block, cluster=32).collect()}
+    links = np.array([got[k]["n_links"] for k in range(len(x))])
+    assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum() and got[0]["audited_recall"] >= 0.9
+    if links.sum() == close.sum():
+        comp = components(range(len(x)), np.argwhere(close).tolist())
+        assert all(got[k]["component_id"] == comp[k] for k in got)
+
+
+def test_the_threshold_is_exact():
+    for factor in (1.0, 3.7, 1e-3):
+        a = np.array([[factor, 0.0]] * 3)
+        b = np.array([[0.98, 0.98**-1 * 0.0 + np.sqrt(1 - 0.98**2)], [np.nextafter(0.98, 0) - 1e-13, np.sqrt(1 - 0.98**2)], [0.99, 0.01]])
+        want = [np.dot(p, q) / (np.sqrt(np.dot(p, p)) * np.sqrt(np.dot(q, q))) >= 0.98 for p, q in zip(a, b, strict=True)]
+        s = (vector_graph.unit(a) * vector_graph.unit(b)).sum(1)
+        assert vector_graph.in_reach(s, a, b, 0.98).tolist() == want and not want[1] and want[2]
+
+
+def test_together_finds_what_each_finds():
+    """The search of a shard's queries finds all pairs of clustered vectors."""
+    rng = np.random.default_rng(5)
+    x = vector_graph.unit(np.repeat(rng.normal(size=(400, 24)), 4, axis=0) + 0.03 * rng.normal(size=(1600, 24)))
+    pairs, s = vector_graph.in_range(x, vector_graph.Graph(x))
+    want, _ = vector_graph.all_pairs(x)
+    assert len(want) > 1000 and len(pairs) >= 0.99 * len(want) and set(map(tuple, pairs.tolist())) <= set(map(tuple, want.tolist()))
+    assert np.allclose(s, (x[pairs[:, 0]] * x[pairs[:, 1]]).sum(1))
+
+
 def test_graph_is_not_cut():
     """The sizes that were cut along with the search's CPU time."""
     assert vector_graph.CLUSTER >= 192 and vector_graph.DEGREE >= 24 and vector_graph.BEAM >= 16
@@ -98,7 +139,7 @@ def test_audit_counts_queries_alike():
 
 def test_audit_ends_in_an_exact_search(spark, monkeypatch):
     """Labels of one shard, and a graph search that finds nothing: the audit must act."""
-    monkeypatch.setattr(vector_graph, "in_range", lambda x, graph, threshold, beam: np.zeros((0, 2), np.int64))
+    monkeypatch.setattr(vector_graph, "in_range", lambda x, graph, threshold, beam: (np.zeros((0, 2), np.int64), np.zeros(0)))
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(60, 12)), 3, axis=0) + 0.01 * rng.normal(size=(180, 12))
     df = spark.createDataFrame([(k, v.tolist(), k // 90) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
