@@ -39,18 +39,21 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent, as in tests, a local folder is set.
+    Only where that setting is absent and one process does it all, as in tests,
+    a local folder is set; on a cluster its absence is an error.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(top)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        top = context.getCheckpointDir()
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(top)
     # With its scheme and host, for readers other than Spark's.
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
-    top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    path = context._jvm.org.apache.hadoop.fs.Path(top)
+    top = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if top.startswith("file:/") and not top.startswith("file://"):
         top = "file://" + top[5:]
     return f"{top}/quern-{uuid.uuid4().hex}"
@@ -60,14 +63,17 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        shared_dir(df.sparkSession)
-    return df.checkpoint()
+def discard(*tables: DataFrame) -> None:
+    """Remove what written() made, once nothing reads it any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -234,27 +240,33 @@ def chunked(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Itera
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
-    Rounds of small-star over (larger, smaller) pairs: every id points at the
-    least neighbour it has, and its other neighbours are handed to that one.
-    The edges never grow beyond their first count, each round is two shuffles,
-    and the rounds grow with the logarithm of the longest path. Each round is
-    cut off by a checkpoint. Nothing but a count reaches the driver.
+    Rounds of large and small star over (larger, smaller) pairs: every id points
+    at the least neighbour it has, and its other neighbours are handed to that
+    one. The edges never grow beyond their first count, and the rounds grow with
+    the logarithm of the longest path.
+
+    An id with very many neighbours is no hot key: its least neighbour is found
+    by an aggregate with map-side combine, which is written, so that both sides
+    of the join that follows are plain shuffles, whose large partitions are
+    split at run time. Nothing but a count reaches the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    pairs = checkpointed(pairs)
+    pairs = written(pairs)
+    before = None
     while True:
         # Large star: each id hands its larger neighbours its least neighbour (or itself).
         both = pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m")))
+        large = written(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
         # Small star: each id hands its smaller neighbours and itself the least of them.
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = written(large.groupBy("v").agg(F.min("u").alias("m")))
         joined = large.join(low, "v")
         small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).distinct()
-        small = checkpointed(small)
-        same = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        before = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        small = written(small)
+        discard(pairs, least, large, low)
         pairs = small
-        if same == before:
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == before:
             break
+        before = now
     return pairs.select(F.col("v").alias("id"), F.col("u").alias("component")).union(pairs.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash LSH by bands of a fixed depth, then exact verification.
+"""N-gram Jaccard join: an LSH forest of MinHash signatures, then exact verification.
 
 Two documents are linked if the sets of their word 5-grams have a Jaccard
 similarity of 0.8 or more.
@@ -6,16 +6,22 @@ similarity of 0.8 or more.
 1. Documents with the same set form a *class*. It has a number, since its least
    id may also be that of another class (if one id comes with two texts).
    Everything below is about classes; copies only count.
-2. Each class has `trees` bands of values. Before data is read, their depth is
-   lowered from `deepest` on, until a pair of exactly the threshold is predicted
-   to share a band with the target recall: 1 - (1 - t^k)^trees. Classes with the
-   same hash of a band are a group. No other depth is matched, so this is
-   banding and not an LSH forest.
-3. A group links its members if their signatures agree in a share of the places
-   that a pair of the threshold reaches but for a chance of 1e-7; it hands on a
-   spanning forest of these links, not the pairs. Components of the forests
-   hold every candidate pair, and little else.
-4. Components are verified exactly: all pairs of a component, as products of
+2. Each class has a path of `deepest` MinHash values in each of `trees` trees.
+   A tree's paths, sorted, are its prefix trie: classes with a common prefix of d
+   values stand below one node of depth d.
+3. The shallowest depth that is matched starts where a pair of exactly the
+   threshold is predicted to meet in some tree with the target recall:
+   1 - (1 - t^d)^trees. All paths below one node of that depth go to one task,
+   which sorts them and walks the trie from the deepest common prefixes upwards:
+   below each node, classes in different trees of the forest of links so far are
+   linked if their signatures agree in a share of the places that a pair of the
+   threshold reaches but for a chance of 1e-7. It hands on a spanning forest of
+   these links, not the pairs. Components hold every candidate pair, and little
+   else.
+4. The recall of the components is audited: sampled classes are compared with the
+   signatures of all classes. While it is below the target, matched prefixes are
+   shortened by one value, and the walk goes on from there.
+5. Components are verified exactly: all pairs of a component, as products of
    0/1 matrices over the shingles that two members share. Large components
    are cut into blocks and each pair of blocks is a unit of its own. A unit
    gives each class the number of documents it links to, and a spanning
@@ -30,16 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, bucket_count, checkpointed, connected_components, mix, small_batches, spans_hash, utf8, windows_hash, words, written
+from quern.llm.common import U64, bucket_count, connected_components, discard, mix, small_batches, spans_hash, utf8, windows_hash, words, written
 
 WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
 #: Standard deviations below the threshold from which on two signatures are no candidates.
 LOOSE = 5.5
 #: Members of a prefix group, and of a component, that one unit takes from each of two blocks.
 GROUP_BLOCK, BLOCK = 2048, 256
+#: Classes that are audited (bound), and the share of their likely partners that has to be among the candidates.
+AUDIT, AUDITED = 256, 0.99
+#: The low bits of a MinHash value that a path keeps.
+PLACE = np.dtype(">u2")
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
@@ -87,35 +97,23 @@ def signature(s: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signed(df: DataFrame, key: str, text: str, trees: int, depth: int) -> DataFrame:
-    """Of every row: id, n (shingles), h1, h2 (of the set), sig (a byte per place) and keys (one per tree)."""
+def signed(df: DataFrame, key: str, text: str, places: int, width: int = WORDS) -> DataFrame:
+    """Of every row: id, n (shingles), h1, h2 (of the set) and sig, two bytes per place, which sort as the values do."""
     small_batches(df.sparkSession)
     rows = df.select(df[key].cast("long").alias("id"), df[text].alias("text"))
-    salt = mix(np.arange(trees, dtype=U64) + U64(77))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h, sig, keys = [], [], [], []
-            for s in shingles(*utf8(b.column(1))):
+            n, h, sig = [], [], []
+            for s in shingles(*utf8(b.column(1)), width):
                 n.append(len(s))
-                if not len(s):
-                    h.append((0, 0))
-                    sig.append(None)
-                    keys.append(None)
-                    continue
-                h.append(set_hash(s))
-                v = mix(signature(s, trees * depth))
-                sig.append(v.astype(np.uint8).tobytes())
-                k, v = salt.copy(), v.reshape(trees, depth)
-                for d in range(depth):
-                    k = mix((k ^ v[:, d]) * U64(0x9E3779B97F4A7C15))
-                keys.append(k.view(np.int64))
+                h.append(set_hash(s) if len(s) else (0, 0))
+                sig.append(mix(signature(s, places)).astype(PLACE).tobytes() if len(s) else None)
             yield pa.record_batch(
-                [b.column(0), pa.array(n, pa.int32()), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "h1", "h2", "sig", "keys"],
+                [b.column(0), pa.array(n, pa.int32()), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"]
             )
 
-    return rows.mapInArrow(run, "id long, n int, h1 long, h2 long, sig binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, n int, h1 long, h2 long, sig binary")
 
 
 def block_pairs(df: DataFrame, group: str, size: Column, item: str, block: int) -> DataFrame:
@@ -143,30 +141,63 @@ def spanning(linked: np.ndarray, label: np.ndarray, rows: np.ndarray, columns: n
     return out
 
 
-def _candidates(least: float):
+def _agree(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y agree in `least` of the places."""
+    count = np.zeros((len(x), len(y)), np.int16)
+    for k in range(x.shape[1]):
+        count += x[:, k, None] == y[None, :, k]
+    return count >= least * x.shape[1]
+
+
+def walk(paths: np.ndarray, sig: np.ndarray, floor: int, least: float) -> list[tuple[int, int]]:
+    """Links between classes below one node of depth `floor`: a spanning forest.
+
+    paths are sorted. Below each node, from the deepest on, neighbours in the
+    order are compared first; then what is not in the largest tree meets all.
+    """
+    n, deepest = paths.shape
+    common = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(1)
+    beside = (sig[1:] == sig[:-1]).mean(1) >= least
+    forest, at, out = np.arange(n), np.arange(n), []
+    for depth in range(deepest, floor - 1, -1):
+        ends = np.flatnonzero(np.r_[common < depth, True]) + 1
+        starts = np.r_[0, ends[:-1]]
+        # Nodes that have more to join than at the depth below.
+        more = (ends - starts > 1) & (np.add.reduceat(np.r_[common == depth, False], starts) > 0) if n > 1 else np.zeros(len(ends), bool)
+        for lo, hi in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+            for k in np.flatnonzero(beside[lo : hi - 1]).tolist():
+                a, b = forest[lo + k], forest[lo + k + 1]
+                if a != b:
+                    out.append((lo + k, lo + k + 1))
+                    forest[forest == b] = a
+            own = forest[lo:hi]
+            names, size = np.unique(own, return_counts=True)
+            if len(names) > 1:
+                rest = lo + np.flatnonzero(own != names[size.argmax()])
+                for k in range(0, len(rest), 64):
+                    part = rest[k : k + 64]
+                    linked = _agree(sig[part], sig[lo:hi], least) & (forest[part][:, None] != forest[None, lo:hi])
+                    out += spanning(linked, forest, part, at[lo:hi])
+    return out
+
+
+def _candidates(least: float, floor: int, deepest: int):
     def run(t: pa.Table) -> pa.Table:
-        """Forests of the groups in a bucket: rows key, unit_a, unit_b, own, cls, sig."""
-        key, a, b = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b"))
-        order = np.lexsort((t["cls"].to_numpy(), b, a, key))
-        key, a, b = key[order], a[order], b[order]
-        cls, own = t["cls"].to_numpy()[order], t["own"].to_numpy()[order]
+        """Forests of the nodes in a bucket: rows key, tree, unit_a, unit_b, cls, sig."""
+        key, a, b, tree, cls = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b", "tree", "cls"))
         data, off = utf8(t["sig"])
-        width = int(off[1] - off[0])
-        sig = data[: int(off[-1])].reshape(-1, width)[order]
+        sig = data[: int(off[-1])].view(PLACE).reshape(len(key), -1)
+        path = sig.reshape(len(key), -1, deepest)[np.arange(len(key)), tree]
+        # Sorted by node, unit and path: the trie of each node.
+        order = np.lexsort((cls, *path.T[::-1], b, a, key))
+        key, a, b, cls, sig, path = (x[order] for x in (key, a, b, cls, sig, path))
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         size = np.diff(np.r_[new, len(key)])
-        edges = []
         two = new[size == 2]
         two = two[(sig[two] == sig[two + 1]).mean(1) >= least]
-        edges.append(np.stack([cls[two], cls[two + 1]], 1))
+        edges = [np.stack([cls[two], cls[two + 1]], 1)]
         for lo, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            s, at, forest, found = sig[lo : lo + n], np.arange(n), np.arange(n), []
-            cross = a[lo] != b[lo]
-            for k in range(0, n, 64):
-                agree = (s[k : k + 64, None, :] == s[None, :, :]).mean(2) >= least if n <= 512 else _agree(s[k : k + 64], s, least)
-                if cross:
-                    agree &= own[lo + k : lo + min(k + 64, n), None] != own[None, lo : lo + n]
-                found += spanning(agree, forest, at[k : k + 64], at)
+            found = walk(path[lo : lo + n], sig[lo : lo + n], floor, least)
             if found:
                 edges.append(cls[lo + np.array(found)])
         edges = np.unique(np.concatenate(edges), axis=0)
@@ -175,11 +206,49 @@ def _candidates(least: float):
     return run
 
 
-def _agree(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    count = np.zeros((len(x), len(y)), np.int16)
-    for k in range(x.shape[1]):
-        count += x[:, k, None] == y[None, :, k]
-    return count >= least * x.shape[1]
+def _members(reps: DataFrame, floor: int, trees: int, deepest: int, least: float) -> DataFrame:
+    """(cls, component) of all classes that meet another below nodes of depth `floor` or deeper."""
+    wide = PLACE.itemsize * deepest
+    each = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring("sig", t * wide + 1, F.lit(PLACE.itemsize * floor))).alias("key")))
+    keys = reps.select("cls", F.explode(each).alias("k")).select("cls", "k.tree", "k.key")
+    # Written, so that a node below which very many classes stand can be split in the join.
+    counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    units = written(block_pairs(keys.join(counts, "key"), "key", F.col("size"), "cls", GROUP_BLOCK).select("key", "tree", "unit_a", "unit_b", "cls"))
+    n = max(32, -(-units.count() // 20_000))
+    dealt = units.join(reps.select("cls", "sig"), "cls").withColumn("bucket", F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int"))
+    forest = written(dealt.groupBy("bucket").applyInArrow(_candidates(least, floor, deepest), "a long, b long"))
+    members = written(connected_components(forest).withColumnRenamed("id", "cls"))
+    discard(counts, units, forest)
+    return members
+
+
+def _audited(reps: DataFrame, members: DataFrame, threshold: float) -> float:
+    """Of sampled classes, the average share of the classes with a signature as near as the threshold that are in their component.
+
+    A sampled class is compared with all classes; those without a near one do not count.
+    """
+    whole = reps.select("cls", "sig").join(members, "cls", "left")
+    # At most AUDIT classes, those whose number hashes lowest.
+    drawn = whole.orderBy(F.xxhash64(F.lit("audit"), "cls"), "cls").limit(AUDIT).collect()
+    if not drawn:
+        return 1.0
+    queries = np.stack([np.frombuffer(r["sig"], PLACE) for r in drawn])
+    own, comp = np.array([r["cls"] for r in drawn]), np.array([-1 - k if r["component"] is None else r["component"] for k, r in enumerate(drawn)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, found = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for b in batches:
+            if b.num_rows:
+                data, off = utf8(b.column(1))
+                sig = data[: int(off[-1])].view(PLACE).reshape(b.num_rows, -1)
+                hit = _agree(queries, sig, threshold) & (own[:, None] != b.column(0).to_numpy()[None, :])
+                near += hit.sum(1)
+                found += (hit & (comp[:, None] == b.column(2).fill_null(-1 << 62).to_numpy()[None, :])).sum(1)
+        yield pa.record_batch([pa.array(own), pa.array(near), pa.array(found)], ["q", "near", "found"])
+
+    sums = whole.select("cls", "sig", "component").mapInArrow(run, "q long, near long, found long").groupBy("q").agg(F.sum("near").alias("near"), F.sum("found").alias("found"))
+    shares = sums.where("near > 0").agg(F.avg(F.col("found") / F.col("near"))).first()[0]
+    return 1.0 if shares is None else float(shares)
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -253,8 +322,8 @@ def _verifier(threshold: float, width: int):
     return run
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WORDS, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> DataFrame:
-    """Every row's key, class_id (least id of its group), n_links (other rows linked to it), kept (key = class_id).
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WORDS, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST, audited: float = AUDITED) -> DataFrame:
+    """Every row's key, class_id (least id of its group), n_links (other rows linked to it), kept (key = class_id) and audited_recall (of the candidates).
 
     A text without words, or a null one, links with nothing and is its own
     group. A text of fewer than `width` words has one shingle of them all. Rows
@@ -263,22 +332,21 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     they count in no links. Other columns of df are ignored, whatever their
     names.
     """
-    depth = prefix_depth(threshold, trees, recall, deepest)
-    rows = written(signed(df, key, text, trees, depth))
+    floor, least = prefix_depth(threshold, trees, recall, deepest), least_agreement(threshold, trees * deepest)
+    rows = written(signed(df, key, text, trees * deepest, width))
     known = rows.where("id is not null and n > 0")
-    reps = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    reps = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # The numbers hold because they are written.
     reps = written(reps.withColumn("cls", F.monotonically_increasing_id()))
-    keys = reps.select("cls", F.explode("keys").alias("key"))
-    keys = keys.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-    units = block_pairs(keys, "key", F.col("size"), "cls", GROUP_BLOCK)
-    units = checkpointed(units)
-    n = max(32, -(-units.count() // 20_000))
-    units = units.join(reps.select("cls", "sig"), "cls").withColumn("bucket", F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int"))
-    forest = units.groupBy("bucket").applyInArrow(_candidates(least_agreement(threshold, trees * depth)), "a long, b long")
-    members = connected_components(forest).withColumnRenamed("id", "cls")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = checkpointed(members.join(sizes, "component").join(reps.select("cls", "rep", "weight", "n", "h1", "h2"), "cls"))
+    while True:
+        met = _members(reps, floor, trees, deepest, least)
+        measured = _audited(reps, met, threshold)
+        if measured >= audited or floor == 1:
+            break
+        discard(met)
+        floor -= 1
+    sizes = written(met.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    members = written(met.join(sizes, "component").join(reps.select("cls", "rep", "weight", "n", "h1", "h2"), "cls"))
     total = members.agg(F.sum(F.col("n") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
     # A shingle stands for about seven bytes of text.
     n = bucket_count(7 * int(total))
@@ -286,6 +354,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     units = block_pairs(texts.join(members, "rep"), "component", F.col("size"), "cls", BLOCK)
     units = units.withColumn("bucket", F.pmod(F.xxhash64("component", "unit_a", "unit_b"), F.lit(n)).cast("int"))
     found = written(units.select("bucket", "component", "unit_a", "unit_b", "own", "cls", "weight", "h1", "h2", "text").groupBy("bucket").applyInArrow(_verifier(threshold, width), "a long, b long, links long"))
+    discard(met, sizes, members)
     links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "cls")
     least = groups.join(reps.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("least"))
@@ -294,4 +363,4 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     classes = classes.select("h1", "h2", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = known.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "class_id", "n_links")
     alone = rows.where("id is null or n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.union(alone).select(F.col("id").alias(key), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return out.union(alone).select(F.col("id").alias(key), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), F.lit(measured).alias("audited_recall"))
