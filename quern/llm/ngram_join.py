@@ -18,9 +18,9 @@ similarity of 0.8 or more.
    threshold reaches but for a chance of 1e-7. It hands on a spanning forest of
    these links, not the pairs. Components hold every candidate pair, and little
    else.
-4. The recall of the components is audited: sampled classes are compared with the
-   signatures of all classes. While it is below the target, matched prefixes are
-   shortened by one value, and the walk goes on from there.
+4. The recall of the components is audited: the links of sampled classes among
+   all classes are computed exactly. While it is below the target, matched
+   prefixes are shortened by one value, and the walk goes on from there.
 5. Components are verified exactly: all pairs of a component, as products of
    0/1 matrices over the shingles that two members share. Large components
    are cut into blocks and each pair of blocks is a unit of its own. A unit
@@ -46,8 +46,8 @@ WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
 LOOSE = 5.5
 #: Members of a prefix group, and of a component, that one unit takes from each of two blocks.
 GROUP_BLOCK, BLOCK = 2048, 256
-#: Classes that are audited (bound), and the share of their likely partners that has to be among the candidates.
-AUDIT, AUDITED = 256, 0.99
+#: Classes that are audited, and shingles of one (bounds), and the share of their links that has to be among the candidates.
+AUDIT, AUDIT_SHINGLES, AUDITED = 256, 20_000, 0.99
 #: The low bits of a MinHash value that a path keeps.
 PLACE = np.dtype(">u2")
 
@@ -222,32 +222,54 @@ def _members(reps: DataFrame, floor: int, trees: int, deepest: int, least: float
     return members
 
 
-def _audited(reps: DataFrame, members: DataFrame, threshold: float) -> float:
-    """Of sampled classes, the average share of the classes with a signature as near as the threshold that are in their component.
+def _audited(texts: DataFrame, reps: DataFrame, members: DataFrame, threshold: float, width: int, least: float) -> float:
+    """Of sampled classes, the average share of the classes linked to them that are in their component.
 
-    A sampled class is compared with all classes; those without a near one do not count.
+    The signatures of all classes are compared with those of the sample; whose
+    agree as candidates have to are read, and their similarity is computed
+    exactly. Classes without a link do not count.
     """
-    whole = reps.select("cls", "sig").join(members, "cls", "left")
-    # At most AUDIT classes, those whose number hashes lowest.
-    drawn = whole.orderBy(F.xxhash64(F.lit("audit"), "cls"), "cls").limit(AUDIT).collect()
+    whole = reps.join(members, "cls", "left")
+    # At most AUDIT classes of at most AUDIT_SHINGLES shingles, those whose number hashes lowest.
+    drawn = whole.where(F.col("n") <= AUDIT_SHINGLES).orderBy(F.xxhash64(F.lit("audit"), "cls"), "cls").limit(AUDIT).select("cls", "rep", "h1", "h2", "sig", "component").collect()
     if not drawn:
         return 1.0
-    queries = np.stack([np.frombuffer(r["sig"], PLACE) for r in drawn])
-    own, comp = np.array([r["cls"] for r in drawn]), np.array([-1 - k if r["component"] is None else r["component"] for k, r in enumerate(drawn)])
+    ids, queries = sorted({r["rep"] for r in drawn}), np.stack([np.frombuffer(r["sig"], PLACE) for r in drawn])
+    at = {(r["h1"], r["h2"]): k for k, r in enumerate(drawn)}
+    own = np.array([r["cls"] for r in drawn])
+    comp = np.array([-1 - k if r["component"] is None else r["component"] for k, r in enumerate(drawn)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, found = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {at[set_hash(x)]: x.tobytes() for x in shingles(*utf8(b.column(1)), width) if set_hash(x) in at}
+            yield pa.record_batch([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())], ["q", "shingles"])
+
+    sets_of = {r["q"]: np.frombuffer(r["shingles"], U64) for r in texts.where(F.col("rep").isin(ids)).mapInArrow(sets, "q int, shingles binary").collect()}
+    known = [sets_of.get(k, np.zeros(0, U64)) for k in range(len(drawn))]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                data, off = utf8(b.column(1))
-                sig = data[: int(off[-1])].view(PLACE).reshape(b.num_rows, -1)
-                hit = _agree(queries, sig, threshold) & (own[:, None] != b.column(0).to_numpy()[None, :])
-                near += hit.sum(1)
-                found += (hit & (comp[:, None] == b.column(2).fill_null(-1 << 62).to_numpy()[None, :])).sum(1)
-        yield pa.record_batch([pa.array(own), pa.array(near), pa.array(found)], ["q", "near", "found"])
-
-    sums = whole.select("cls", "sig", "component").mapInArrow(run, "q long, near long, found long").groupBy("q").agg(F.sum("near").alias("near"), F.sum("found").alias("found"))
-    shares = sums.where("near > 0").agg(F.avg(F.col("found") / F.col("near"))).first()[0]
+            data, off = utf8(b.column(1))
+            sig = data[: int(off[-1])].view(PLACE).reshape(b.num_rows, -1)
+            yield pa.record_batch([b.column(0).filter(pa.array(_agree(sig, queries, least).any(1)))], ["cls"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, found = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for b in batches:
+            cls, h1, h2 = (b.column(k).to_numpy() for k in range(3))
+            component = b.column(3).fill_null(-1 << 62).to_numpy()
+            some = shingles(*utf8(b.column(4)), width)
+            good = [k for k, x in enumerate(some) if set_hash(x) == (h1[k], h2[k])]
+            if good:
+                hit = linked_pairs(known, [some[k] for k in good], threshold) & (own[:, None] != cls[good][None, :])
+                total += hit.sum(1)
+                found += (hit & (comp[:, None] == component[good][None, :])).sum(1)
+        yield pa.record_batch([pa.array(own), pa.array(total), pa.array(found)], ["q", "linked", "found"])
+
+    close = reps.select("cls", "sig").mapInArrow(near, "cls long")
+    read = texts.join(whole.join(close, "cls").select("rep", "cls", "h1", "h2", "component"), "rep").select("cls", "h1", "h2", "component", "text")
+    sums = read.mapInArrow(linked, "q long, linked long, found long").groupBy("q").agg(F.sum("linked").alias("linked"), F.sum("found").alias("found"))
+    shares = sums.where("linked > 0").agg(F.avg(F.col("found") / F.col("linked"))).first()[0]
     return 1.0 if shares is None else float(shares)
 
 
@@ -338,9 +360,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     reps = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # The numbers hold because they are written.
     reps = written(reps.withColumn("cls", F.monotonically_increasing_id()))
+    texts = df.select(df[key].cast("long").alias("rep"), df[text].alias("text"))
     while True:
         met = _members(reps, floor, trees, deepest, least)
-        measured = _audited(reps, met, threshold)
+        measured = _audited(texts, reps, met, threshold, width, least)
         if measured >= audited or floor == 1:
             break
         discard(met)
@@ -350,7 +373,6 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     total = members.agg(F.sum(F.col("n") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
     # A shingle stands for about seven bytes of text.
     n = bucket_count(7 * int(total))
-    texts = df.select(df[key].cast("long").alias("rep"), df[text].alias("text"))
     units = block_pairs(texts.join(members, "rep"), "component", F.col("size"), "cls", BLOCK)
     units = units.withColumn("bucket", F.pmod(F.xxhash64("component", "unit_a", "unit_b"), F.lit(n)).cast("int"))
     found = written(units.select("bucket", "component", "unit_a", "unit_b", "own", "cls", "weight", "h1", "h2", "text").groupBy("bucket").applyInArrow(_verifier(threshold, width), "a long, b long, links long"))

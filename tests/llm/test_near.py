@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest_llm import pairs
 
-from quern.llm import ngram_join, vector_graph
+from quern.llm import common, ngram_join, vector_graph
 
 
 def grams(t):
@@ -166,3 +166,37 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a + ["x"])), (3, " ".join(b + ["y"])), (4, " ".join(b + ["z"]))]
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter([(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)])
+
+
+def test_walk_links_what_agrees():
+    """Below one node, the forest has the components of all agreeing pairs."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(2, 40))
+        paths = rng.integers(0, 3, (n, 6))
+        paths[:, :2] = 1
+        paths = paths[np.lexsort(paths.T[::-1])]
+        sig = rng.integers(0, 2, (n, 10))
+        want = components(range(n), np.argwhere((sig[:, None, :] == sig[None]).mean(2) >= 0.7).tolist())
+        found = ngram_join.walk(paths, sig, 2, 0.7)
+        assert components(range(n), found) == want and len(found) == n - len(set(want.values()))
+
+
+def test_prefixes_are_shortened_until_the_audit_is_met(spark):
+    """Four trees, and a prediction that asks for nothing: only the audit makes prefixes short enough."""
+    rows = []
+    for k in range(150):
+        shared = [f"p{k}w{n}" for n in range(100)]
+        rows += [(2 * k + side, " ".join(shared + [f"p{k}s{side}n{n}" for n in range(11)])) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {"trees": 4, "recall": 0.0}
+    assert ngram_join.prefix_depth(0.8, 4, 0.0) == 8
+    loose, strict = (ngram_join.join(df, audited=a, **few).collect() for a in (0.0, 0.99))
+    assert sum(r["n_links"] for r in loose) < 280 and loose[0]["audited_recall"] < 0.95
+    assert sum(r["n_links"] for r in strict) >= 294 and strict[0]["audited_recall"] >= 0.99
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1040)] + [(1040, 299), (5000, 5000)]
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == {k: 0 for k in [*range(300), *range(1000, 1041)]}
