@@ -7,6 +7,9 @@ out here rather than left to the engine's defaults.
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +134,16 @@ def words_for_tags(c: Column, stop: list[str]) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(stop)))
 
 
+def nfkc(c: Column) -> Column:
+    """The Unicode form NFKC, by Arrow, a batch at a time; there is no built-in function."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pc.utf8_normalize(pa.array(texts, pa.string()), form="NFKC").to_pandas()
+
+    return run(c)
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, two characters or more; c should be in Unicode form NFKC."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
@@ -156,6 +169,33 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys([*found, *(fixed.ALIASES[w] for w in found if w in fixed.ALIASES)]))
 
 
+def described_topics(description: Column) -> Column:
+    """The topics that a pattern's description lists, in lower case."""
+    listed = F.regexp_extract(F.coalesce(description, F.lit("")), f"Ämnen:{SPACE}*([^.]+)", 1)
+    return F.filter(F.transform(F.split(listed, ","), lambda t: F.lower(trim(t))), lambda t: t != "")
+
+
+def initials(name: Column) -> Column:
+    """The first letters of a name's first two words, as capitals; NY without any."""
+    words = F.slice(F.filter(F.split(trim(name), f"{SPACE}+"), lambda w: w != ""), 1, 2)
+    return F.coalesce(F.nullif(F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), ""), F.lit("")), F.lit("NY"))
+
+
+def file_size(n: Column) -> Column:
+    """Bytes as B, whole KB, or MB with a decimal."""
+    kb, mb = F.round(n / 1024, 0).cast("long").cast("string"), F.format_string("%.1f", n / 1048576)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
+
+
+# Swedish names of months.
+MONTHS = ["januari", "februari", "mars", "april", "maj", "juni", "juli", "augusti", "september", "oktober", "november", "december"]
+
+
+def swedish_date(at: Column) -> Column:
+    """Day, month by name, year."""
+    return F.concat_ws(" ", F.dayofmonth(at).cast("string"), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(at)), F.year(at).cast("string"))
+
+
 def leading_word(title: Column) -> Column:
     return trim(F.lower(F.when(F.instr(title, " — ") > 1, F.substring_index(title, " — ", 1)).otherwise(title)))
 

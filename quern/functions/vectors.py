@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +29,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def unpacked(blob: Column) -> Column:
+    """The numbers of a column of packed float32 vectors, a batch at a time."""
+
+    @F.pandas_udf("array<float>")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return run(blob)
+
+
 def pack(vector: list[float]) -> bytes:
     return np.asarray(vector, "<f4").tobytes()
 

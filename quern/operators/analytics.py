@@ -89,3 +89,26 @@ def commonest(members: DataFrame, value: str, floor: str | None = None) -> DataF
         none = members.groupBy("pattern").agg(F.count_if(F.col(value).isNull()).alias("none"))
         best = best.join(none, "pattern").where("n > none").drop("none")
     return best
+
+
+#: Levels of priority in the order in which they are shown.
+LEVELS = ["critical", "high", "medium", "low"]
+
+
+def in_level_order(patterns: DataFrame) -> DataFrame:
+    """patterns (level, score, id) with their place: levels as they are shown, then the highest score, ties by id."""
+    place = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
+    w = Window.partitionBy("level").orderBy(F.desc("score"), "id")
+    return patterns.where(F.col("level").isin(LEVELS)).withColumn("group_place", place).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def in_tag_order(groups: DataFrame, key: str = "tag") -> DataFrame:
+    """groups (a row per tag, null for none) with their place: by Swedish order of letters, without a tag last."""
+    w = Window.orderBy(F.col(key).isNull(), F.collate(F.col(key), "sv_AI"), F.col(key))
+    return groups.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def in_import_order(groups: DataFrame) -> DataFrame:
+    """groups (a row per import: import_id, date) with their place: newest first, without an import last."""
+    w = Window.orderBy(F.col("import_id").isNull(), F.desc_nulls_last("date"), "import_id")
+    return groups.withColumn("place", F.row_number().over(w).cast("long"))

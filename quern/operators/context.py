@@ -71,6 +71,7 @@ def search(found: DataFrame, relations: DataFrame, query: str, now: Column, top_
     phrase = T.query_tokens(query) and query.lower().strip()
     if not include_deprecated:
         found = found.where(F.lower("status") != "deprecated")
+    found = found.withColumn("text", T.nfkc(F.col("text")))
     found = found.withColumn("lexical", T.lexical_score(T.query_tokens(query), phrase or "", F.col("text")))
     if vectors is not None and query_vector:
         found = found.join(vectors.select("id", "vector"), "id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import relational
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
@@ -17,6 +18,44 @@ def with_ordinal(df: DataFrame) -> DataFrame:
     return df.withColumn("ordinal", F.struct((-F.unix_micros("date")).alias("age"), F.col("id").alias("id")))
 
 
+def scan(challenges: DataFrame, persons: DataFrame, sessions: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
+    """Records with their person, session and tags, newest first.
+
+    challenges is (id, person_id, session_id, import_id, raw, normalized,
+    created_at, workspace), persons (person_id, person, org), sessions
+    (session_id, started_at), links (id, tag_id), tags (tag_id, name). A record
+    without a person is left out; one without a session keeps its own date.
+    """
+    df = challenges.join(persons.select("person_id", "person", "org"), "person_id").join(sessions.select("session_id", "started_at"), "session_id", "left")
+    df = relational.tagged(df, links, tags)
+    out = df.select(
+        "id", T.first_text(F.col("normalized"), F.col("raw")).alias("text"), "person", "org", batch_key(F.col("session_id"), F.col("import_id"), F.col("id")).alias("batch"), "tags",
+        F.coalesce("started_at", "created_at").alias("date"), F.struct((-F.unix_micros("created_at")).alias("age"), F.col("id").alias("id")).alias("ordinal"), "workspace",
+    )
+    return out
+
+
+def unnormalised(df: DataFrame) -> DataFrame:
+    """Records that have no normalised text yet."""
+    return df.where(F.col("normalized").isNull())
+
+
+def embedding_text(text: Column, tags: Column) -> Column:
+    """What is embedded of a record: its text, and its tags in brackets. The person is no part of it."""
+    return F.when(F.size(tags) > 0, F.concat(text, F.lit(" ["), F.array_join(tags, ", "), F.lit("]"))).otherwise(text)
+
+
+def open_counts(df: DataFrame, person: str = "person") -> DataFrame:
+    """(person, open, other) of records (person, status); also the split of a person's records in two."""
+    return df.groupBy(person).agg(F.count_if(F.col("status") == "OPEN").alias("open"), F.count_if(F.coalesce(F.col("status") != "OPEN", F.lit(True))).alias("other"))
+
+
+def captured_counts(persons: DataFrame, captured: DataFrame) -> DataFrame:
+    """(person_id, n) of what was captured under each person's name in a session; 0 for the others."""
+    n = captured.groupBy(F.col("person").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return persons.join(n, "name", "left").select("person_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def classified(df: DataFrame, tables: dict[str, list[str]] | None = None) -> DataFrame:
     """ticket_class and is_noise of every record."""
     return df.withColumn("ticket_class", T.classify(F.col("text"), tables)).withColumn("is_noise", T.is_noise(F.col("ticket_class")))

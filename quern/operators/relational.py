@@ -21,11 +21,41 @@ def absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     return new.distinct().join(existing.select(*keys), keys, "left_anti")
 
 
-def patched(df: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """df with the values that patch gives (not null) for a key; one patch per key."""
-    fields = [c for c in patch.columns if c != key]
-    p = patch.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
-    return df.join(p, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in df.columns])
+#: Characters of a pattern's fields.
+LONGEST = {"title": 200, "description": 2000}
+
+
+def patched(df: DataFrame, patch: DataFrame, key: str, cleared: str = "_cleared") -> DataFrame:
+    """df with the values that patch gives (not null) for a key; one patch per key.
+
+    Fields that the patch names in `cleared`, an array column it may have, become
+    null. A value longer than LONGEST allows is refused: the old one stays.
+    """
+    fields = [c for c in patch.columns if c not in (key, cleared)]
+    given = [F.when(F.length(c) <= LONGEST[c], F.col(c)).alias(f"_{c}") if c in LONGEST else F.col(c).alias(f"_{c}") for c in fields]
+    gone = F.coalesce(F.col(cleared), F.array().cast("array<string>")) if cleared in patch.columns else F.array().cast("array<string>")
+    p = patch.select(key, *given, gone.alias("_gone"))
+    value = lambda c: F.when(~F.coalesce(F.array_contains("_gone", c), F.lit(False)), F.coalesce(f"_{c}", c)).alias(c)
+    return df.join(p, key, "left").select(*[value(c) if c in fields else F.col(c) for c in df.columns])
+
+
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The row with a key; of several the first in the order of all columns."""
+    own = df.where(F.col(key) == value)
+    return own.orderBy(*[c for c, kind in own.dtypes if not kind.startswith("map")]).limit(1)
+
+
+def offered_tags(tags: DataFrame, held: DataFrame, typed: str, k: int = 6) -> DataFrame:
+    """The first k tags (tag_id, name) whose name holds what was typed, whatever the case, and that held (tag_id) lacks; none if nothing was typed."""
+    if not typed.strip():
+        return tags.limit(0)
+    return tags.where(F.lower("name").contains(typed.lower())).join(held.select("tag_id"), "tag_id", "left_anti").orderBy("name", "tag_id").limit(k)
+
+
+def checked(df: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose value is one of the allowed ones, and the others (null included)."""
+    good = F.coalesce(F.col(column).isin(allowed), F.lit(False))
+    return df.where(good), df.where(~good)
 
 
 def tagged(df: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:

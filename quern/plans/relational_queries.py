@@ -352,7 +352,7 @@ def _members(spark, sf_dir):
 
 
 @query("coverage_metrics", f"""WITH {_MEM}, s AS (SELECT pattern, count(*) AS n FROM m GROUP BY 1), c AS (SELECT count(*) AS core, count(DISTINCT CASE WHEN doc_id IN (SELECT id FROM m) THEN doc_id END) AS covered FROM documents)
-SELECT count(*) AS patterns, avg(n) AS avg_size, max(n) AS max_size, min(n) AS min_size, count(*) FILTER (n > 15) AS catch_alls, any_value(core) AS core, any_value(covered) AS covered, round(any_value(covered) * 100 / any_value(core), 1) AS coverage FROM s, c""")
+SELECT count(*) AS patterns, avg(n) AS avg_size, max(n) AS max_size, min(n) AS min_size, count(*) FILTER (n > 15) AS catch_alls, any_value(core) AS core, any_value(covered) AS covered, round(any_value(covered) * 100 / any_value(core), 1) AS coverage, round(100 - any_value(covered) * 100 / any_value(core), 1) AS orphan_rate FROM s, c""")
 def coverage_metrics(spark, sf_dir):
     return evaluate.coverage(_members(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
 

@@ -1,4 +1,4 @@
-"""Readers: JSON lines with defaults, text lines, spreadsheets, rule lists, weights, paged feeds."""
+"""Readers: JSON lines with defaults, graph tables, text lines, spreadsheets, rule lists, weights."""
 
 from __future__ import annotations
 
@@ -11,11 +11,12 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as T
+from quern.functions import vectors as V
 
 # Fields of the entity files and what a missing one becomes.
 SCHEMAS = {
@@ -32,6 +33,86 @@ HEADERS = {
 }
 
 
+def loose(kinds: dict[str, str], column: str, default) -> Column:
+    """A column of any kind as that of its default: text that is a number, or a number that is true or false, counts as such."""
+    c = F.col(column)
+    if isinstance(default, bool):
+        low = F.lower(T.trim(c.cast("string")))
+        got = c if kinds[column] == "boolean" else F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False) if kinds[column] == "string" else c.try_cast("boolean")
+    elif isinstance(default, float):
+        got = T.trim(c).try_cast("double") if kinds[column] == "string" else c.try_cast("double")
+        got = F.when(~F.isnan(got) & (F.abs(got) < float("inf")), got)
+    else:
+        got = F.nullif(c.cast("string"), F.lit(""))
+    return F.coalesce(got, F.lit(default))
+
+
+def vertices(rows: DataFrame, kind: str, content: DataFrame | None = None) -> DataFrame:
+    """Rows of a graph table as entities of a kind, whatever types its columns have.
+
+    Missing fields and values that cannot be read get the kind's default; rows
+    without an id (documents: or without a path) are dropped, and a rule without
+    a title gets its id. content is (id, content), for documents.
+    """
+    fields, kinds = SCHEMAS[kind], dict(rows.dtypes)
+    out = rows.select(*[loose(kinds, k, v).alias(k) if k in kinds else F.lit(v).alias(k) for k, v in fields.items()]).where("id <> ''")
+    if kind == "documents":
+        out = out.where("path <> ''").withColumn("kind", F.when(F.upper("kind").isin("CODE", "ADR"), F.upper("kind")).otherwise("DOC"))
+        if content is not None:
+            out = out.drop("content").join(content.select("id", "content"), "id", "left").withColumn("content", F.coalesce("content", F.lit(""))).select(*fields)
+    return out.withColumn("title", F.when(F.col("title") == "", F.col("id")).otherwise(F.col("title"))) if kind == "rules" else out
+
+
+def statements(ddl: str) -> list[str]:
+    """The statements of a definition: lines that begin with // left out, cut at semicolons."""
+    text = "\n".join(line for line in ddl.splitlines() if not line.strip().startswith("//"))
+    return [f"{s.strip()};" for s in text.split(";") if s.strip()]
+
+
+def present(spark: SparkSession, folder: str, required: list[str], optional: list[str] = ()) -> list[str]:
+    """Which optional files folder lacks; an error that names the first required one it lacks."""
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(context._jsc.hadoopConfiguration())
+    there = lambda name: files.exists(context._jvm.org.apache.hadoop.fs.Path(top, name))
+    for name in required:
+        if not there(name):
+            raise FileNotFoundError(f"{folder}/{name}")
+    return [name for name in optional if not there(name)]
+
+
+def chosen(graph: Callable[[], dict[str, DataFrame]], cache: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], str]:
+    """Per kind the graph's rows where it has some, else the cache's; all of the cache's, and why, if the graph cannot be read."""
+    try:
+        found = graph()
+        return {k: first_not_empty(found[k], own) if k in found else own for k, own in cache.items()}, ""
+    except Exception as e:  # the store is another system; the cache serves on
+        return dict(cache), f"graph not read: {e}"
+
+
+def model_of(index: DataFrame) -> str | None:
+    """The first model that an index (id, model, vector) names, in the order of ids."""
+    row = index.where("coalesce(model, '') <> ''").orderBy("id").select("model").first()
+    return row["model"] if row else None
+
+
+def stored_vectors(stored: DataFrame, ids: DataFrame, dimensions: int) -> DataFrame:
+    """(id, vector) of stored vectors, packed as float32 or as arrays, of the ids asked for; those of another length are dropped."""
+    own = stored.where(F.col("vector").isNotNull()).join(ids.select("id"), "id", "left_semi")
+    if dict(stored.dtypes)["vector"] == "binary":
+        own = own.withColumn("vector", V.unpacked(F.col("vector")))
+    return own.where(F.size("vector") == dimensions).select("id", "vector")
+
+
+def evaluation_records(rows: DataFrame) -> DataFrame:
+    """Records (id, text, person, org, tags, date) of a spreadsheet's rows, for an evaluation without a store."""
+    number = F.row_number().over(Window.partitionBy("file").orderBy("ordinal"))
+    return rows.select(
+        F.concat_ws("#", "file", number.cast("string")).alias("id"), "title", "description", "owner", "account", "support_type", "priority", "product", "created_at"
+    ).select("id", F.concat_ws("\n", "title", F.nullif(F.substring("description", 1, 500), F.lit(""))).alias("text"), T.first_text(F.col("owner"), F.lit("Okänd")).alias("person"), F.nullif("account", F.lit("")).alias("org"),
+        F.filter(F.array("support_type", "priority", "product"), lambda t: t != "").alias("tags"), F.try_to_timestamp(F.nullif("created_at", F.lit(""))).alias("date"))
+
+
 def json_entities(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Rows of a JSON-lines file with the defaults of their kind; broken lines and rows without an id are dropped."""
     fields = SCHEMAS[kind]
@@ -151,25 +232,6 @@ def spreadsheets(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(f["path"], f["content"], strict=True):
                 rows = sheet_records(data)
                 if rows:
-                    yield pd.DataFrame(rows).assign(file=name)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ", ".join(f"{k} string" for k in [*HEADERS, "file"]))
-
+                    yield pd.DataFrame(rows).assign(file=name, ordinal=range(len(rows)))
 
-def paged(spark: SparkSession, fetch: Callable[[str | None], tuple[list[dict], str | None]], category: Callable[[dict], str], most: int = 10) -> DataFrame:
-    """(category) of every ticket of a feed that is read page by page, at most `most` pages; fetch(cursor) gives rows and the next cursor."""
-    rows, cursor = [], None
-    for _ in range(most):
-        page, cursor = fetch(cursor)
-        rows += [(category(x),) for x in page]
-        if not cursor:
-            break
-    return spark.createDataFrame(rows, "category string")
-
-
-#: How each provider names a ticket's category.
-CATEGORY = {
-    "freshdesk": lambda x: x.get("type") or "Uncategorized",
-    "zendesk": lambda x: (x.get("tags") or ["Uncategorized"])[0],
-    "hubspot": lambda x: (x.get("properties") or {}).get("hs_pipeline_stage") or "Uncategorized",
-}
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ", ".join(f"{k} string" for k in [*HEADERS, "file"]) + ", ordinal long")

@@ -1,0 +1,45 @@
+"""Records from templates, for trying a pipeline out at any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators import records
+
+#: Topics: texts, tags and organisations.
+TOPICS = [
+    (["Printer on floor two prints blank pages", "Printer queue is stuck", "Toner is reported empty"], ["print"], ["Sales", "Store"]),
+    (["Login fails after the change of password", "No access to the payroll system"], ["login", "access"], ["Finance", "HR", "IT"]),
+    (["Invoice shows the wrong amount", "Invoice was sent twice", "Invoice lacks a reference", "Invoice came late"], ["billing"], ["Finance"]),
+    (["Network drops in the meeting room", "Wireless is slow in the mornings"], ["network"], ["IT", "Office"]),
+]
+PERSONS = ["Ada", "Bo", "Cleo", "Dan", "Eli"]
+
+
+def _pick(values: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+
+
+def generated(spark: SparkSession, n: int, prefix: str, workspace: str, topics: list = TOPICS, first_day: str = "2024-01-01", days: int = 60) -> DataFrame:
+    """n records: the i-th has the topic, text, person and organisation whose place is i modulo their count.
+
+    From the second use of a topic's texts on, a text ends in its number, so that
+    none is a copy. Dates are spread over `days` by i, so results repeat.
+    """
+    df = spark.range(n).withColumnRenamed("id", "i")
+    which, i = F.col("i") % len(topics), F.col("i")
+
+    def of(f) -> Column:
+        out = F
+        for k, topic in enumerate(topics):
+            out = out.when(which == k, f(topic))
+        return out
+
+    text = of(lambda t: F.concat(_pick(t[0], i), F.when(i >= len(t[0]), F.concat(F.lit(" ("), (F.floor(i / len(t[0])) + 1).cast("string"), F.lit(")"))).otherwise("")))
+    date = F.timestamp_seconds(F.unix_timestamp(F.lit(first_day), "yyyy-MM-dd") + i * 7 % days * 86_400)
+    out = df.select(
+        (i + 1).alias("id"), F.concat(F.lit(f"{prefix}-"), (i + 1).cast("string")).alias("batch"), text.alias("text"), _pick(PERSONS, i).alias("person"), of(lambda t: _pick(t[2], i)).alias("org"),
+        of(lambda t: F.array(*map(F.lit, t[1]))).alias("tags"), date.alias("date"), F.lit(workspace).alias("workspace"),
+    )
+    return records.with_ordinal(out)

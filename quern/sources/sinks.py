@@ -1,8 +1,11 @@
-"""Writers: staged replacement, append, indexes with a manifest."""
+"""Writers: versions of tables, append, indexes with a manifest."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,26 +14,91 @@ def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write df beside path, then move it there: readers see the old table or the new one."""
-    spark = df.sparkSession
+def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fresh, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(fresh)
-    files.delete(place(old), True)
-    if files.exists(place(path)):
-        files.rename(place(path), place(old))
-    files.rename(place(fresh), place(path))
-    files.delete(place(old), True)
-
-
-def embedding_index(df: DataFrame, path: str, digits: int = 6) -> DataFrame:
-    """Write (id, signature, model, vector) as JSON in the order of ids, rounded; returns one row of counts."""
-    out = df.withColumn("vector", F.transform("vector", lambda x: F.round(x, digits)))
-    out.orderBy("id").write.mode("overwrite").json(path)
-    return out.agg(F.count(F.lit(1)).alias("count"), F.max(F.size("vector")).alias("dimensions"), F.count_distinct("model").alias("models"))
+    return jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _text(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """Write a small file in one piece: beside its place, then moved there. Without text, read it; None if there is none."""
+    place, files = _files(spark, path)
+    if text is None:
+        if not files.exists(place):
+            return None
+        stream = files.open(place)
+        try:
+            return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    fresh, _ = _files(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(fresh, True)
+    stream.write(text.encode())
+    stream.close()
+    files.delete(place, False)
+    files.rename(fresh, place)
+    return text
+
+
+def replace(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write tables as one new version below folder, then name it in folder/CURRENT.
+
+    Readers that follow CURRENT (see current) see all tables of one version: the
+    old one until the name is there, then the new one. A run that fails before
+    leaves the old version; the version before last is removed.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    name = f"v-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{name}/{table}")
+    before = _text(spark, f"{folder}/CURRENT")
+    names = ([] if before is None else before.split())[-1:] + [name]
+    _text(spark, f"{folder}/CURRENT", " ".join(names))
+    for old in ([] if before is None else before.split())[:-1]:
+        place, files = _files(spark, f"{folder}/{old}")
+        files.delete(place, True)
+
+
+def current(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
+    """A table of the version that folder/CURRENT names; None if there is none."""
+    names = _text(spark, f"{folder}/CURRENT")
+    return None if names is None else spark.read.parquet(f"{folder}/{names.split()[-1]}/{table}")
+
+
+def added(new: dict[str, DataFrame], folder: str) -> None:
+    """A new version with what the tables held and the rows of new: all of them, or none."""
+    spark = next(iter(new.values())).sparkSession
+    held = {k: current(spark, folder, k) for k in new}
+    replace({k: df if held[k] is None else held[k].unionByName(df) for k, df in new.items()}, folder)
+
+
+def loaded_graph(vertices: dict[str, DataFrame], edges: dict[str, DataFrame], folder: str, now: str) -> dict:
+    """Replace the graph's tables below folder; returns, and writes as manifest.json, when it was made and the rows of each table."""
+    spark = next(iter(vertices.values())).sparkSession
+    replace({**vertices, **edges}, folder)
+    out = {"generated_at": now, "counts": {k: current(spark, folder, k).count() for k in [*vertices, *edges]}}
+    _text(spark, f"{folder}/manifest.json", json.dumps(out, indent=2))
+    return out
+
+
+def embedding_index(df: DataFrame, path: str, model: str, now: str, digits: int = 6, failures: int = 50) -> dict:
+    """Write (id, signature, vector) as JSON in the order of ids, rounded, and a manifest of counts beside it, which is returned.
+
+    df also has status: embedded, reused or failed, and error. Failed records are
+    not written; the manifest names the first `failures` of them.
+    """
+    out = df.where("status <> 'failed'").withColumn("vector", F.transform("vector", lambda x: F.round(x, digits))).withColumn("model", F.lit(model)).withColumn("dimensions", F.size("vector"))
+    out.drop("status", "error").orderBy("id").write.mode("overwrite").json(path)
+    c = df.agg(F.count(F.lit(1)).alias("entities"), *[F.count_if(F.col("status") == k).alias(k) for k in ("embedded", "reused", "failed")], F.max(F.size("vector")).alias("dimensions")).first()
+    named = df.where("status = 'failed'").orderBy("id").limit(failures).select(F.concat_ws(": ", "id", F.coalesce("error", F.lit("embedding generation failed"))).alias("x")).collect()
+    counts = {"entities": c["entities"], "output": c["entities"] - c["failed"], "embedded": c["embedded"], "reused": c["reused"], "failed": c["failed"]}
+    manifest = {"generated_at": now, "model": model, "dimensions": c["dimensions"] or 0, "counts": counts, "failures": [r["x"] for r in named]}
+    _text(df.sparkSession, f"{path}.manifest.json", json.dumps(manifest, indent=2))
+    return manifest
+
+
+def result_json(df: DataFrame, path: str) -> None:
+    """Rows of an evaluation as JSON lines."""
+    df.write.mode("overwrite").json(path)
 
 
 def sealed(column: str, key: bytes):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import text as T
-from quern.operators import records
+from quern.operators import batches, records, relational
+from quern.sources import sinks
 
 
 def captured(stream: DataFrame) -> DataFrame:
@@ -30,3 +33,32 @@ def daily_counts(stream: DataFrame, at: str = "ts", category: str = "category",
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write what is there now as Parquet, then stop; called again, it goes on from the checkpoint."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def merged_to(stream: DataFrame, folder: str, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Insert what comes in and is not there yet, by keys, into a table of versions below folder; then stop.
+
+    A micro-batch that is run again inserts nothing twice, for its rows are there.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        held = sinks.current(batch.sparkSession, folder, table)
+        fresh = batch.dropDuplicates(keys)
+        sinks.replace({table: fresh if held is None else relational.insert_absent(held, fresh, keys)}, folder)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def embedded_to(stream: DataFrame, embed: Callable[[list[str]], list[list[float]]], folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep vectors (id, signature, vector) below folder: records (id, text) that are new, or whose text is, are embedded; then stop."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = sinks.current(spark, folder, "vectors")
+        own = batch.withColumn("signature", F.sha2("text", 256)).dropDuplicates(["id"])
+        due = own if held is None else own.join(held.select("id", "signature"), ["id", "signature"], "left_anti")
+        empty = spark.createDataFrame([], f"id {dict(batch.dtypes)['id']}, vector array<double>")
+        made = batches.embedded(due.select("id", "text"), embed, empty).join(due.select("id", "signature"), "id").select("id", "signature", "vector")
+        sinks.replace({"vectors": made if held is None else held.join(due.select("id"), "id", "left_anti").unionByName(made)}, folder)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
