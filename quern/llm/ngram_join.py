@@ -48,8 +48,10 @@ LOOSE = 5.5
 GROUP_BLOCK, BLOCK = 2048, 256
 #: Classes that are audited, and shingles of one (bounds), and the share of their links that has to be among the candidates.
 AUDIT, AUDIT_SHINGLES, AUDITED = 256, 20_000, 0.99
-#: The low bits of a MinHash value that a path keeps.
-PLACE = np.dtype(">u2")
+#: The low bits of a MinHash value that a path keeps, and the places of which a sketch keeps eight bits.
+PLACE, SKETCH = np.dtype(">u2"), 64
+#: Rows up to which a side is broadcast.
+SMALL = 100_000
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
@@ -97,23 +99,32 @@ def signature(s: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sketched(places: int) -> np.ndarray:
+    """The places that a sketch keeps, spread evenly; all if there are few."""
+    return np.unique(np.linspace(0, places - 1, min(SKETCH, places)).astype(np.int64))
+
+
 def signed(df: DataFrame, key: str, text: str, places: int, width: int = WORDS) -> DataFrame:
-    """Of every row: id, n (shingles), h1, h2 (of the set) and sig, two bytes per place, which sort as the values do."""
+    """Of every row: id, n (shingles), h1, h2 (of the set), sig, two bytes per place, which sort as the values do, and sketch, a byte for some places."""
     small_batches(df.sparkSession)
     rows = df.select(df[key].cast("long").alias("id"), df[text].alias("text"))
+    few = _sketched(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h, sig = [], [], []
+            n, h, sig, sketch = [], [], [], []
             for s in shingles(*utf8(b.column(1)), width):
                 n.append(len(s))
                 h.append(set_hash(s) if len(s) else (0, 0))
-                sig.append(mix(signature(s, places)).astype(PLACE).tobytes() if len(s) else None)
+                v = mix(signature(s, places)) if len(s) else None
+                sig.append(None if v is None else v.astype(PLACE).tobytes())
+                sketch.append(None if v is None else v[few].astype(np.uint8).tobytes())
             yield pa.record_batch(
-                [b.column(0), pa.array(n, pa.int32()), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"]
+                [b.column(0), pa.array(n, pa.int32()), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())],
+                ["id", "n", "h1", "h2", "sig", "sketch"],
             )
 
-    return rows.mapInArrow(run, "id long, n int, h1 long, h2 long, sig binary")
+    return rows.mapInArrow(run, "id long, n int, h1 long, h2 long, sig binary, sketch binary")
 
 
 def block_pairs(df: DataFrame, group: str, size: Column, item: str, block: int) -> DataFrame:
@@ -152,11 +163,12 @@ def _agree(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 def walk(paths: np.ndarray, sig: np.ndarray, floor: int, least: float) -> list[tuple[int, int]]:
     """Links between classes below one node of depth `floor`: a spanning forest.
 
-    paths are sorted. Below each node, from the deepest on, neighbours in the
-    order are compared first; then what is not in the largest tree meets all.
+    paths are what lies below that node, sorted. Below each node, from the
+    deepest on, neighbours in the order are compared first; then what is not in
+    the largest tree meets all.
     """
-    n, deepest = paths.shape
-    common = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(1)
+    n, deepest = len(paths), floor + paths.shape[1]
+    common = floor + np.cumprod(paths[1:] == paths[:-1], axis=1).sum(1)
     beside = (sig[1:] == sig[:-1]).mean(1) >= least
     forest, at, out = np.arange(n), np.arange(n), []
     for depth in range(deepest, floor - 1, -1):
@@ -181,13 +193,14 @@ def walk(paths: np.ndarray, sig: np.ndarray, floor: int, least: float) -> list[t
     return out
 
 
-def _candidates(least: float, floor: int, deepest: int):
+def _candidates(least: float, floor: int):
     def run(t: pa.Table) -> pa.Table:
-        """Forests of the nodes in a bucket: rows key, tree, unit_a, unit_b, cls, sig."""
-        key, a, b, tree, cls = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b", "tree", "cls"))
-        data, off = utf8(t["sig"])
-        sig = data[: int(off[-1])].view(PLACE).reshape(len(key), -1)
-        path = sig.reshape(len(key), -1, deepest)[np.arange(len(key)), tree]
+        """Forests of the nodes in a bucket: rows key, unit_a, unit_b, cls, path (below the node), sketch."""
+        key, a, b, cls = (t[c].to_numpy() for c in ("key", "unit_a", "unit_b", "cls"))
+        data, off = utf8(t["sketch"])
+        sig = data[: int(off[-1])].reshape(len(key), -1)
+        data, off = utf8(t["path"])
+        path = data[: int(off[-1])].view(PLACE).reshape(len(key), -1)
         # Sorted by node, unit and path: the trie of each node.
         order = np.lexsort((cls, *path.T[::-1], b, a, key))
         key, a, b, cls, sig, path = (x[order] for x in (key, a, b, cls, sig, path))
@@ -215,8 +228,10 @@ def _members(reps: DataFrame, floor: int, trees: int, deepest: int, least: float
     counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     units = written(block_pairs(keys.join(counts, "key"), "key", F.col("size"), "cls", GROUP_BLOCK).select("key", "tree", "unit_a", "unit_b", "cls"))
     n = max(32, -(-units.count() // 20_000))
-    dealt = units.join(reps.select("cls", "sig"), "cls").withColumn("bucket", F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int"))
-    forest = written(dealt.groupBy("bucket").applyInArrow(_candidates(least, floor, deepest), "a long, b long"))
+    below = F.substring("sig", F.col("tree") * wide + PLACE.itemsize * floor + 1, F.lit(PLACE.itemsize * (deepest - floor)))
+    bucket = F.pmod(F.xxhash64("key", "unit_a", "unit_b"), F.lit(n)).cast("int")
+    dealt = units.join(reps.select("cls", "sig", "sketch"), "cls").select(bucket.alias("bucket"), "key", "unit_a", "unit_b", "cls", below.alias("path"), "sketch")
+    forest = written(dealt.groupBy("bucket").applyInArrow(_candidates(least, floor), "a long, b long"))
     members = written(connected_components(forest).withColumnRenamed("id", "cls"))
     discard(counts, units, forest)
     return members
@@ -231,10 +246,10 @@ def _audited(texts: DataFrame, reps: DataFrame, members: DataFrame, threshold: f
     """
     whole = reps.join(members, "cls", "left")
     # At most AUDIT classes of at most AUDIT_SHINGLES shingles, those whose number hashes lowest.
-    drawn = whole.where(F.col("n") <= AUDIT_SHINGLES).orderBy(F.xxhash64(F.lit("audit"), "cls"), "cls").limit(AUDIT).select("cls", "rep", "h1", "h2", "sig", "component").collect()
+    drawn = whole.where(F.col("n") <= AUDIT_SHINGLES).orderBy(F.xxhash64(F.lit("audit"), "cls"), "cls").limit(AUDIT).select("cls", "rep", "h1", "h2", "sketch", "component").collect()
     if not drawn:
         return 1.0
-    ids, queries = sorted({r["rep"] for r in drawn}), np.stack([np.frombuffer(r["sig"], PLACE) for r in drawn])
+    ids, queries = sorted({r["rep"] for r in drawn}), np.stack([np.frombuffer(r["sketch"], np.uint8) for r in drawn])
     at = {(r["h1"], r["h2"]): k for k, r in enumerate(drawn)}
     own = np.array([r["cls"] for r in drawn])
     comp = np.array([-1 - k if r["component"] is None else r["component"] for k, r in enumerate(drawn)])
@@ -250,7 +265,7 @@ def _audited(texts: DataFrame, reps: DataFrame, members: DataFrame, threshold: f
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
-            sig = data[: int(off[-1])].view(PLACE).reshape(b.num_rows, -1)
+            sig = data[: int(off[-1])].reshape(b.num_rows, -1)
             yield pa.record_batch([b.column(0).filter(pa.array(_agree(sig, queries, least).any(1)))], ["cls"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +281,12 @@ def _audited(texts: DataFrame, reps: DataFrame, members: DataFrame, threshold: f
                 found += (hit & (comp[:, None] == component[good][None, :])).sum(1)
         yield pa.record_batch([pa.array(own), pa.array(total), pa.array(found)], ["q", "linked", "found"])
 
-    close = reps.select("cls", "sig").mapInArrow(near, "cls long")
-    read = texts.join(whole.join(close, "cls").select("rep", "cls", "h1", "h2", "component"), "rep").select("cls", "h1", "h2", "component", "text")
+    close = written(reps.select("cls", "sketch").mapInArrow(near, "cls long"))
+    asked = written(whole.join(F.broadcast(close) if close.count() <= SMALL else close, "cls").select("rep", "cls", "h1", "h2", "component"))
+    read = texts.join(F.broadcast(asked) if asked.count() <= SMALL else asked, "rep").select("cls", "h1", "h2", "component", "text")
     sums = read.mapInArrow(linked, "q long, linked long, found long").groupBy("q").agg(F.sum("linked").alias("linked"), F.sum("found").alias("found"))
     shares = sums.where("linked > 0").agg(F.avg(F.col("found") / F.col("linked"))).first()[0]
+    discard(close, asked)
     return 1.0 if shares is None else float(shares)
 
 
@@ -354,10 +371,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     they count in no links. Other columns of df are ignored, whatever their
     names.
     """
-    floor, least = prefix_depth(threshold, trees, recall, deepest), least_agreement(threshold, trees * deepest)
+    floor, least = prefix_depth(threshold, trees, recall, deepest), least_agreement(threshold, len(_sketched(trees * deepest)))
     rows = written(signed(df, key, text, trees * deepest, width))
     known = rows.where("id is not null and n > 0")
-    reps = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     # The numbers hold because they are written.
     reps = written(reps.withColumn("cls", F.monotonically_increasing_id()))
     texts = df.select(df[key].cast("long").alias("rep"), df[text].alias("text"))
@@ -373,7 +390,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     total = members.agg(F.sum(F.col("n") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
     # A shingle stands for about seven bytes of text.
     n = bucket_count(7 * int(total))
-    units = block_pairs(texts.join(members, "rep"), "component", F.col("size"), "cls", BLOCK)
+    # Texts are shuffled at every size, so that the plan of a small input is that of a large one.
+    units = block_pairs(texts.join(members.hint("merge"), "rep"), "component", F.col("size"), "cls", BLOCK)
     units = units.withColumn("bucket", F.pmod(F.xxhash64("component", "unit_a", "unit_b"), F.lit(n)).cast("int"))
     found = written(units.select("bucket", "component", "unit_a", "unit_b", "own", "cls", "weight", "h1", "h2", "text").groupBy("bucket").applyInArrow(_verifier(threshold, width), "a long, b long, links long"))
     discard(met, sizes, members)
