@@ -108,14 +108,18 @@ def _scan(df: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> gbt.Model:
     """Trees fitted on at most `sample` labelled documents, those whose key hashes lowest.
 
-    Labels that are null are left out; a key with two labels counts twice. With
-    no labelled document at all, the model keeps everything.
+    Labels that are null are left out; a key with two labels counts twice, and
+    one with several documents once, by the text that hashes lowest. With no
+    labelled document at all, the model keeps everything.
     """
     own = labels.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label")).where("_key is not null and _label is not null")
     share = min(1.0, sample / max(1, own.count()))
-    own = own.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))).limit(sample)
-    # At most `sample` keys and labels are broadcast.
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(own), "_key").select("_label", "_text")
+    number = F.pmod(F.xxhash64("_key"), F.lit(1 << 40))
+    # In the order of the hash, so that the same labels are drawn whatever ran first.
+    own = own.where(number <= F.lit(int(share * (1 << 40)))).orderBy(number, "_key", "_label").limit(sample)
+    # At most `sample` keys and labels are broadcast; of a key's documents one is left.
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(own), "_key")
+    rows = rows.groupBy("_key", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text")).select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
