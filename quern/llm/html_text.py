@@ -189,7 +189,9 @@ def parse(page: str) -> list[Node]:
             continue
         if name in _VOID:
             current.controls += name == "input"
-            if name in ("br", "hr", "img"):
+            if name == "hr":  # parts two blocks
+                flush()
+            elif name in ("br", "img"):
                 text(" ")
             continue
         attributes = m[3] or m[6] or ""
