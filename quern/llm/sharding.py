@@ -8,7 +8,8 @@ rows only into itself and a removed shard's rows alone move.
 All of it is DataFrame functions. Slots within a shard are numbered in two
 steps, so that no task sees more than a sub-bucket of a shard: rows are ranked
 inside (shard, sub-bucket), and the counts of the sub-buckets, a table of
-shards x sub-buckets rows at most, give each its first slot.
+shards x sub-buckets rows at most, give each its first slot. There are as many
+sub-buckets as the count of rows asks for.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sub-buckets of a shard, among which its rows are ranked separately.
-SUB_BUCKETS = 64
+#: Sub-buckets of a shard at least, rows that one should hold, and rows up to which a side is broadcast.
+SUB_BUCKETS, SUB_ROWS, SMALL = 64, 250_000, 1_000_000
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -40,7 +41,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return F.array_min(F.transform(shards, draw)).getField("shard").cast("int")
 
 
-def shard(df: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text", sub_buckets: int = SUB_BUCKETS, next_weight: float | None = None) -> DataFrame:
+def shard(df: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text", sub_buckets: int | None = None, next_weight: float | None = None) -> DataFrame:
     """Each row of df with its size, checksum, shard, slot and the shard it would have with one more shard.
 
     Returns key, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard,
@@ -49,6 +50,8 @@ def shard(df: DataFrame, weights: list[float], key: str = "doc_id", text: str =
     each: equal keys share a shard, and all null keys do. An empty table gives
     an empty result. Other columns of df are ignored, whatever their names.
     """
+    if sub_buckets is None:
+        sub_buckets = max(SUB_BUCKETS, -(-df.count() // (SUB_ROWS * len(weights))))
     grown = [*weights, weights[-1] if next_weight is None else next_weight]
     rows = df.select(
         F.col(key).alias(key),
@@ -62,7 +65,8 @@ def shard(df: DataFrame, weights: list[float], key: str = "doc_id", text: str =
     counts = rows.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     firsts = counts.select("shard", "_sub", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("_n")).alias("_first"))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_sub").orderBy(key, "text_crc32", "size")) - 1)
-    # firsts holds at most len(weights) * sub_buckets rows, whatever the input.
-    return ranked.join(F.broadcast(firsts), ["shard", "_sub"]).select(
+    # firsts holds at most len(weights) * sub_buckets rows.
+    firsts = F.broadcast(firsts) if len(weights) * sub_buckets <= SMALL else firsts
+    return ranked.join(firsts, ["shard", "_sub"]).select(
         key, "size", "text_crc32", "law", "shard", (F.col("_first") + F.col("_rank")).cast("long").alias("slot"), "grown_shard"
     )
