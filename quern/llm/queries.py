@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, html_text, ngram_join, packing, quality, sharding, sstable, substring, suffix_dedup, vector_graph
+from quern.llm import bpe, html_text, ngram_join, oracles, packing, quality, sharding, sstable, substring, suffix_dedup, vector_graph
 
 MULTI_50K, BYTE_50K = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS = 40
@@ -72,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracles.oracle_sql()

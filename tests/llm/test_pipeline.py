@@ -1,8 +1,13 @@
 from collections import defaultdict
 
+import duckdb
 import pytest
+from conftest_llm import pairs
+from test_near import components, grams
+from test_substrings import covered
 
 import corpus_pipeline
+from quern.llm import queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -32,3 +37,30 @@ def test_stages_take_odd_rows(spark, docs, none, stage):
     assert out.columns == docs.columns and out.count() <= docs.count() and stage(spark, none, DIR).count() == 0
     bare = docs.select("doc_id", "text")
     assert stage(spark, bare, DIR).columns == bare.columns
+
+
+def test_stages_equal_brute_force(spark):
+    """The n-gram join and the suffix arrays, each on what the stage before kept."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    quality, join, suffix, _ = (f for _, f in corpus_pipeline.STAGES)
+    docs = corpus_pipeline.written(quality(spark, docs, DIR))
+    sets = {i: grams(t) for i, t in pairs(docs)}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    least = components(ids, near)
+    docs = corpus_pipeline.written(join(spark, docs, DIR))
+    assert near and {i for i, _ in pairs(docs)} == {i for i in ids if least[i] == i}
+    left = dict(pairs(suffix(spark, docs, DIR)))
+    for i, w, gone in covered(pairs(docs), 50, lambda t: (t or "").encode()):
+        assert left[i] == bytes(x for x, g in zip(w, gone, strict=True) if not g).decode("utf-8", "ignore")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, DIR).toPandas()
+    rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy().tolist()))
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,9 +9,11 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest_llm import pairs
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, gbt, html_text, packing, quality, sharding, sstable, tokens
 from quern.llm.html_pages import pages
@@ -147,6 +151,21 @@ def test_sharding(docs, none):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sharding.shard(none, [1.0]).count() == 0
 
 
+def test_the_winning_shard_by_another_way(spark):
+    """Every draw anew, with another library's hash."""
+    weights, own = [1.0, 2.0, 0.5, 1.0], {}
+    for k in range(500):
+        draws = []
+        for i, w in enumerate(weights):
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
+            draws.append((-math.log(((xxhash.xxh64_intdigest(struct.pack("<i", i), seed) >> 11) + 0.5) / (1 << 53)) / w, i))
+        own[k] = min(draws)[1]
+    df = spark.range(500).selectExpr("id as doc_id", "'t' as text")
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(df, weights).collect()} == own
+    few = sharding.shard(df, weights, sub_buckets=3).groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["m"] + 1 for r in few)
+
+
 def test_weights_and_growth(spark):
     df = spark.range(20000).selectExpr("id as doc_id", "'t' as text")
     a = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard(df, [1.0, 3.0, 0.0]).collect()}
@@ -178,6 +197,16 @@ def test_quality_counts_and_verdict(spark, docs, none):
     assert quality.judge(none, labels).count() == 0 and quality.judge(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_more_labels_than_the_sample(spark):
+    """A bound on labels, repeated ids and repeated labels: as many rows are fitted as the bound says, the same each time."""
+    docs = spark.createDataFrame([(k % 40, f"some text number {k} " * 30) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 40, k % 2) for k in range(80)], "doc_id long, quality int")
+    assert quality.judge(docs, labels, sample=10).count() == 200
+    a, b = (quality.train(docs.repartition(n), labels.repartition(n), sample=10) for n in (2, 5))
+    x = np.random.default_rng(0).normal(size=(50, len(quality.FEATURES)))
+    assert (a.probability(x) == b.probability(x)).all()
+
+
 def test_quality_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -221,6 +250,10 @@ def test_pages_of_all_kinds(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_a_rule_parts_blocks():
+    assert [t for n in html_text.parse("<div>one<hr>two<br>three</div>") for _, t in n.blocks] == ["one", "two three"]
+
+
 def test_missing_end_tags_drop_no_text():
     from quern.llm.html_text import parse
 
