@@ -58,6 +58,21 @@ def checked(df: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame,
     return df.where(good), df.where(~good)
 
 
+def branches(root: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
+    """root with an array for each part: the structs of its rows with the root's key, in their order, empty without any.
+
+    Every part is aggregated before it is joined, so the parts do not multiply
+    each other. A root's rows are a list that is shown, and as long as it is.
+    """
+    out = root
+    for name, part in parts.items():
+        fields = [c for c in part.columns if c != key]
+        listed = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        kind = listed.schema[name].dataType
+        out = out.join(listed, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out
+
+
 def tagged(df: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
     """df with tags, the sorted names that links (id, tag_id) give it; none is an empty array."""
     names = links.join(tags, "tag_id").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("tags"))

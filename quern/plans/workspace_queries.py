@@ -97,6 +97,34 @@ def record_scan(spark, sf_dir):
     return found.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "person", "org", "batch", F.array_join("tags", ",").alias("tags"), F.col("date").cast("timestamp_ntz").alias("date"))
 
 
+@query("pattern_detail", """WITH l AS (SELECT o_custkey AS pattern_id, list(o_orderkey || ':' || o_orderstatus || ':' || lines ORDER BY o_orderkey) AS r FROM orders JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1),
+s AS (SELECT p_partkey % 100 AS pattern_id, list(p_name ORDER BY p_name) AS n FROM part WHERE p_size < 5 GROUP BY 1), e AS (SELECT s_suppkey % 50 AS pattern_id, list(s_name || ':' || n_name ORDER BY s_name) AS x FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1)
+SELECT c_custkey AS pattern_id, coalesce(array_to_string(r, ','), '') AS records, coalesce(array_to_string(n, ','), '') AS suggestions, coalesce(array_to_string(x, ','), '') AS evidence
+FROM customer LEFT JOIN l ON l.pattern_id = c_custkey LEFT JOIN s ON s.pattern_id = c_custkey LEFT JOIN e ON e.pattern_id = c_custkey""")
+def pattern_detail(spark, sf_dir):
+    """Patterns with their records (and what these hold), suggestions and evidence with its snapshot."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    held = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("pattern_id"), "o_orderkey", "o_orderstatus", "lines")
+    advice = table(spark, sf_dir, "part").where("p_size < 5").select((F.col("p_partkey") % 100).alias("pattern_id"), "p_name")
+    proof = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") % 50).alias("pattern_id"), "s_name", "n_name")
+    out = relational.branches(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pattern_id")), "pattern_id", records=held, suggestions=advice, evidence=proof)
+    return out.select(
+        "pattern_id", F.array_join(F.transform("records", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"], x["lines"].cast("string"))), ",").alias("records"),
+        F.array_join(F.transform("suggestions", lambda x: x["p_name"]), ",").alias("suggestions"), F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["s_name"], x["n_name"])), ",").alias("evidence"),
+    )
+
+
+@query("workspace_tree", """WITH m AS (SELECT c_nationkey AS team_id, list(c_custkey || ':' || orders ORDER BY c_custkey) AS members FROM customer JOIN (SELECT c_custkey AS k, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) ON k = c_custkey GROUP BY 1)
+SELECT r_name AS workspace, n_name AS team, coalesce(array_to_string(members, ','), '') AS members FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN m ON team_id = n_nationkey""")
+def workspace_tree(spark, sf_dir):
+    """A workspace's teams, and their persons with how many records each has."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("team_id"), F.col("c_custkey").alias("person_id"))
+    c = relational.with_count(c, table(spark, sf_dir, "orders"), "person_id", "o_custkey", "records").select("team_id", "person_id", "records")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("team_id"), F.col("r_name").alias("workspace"), F.col("n_name").alias("team"))
+    out = relational.branches(n, "team_id", members=c)
+    return out.select("workspace", "team", F.array_join(F.transform("members", lambda x: F.concat_ws(":", x["person_id"].cast("string"), x["records"].cast("string"))), ",").alias("members"))
+
+
 @query("unnormalised", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0")
 def unnormalised(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.lower("text")).alias("normalized"))
