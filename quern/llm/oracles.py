@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators whose whole result SQL can express, by the definitions and without the methods.
 
 The rest has none: BPE ids, the packing and the files of ids depend on merges,
-main text and quality on fitted trees, and the shards on a hash that SQL lacks.
+main text and quality on fitted trees.
 """
 
 from __future__ import annotations
@@ -39,6 +39,14 @@ OP10 = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings), v AS (
 edges AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.x) = len(q.x) AND p.id <> q.id WHERE list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x))) >= 0.98), {_REACH}
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, id = c AS kept, 1.0::DOUBLE AS audited_recall FROM least LEFT JOIN degree USING (id)"""
 
+#: Draws and slots by the MD5 they are defined with; the checksum by its table.
+OP8 = """WITH t AS (SELECT list(c ORDER BY n) AS crc FROM (SELECT n, list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, k, length(x) // 2 + 16 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT)), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, t),
+draws AS (SELECT k, s, -ln((('0x' || left(md5(k || ':' || s), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS draw FROM (SELECT DISTINCT k FROM d), range(41) r(s)),
+best AS (SELECT k, arg_min(s, draw) FILTER (s < 40) AS shard, arg_min(s, draw) AS grown_shard FROM draws GROUP BY 1)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || left(md5('slot:' || k || ':' || text_crc32), 13))::BIGINT % 64, doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM b JOIN best USING (k)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op2_suffix_array": OP2, "op9_substring": OP9, "op10_vector_graph": OP10}
+    return {"op1_ngram_join": OP1, "op2_suffix_array": OP2, "op8_sharding": OP8, "op9_substring": OP9, "op10_vector_graph": OP10}
