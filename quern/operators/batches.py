@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Records that one call takes, by task.
 SIZES = {"normalise": 40, "tag": 25, "detect": 50, "suggest": 8}
@@ -34,15 +36,28 @@ def mapped(df: DataFrame, call: Callable[[list[str]], list[str]], size: int, col
     return df.select("id", column).mapInPandas(run, f"id {kinds['id']}, `{column}` string, reply string, status string")
 
 
-def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], known: DataFrame, size: int = 64) -> DataFrame:
-    """(id, vector) for df (id, text): what known (id, vector) has, the rest from embed."""
+def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], known: DataFrame, size: int = 64, dimensions: int | None = None, normal: bool = False) -> DataFrame:
+    """(id, vector) for df (id, text): what known (id, vector) has, the rest from embed, one vector a text.
+
+    With `dimensions`, a known vector of another length is made anew, and a new
+    one of another length is an error; with `normal`, new ones get unit length.
+    """
     kind = dict(df.dtypes)["id"]
+    if dimensions is not None:
+        known = known.where(F.size("vector") == dimensions)
+
+    def made(texts: list[str]) -> list[list[float]]:
+        x = np.array(embed(texts), float).reshape(len(texts), -1)
+        if dimensions is not None and x.shape[1] != dimensions:
+            raise ValueError(f"vectors of {x.shape[1]} numbers, not {dimensions}")
+        length = np.sqrt((x * x).sum(1, keepdims=True))
+        return list(np.divide(x, length, out=np.zeros_like(x), where=length > 0) if normal else x)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), size):
                 part = f.iloc[lo : lo + size]
-                yield pd.DataFrame({"id": part["id"], "vector": embed(part["text"].tolist())})
+                yield pd.DataFrame({"id": part["id"], "vector": made(part["text"].tolist())})
 
     fresh = df.join(known, "id", "left_anti").select("id", "text").mapInPandas(run, f"id {kind}, vector array<double>")
     return df.select("id").join(known.select("id", "vector"), "id").unionByName(fresh)

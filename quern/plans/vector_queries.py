@@ -18,10 +18,11 @@ def vectors(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    """Similarities within a cluster: the equi-key bounds what meets."""
-    a = vectors(spark, sf_dir)
+    """Similarities within a cluster: the equi-key bounds what meets. Vectors get their length once, not for each pair."""
+    sized = vectors(spark, sf_dir).withColumn("size", F.sqrt(V.dot(F.col("vector"), F.col("vector"))))
+    a = sized.select("id", "cluster", F.transform("vector", lambda x: F.when(F.col("size") > 0, x.cast("double") / F.col("size")).otherwise(0.0)))
     both = a.toDF("i", "cluster", "x").join(a.toDF("j", "cluster", "y"), "cluster").where("i < j")
-    return both.select("cluster", "i", "j", V.cosine(F.col("x"), F.col("y")).alias("sim"))
+    return both.select("cluster", "i", "j", V.dot(F.col("x"), F.col("y")).alias("sim"))
 
 
 @query("pair_similarity", _PAIRS + " SELECT cluster, i, j, round(sim, 4) + 0.0 AS sim FROM pairs")

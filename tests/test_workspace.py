@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import analytics, context, entities, evaluate, imports, records, relational, replies
+from quern.operators import analytics, batches, context, entities, evaluate, imports, records, relational, replies
 from quern.sources import feeds, readers, samples, sinks
 from quern.streaming import capture
 
@@ -222,6 +222,15 @@ def test_streams_merge(spark, tmp_path):
     assert {r["id"]: r["vector"][0] for r in sinks.current(spark, f"{out}/v", "vectors").collect()} == {1: 2.0, 2: 1.0, 3: 2.0}
 
 
+def test_vectors_of_a_length(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, text string")
+    known = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id long, vector array<double>")
+    got = batches.embedded(df, lambda texts: [[3.0, 4.0]] * len(texts), known, dimensions=2, normal=True)
+    assert {r["id"]: list(r["vector"]) for r in got.collect()} == {1: [1.0, 0.0], 2: [0.6, 0.8], 3: [0.6, 0.8]}
+    with pytest.raises(Exception, match="vectors of 1 numbers, not 2"):
+        batches.embedded(df, lambda texts: [[1.0]] * len(texts), known, dimensions=2).collect()
+
+
 def test_daily_counts(spark, tmp_path):
     schema = "ts timestamp, category string"
     rows = [(datetime(2024, 1, d, h), c) for d, h, c in ((1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, "a"), (9, 1, "a"))]
