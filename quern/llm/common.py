@@ -12,6 +12,7 @@ buckets follows the size of the input, so what one reducer holds does not.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one mapper gathers before it emits, and that one bucket stands for.
-CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 8 << 20
+#: Bytes of text that one mapper gathers before it emits, that one bucket stands for, and that are looked at together.
+CHUNK_BYTES, BUCKET_BYTES, PART_BYTES = 16 << 20, 8 << 20, 4 << 20
 #: Rows in one Arrow batch; long texts make large batches.
 BATCH_ROWS = 1000
 #: Bytes of a span beyond which it is hashed by itself.
@@ -77,7 +78,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in batches of at most BATCH_ROWS rows and about 16 MB."""
+    """Hand rows to Python in batches of at most BATCH_ROWS rows and about 16 MB.
+
+    The setting is read when a plan runs, after its operator has returned, so it
+    stays in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
@@ -237,6 +242,30 @@ def chunked(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in batches with at most `most` bytes in a column of texts, or one row."""
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many tasks, and its peaks are not the next one's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
@@ -252,7 +281,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     pairs = written(pairs)
-    before = None
+    state = (F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")))
+    before = pairs.agg(*state).first()
     while True:
         # Large star: each id hands its larger neighbours its least neighbour (or itself).
         both = pairs.union(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -265,7 +295,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = written(small)
         discard(pairs, least, large, low)
         pairs = small
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        now = pairs.agg(*state).first()
         if now == before:
             break
         before = now

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, bucket_count, connected_components, discard, mix, small_batches, spans_hash, utf8, windows_hash, words, written
+from quern.llm.common import U64, bucket_count, connected_components, discard, give_back, mix, parts, small_batches, spans_hash, utf8, windows_hash, words, written
 
 WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
 #: Standard deviations below the threshold from which on two signatures are no candidates.
@@ -111,7 +111,7 @@ def signed(df: DataFrame, key: str, text: str, places: int, width: int = WORDS)
     few = _sketched(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             n, h, sig, sketch = [], [], [], []
             for s in shingles(*utf8(b.column(1)), width):
                 n.append(len(s))
@@ -124,6 +124,8 @@ def signed(df: DataFrame, key: str, text: str, places: int, width: int = WORDS)
                 ["id", "n", "h1", "h2", "sig", "sketch"],
             )
 
+        give_back()
+
     return rows.mapInArrow(run, "id long, n int, h1 long, h2 long, sig binary, sketch binary")
 
 
@@ -356,6 +358,7 @@ def _verifier(threshold: float, width: int):
             links += [(int(cls[at[k]]), int(count[k])) for k in np.flatnonzero(count)]
             edges += [(int(cls[at[x]]), int(cls[at[y]])) for x, y in spanning(ok, np.arange(len(at)), left, right)]
         rows = [(r, None, n) for r, n in links] + [(x, y, None) for x, y in edges]
+        give_back()
         return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "links"])
 
     return run

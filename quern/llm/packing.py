@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quern.llm.common import chunked, small_batches
+from quern.llm.common import chunked, give_back, small_batches
 from quern.llm.tokens import encoder
 
 CAPACITY, END = 2048, 1
@@ -140,6 +140,8 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capa
                 names,
             )
             base += int(pieces[:, 3].max()) + 1 if len(pieces) else 0
+            del flat, pieces, out
+            give_back()
             yield from full.to_batches(max_chunksize=4096)
 
     return rows.mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")

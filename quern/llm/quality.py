@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import gbt
-from quern.llm.common import U64, covered, full_windows, mix, owner, small_batches, spans_hash, utf8, windows_hash, words
+from quern.llm.common import U64, covered, full_windows, give_back, mix, owner, parts, small_batches, spans_hash, utf8, windows_hash, words
 
 #: Characters that count as symbols; a word window; the base rules' bounds.
 SYMBOLS, REPEAT_WORDS, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 8, 20, 30
@@ -122,7 +122,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = rows.groupBy("_key", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text")).select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             x = statistics(*utf8(b.column(1)))[1]
             yield pa.record_batch([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -146,9 +146,7 @@ def score(df: DataFrame, model: gbt.Model, key: str = "doc_id", text: str = "tex
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in parts(batches, 1):
             counts, x = statistics(*utf8(b.column(1)))
             p = model.probability(x)
             failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
@@ -166,11 +164,11 @@ def passed(df: DataFrame, model: gbt.Model, text: str = "text", threshold: float
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                counts, x = statistics(*utf8(b.column(at)))
-                failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
-                yield b.filter(pa.array(~failed & (model.probability(x) >= threshold)))
+        for b in parts(batches, at):
+            counts, x = statistics(*utf8(b.column(at)))
+            failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
+            yield b.filter(pa.array(~failed & (model.probability(x) >= threshold)))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 

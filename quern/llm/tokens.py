@@ -21,8 +21,8 @@ from quern.llm.common import U64, eights, owner, spans_hash, utf8, words
 
 #: Pieces kept, the longest piece that is kept (bytes), and the table's places.
 KEPT, LONGEST, PLACES = 2_000_000, 48, 1 << 22
-#: Pieces that the library encodes as one string.
-TOGETHER = 4096
+#: Pieces that the library encodes as one string, and bytes of text whose pieces are looked up together.
+TOGETHER, PART = 4096, 2 << 20
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 # The UTF-8 forms of white space beyond ASCII.
 _OTHER_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -36,8 +36,8 @@ _KIND[[*range(65, 91), *range(97, 123)]] = 1
 def _uncut(data: np.ndarray, off: np.ndarray, special: tuple[bytes, ...]) -> np.ndarray:
     """Which texts hold white space beyond ASCII or the string of a special token."""
     out = np.zeros(len(off) - 1, bool)
+    raw = data[: int(off[-1])].tobytes() if special else b""
     for s in special:
-        raw = data.tobytes()
         at = raw.find(s)
         while at >= 0:
             k = int(np.searchsorted(off, at, "right")) - 1
@@ -101,7 +101,7 @@ class Table:
     def clear(self) -> None:
         self.n = self.n_bytes = self.n_ids = 0
         self.hashes, self.entry = np.zeros(PLACES, U64), np.zeros(PLACES, np.int32)
-        self.at, self.size, self.ids_at, self.count = (np.zeros(1024, t) for t in (np.int64, np.uint8, np.int64, np.uint8))
+        self.at, self.size, self.ids_at, self.count = (np.zeros(1024, t) for t in (np.uint32, np.uint8, np.uint32, np.uint8))
         self.bytes, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, self.dtype)
 
     def find(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ class Table:
         here, k = np.arange(len(hit)), 0
         while len(here):
             part = _MASKS[np.minimum(size[hit[here]] - k, 8)]
-            a, b = mine[start[hit[here]] + k], theirs[np.minimum(self.at[known[here]] + k, len(theirs) - 1)]
+            a, b = mine[start[hit[here]] + k], theirs[np.minimum(self.at[known[here]].astype(np.int64) + k, len(theirs) - 1)]
             wrong[here] |= (a ^ b) & part != 0
             k += 8
             here = here[size[hit[here]] > k]
@@ -200,6 +200,16 @@ class Encoder:
         A null has none. With `end`, that id follows each text's.
         """
         data, off = utf8(column)
+        lo, found, ends = 0, [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+        while lo < len(off) - 1:
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + PART, "right")) - 1)
+            flat, own = self._encode(data[off[lo] : off[hi] + 8], off[lo : hi + 1] - off[lo], end)
+            found.append(flat)
+            ends.append(own[1:] + ends[-1][-1])
+            lo = hi
+        return np.concatenate(found), np.concatenate(ends)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         start, stop, poff, joins = pieces(data, off, self.special)
         size = stop - start
         if self.table.n > KEPT:
@@ -218,7 +228,7 @@ class Encoder:
         # Long pieces, and those whose hash stands for another piece.
         alone = np.flatnonzero(entry < 0)
         extra = [self.whole(data[a:b].tobytes().decode()) for a, b in zip(start[alone].tolist(), stop[alone].tolist(), strict=True)]
-        count, at = table.count[entry].astype(np.int64), table.ids_at[entry]
+        count, at = table.count[entry].astype(np.int64), table.ids_at[entry].astype(np.int64)
         pool = table.ids
         if len(alone):
             count[alone] = [len(x) for x in extra]

@@ -183,14 +183,14 @@ def test_walk_links_what_agrees():
 
 
 def test_prefixes_are_shortened_until_the_audit_is_met(spark):
-    """Four trees, and a prediction that asks for nothing: only the audit makes prefixes short enough."""
+    """Four trees, and a prediction that asks for little: only the audit makes prefixes short enough."""
     rows = []
     for k in range(150):
         shared = [f"p{k}w{n}" for n in range(100)]
         rows += [(2 * k + side, " ".join(shared + [f"p{k}s{side}n{n}" for n in range(11)])) for side in (0, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    few = {"trees": 4, "recall": 0.0}
-    assert ngram_join.prefix_depth(0.8, 4, 0.0) == 8
+    few = {"trees": 4, "recall": 0.75}
+    assert ngram_join.prefix_depth(0.8, 4, 0.75) == 5
     loose, strict = (ngram_join.join(df, audited=a, **few).collect() for a in (0.0, 0.99))
     assert sum(r["n_links"] for r in loose) < 280 and loose[0]["audited_recall"] < 0.95
     assert sum(r["n_links"] for r in strict) >= 294 and strict[0]["audited_recall"] >= 0.99
