@@ -2,10 +2,15 @@
 
 Both substring operators work on the same frame. Documents are dealt into
 groups of about BUCKET_BYTES of text by a hash of their id (of their text where
-there is none), in one shuffle that every later step reuses. A group tells reducers what its documents hold, each
-value once however many of its documents hold it; a reducer compares the groups
-and answers a group, not its documents. So a passage in a third of all documents
-costs one message per group.
+there is none), in one shuffle that every later step reuses. A group tells
+reducers what its documents hold, each value once however many of its documents
+hold it; a reducer compares the groups and answers a group, not its documents.
+So a passage in a third of all documents costs one message per group.
+
+Groups and reducers both grow with the input, and a message from each to each
+would grow with its square. Beyond `fan` of them, a sender bundles what goes to
+one of `fan` ranges of receivers, and one more shuffle unbundles a range's
+bundles by receiver, many senders at a time.
 """
 
 from __future__ import annotations
@@ -20,12 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from quern.llm.common import binary_rows, bucket_count, chunked, one_array, small_batches, split_by, text_size, utf8
+from quern.llm.common import binary_rows, bucket_count, chunked, give_back, one_array, small_batches, split_by, text_size, utf8
 
 NO_ID = np.iinfo(np.int64).max
 MESSAGE = "bucket int, g int, blob binary"
 #: Groups (or buckets) that a task reads, from which on there are more tasks than the session's setting.
 GROUPS_PER_TASK = 4
+#: Receivers up to which every message is a row, and receivers whose bundles one task takes apart.
+FAN, UNBUNDLED = 4096, 16
+BUNDLE = "part int, salt int, blob binary"
 
 
 def dealt(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -41,9 +49,10 @@ def dealt(df: DataFrame, column: str, n: int) -> DataFrame:
 class Grouped:
     """The rows of df as compressed blobs of (id, text) by group, and how many groups and buckets there are."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, carry: Column | None = None):
+    def __init__(self, df: DataFrame, key: str, text: str, carry: Column | None = None, fan: int = FAN):
         """carry is a string that stays with its row."""
         small_batches(df.sparkSession)
+        self.fan = fan
         self.n = n = bucket_count(text_size(df, text)[1])
         carry = F.lit(None).cast("string") if carry is None else carry
         spread = F.xxhash64(df[key], F.when(df[key].isNull(), df[text]))
@@ -52,30 +61,51 @@ class Grouped:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in chunked(batches):
                 yield binary_rows(list(_blobs(t, n)), "g")
+            give_back()
 
         self.rows = dealt(rows.mapInArrow(run, "g int, blob binary"), "g", n)
 
-    def tell(self, f: Callable) -> DataFrame:
-        """f(Group) -> messages (bucket, g, blob), for every group."""
+    def tell(self, f: Callable, to: int) -> DataFrame:
+        """f(Group) -> messages (bucket, g, blob) to `to` buckets, for every group."""
+        fan = self.fan
 
         def run(t: pa.Table) -> pa.Table:
-            return messages(f(Group(t)))
+            out = sent(f(Group(t)), "bucket", to, fan)
+            give_back()
+            return out
 
-        return self.rows.groupBy("g").applyInArrow(run, MESSAGE)
+        return delivered(self.rows.groupBy("g").applyInArrow(run, MESSAGE if to <= fan else BUNDLE), "bucket", to, fan)
 
-    def hear(self, answers: DataFrame, f: Callable, schema: str | None = None) -> DataFrame:
-        """f(Group, blobs) for every group with the answers it got; messages, or rows of schema."""
+    def reduced(self, df: DataFrame, f: Callable, n: int) -> DataFrame:
+        """f(bucket, [(g, blob)]) -> messages to groups, once for all messages of each of n buckets."""
+        fan, groups = self.fan, self.n
+
+        def run(t: pa.Table) -> pa.Table:
+            out = sent(f(int(t["bucket"][0].as_py()), sorted(received(t, "g"))), "g", groups, fan)
+            give_back()
+            return out
+
+        return delivered(dealt(df, "bucket", n).groupBy("bucket").applyInArrow(run, MESSAGE if groups <= fan else BUNDLE), "g", groups, fan)
+
+    def hear(self, answers: DataFrame, f: Callable, schema: str | None = None, to: int = 0) -> DataFrame:
+        """f(Group, [(bucket, blob)]) for every group with the answers it got; messages to `to` buckets, or rows of schema."""
+        fan = self.fan
 
         def run(t: pa.Table, a: pa.Table) -> pa.Table:
             if t.num_rows == 0:
-                return empty if schema else messages([])
-            out = f(Group(t), list(zip(a["bucket"].to_pylist(), _opened(a["blob"]), strict=True)))
-            return out if schema else messages(out)
+                return empty if schema else sent([], "bucket", to, fan)
+            out = f(Group(t), received(a, "bucket"))
+            out = out if schema else sent(out, "bucket", to, fan)
+            give_back()
+            return out
 
         empty = None
         if schema:
             empty = pa.Table.from_pylist([], to_arrow_schema(_parse_datatype_string(schema)))
-        return self.rows.groupBy("g").cogroup(dealt(answers, "g", self.n).groupBy("g")).applyInArrow(run, schema or MESSAGE)
+        both = self.rows.groupBy("g").cogroup(dealt(answers, "g", self.n).groupBy("g"))
+        if schema:
+            return both.applyInArrow(run, schema)
+        return delivered(both.applyInArrow(run, MESSAGE if to <= fan else BUNDLE), "bucket", to, fan)
 
 
 def _blobs(t: pa.Table, n: int) -> Iterator[tuple[int, bytes]]:
@@ -125,14 +155,68 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(b, pa.int32()), pa.array(g, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "g", "blob"])
 
 
-def reduced(df: DataFrame, f: Callable, n: int) -> DataFrame:
-    """f(bucket, [(g, blob)]) -> messages, once for all messages of each of n buckets."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["g"].to_pylist(), _opened(t["blob"]), strict=True))
-        return messages(f(int(t["bucket"][0].as_py()), rows))
-
-    return dealt(df, "bucket", n).groupBy("bucket").applyInArrow(run, MESSAGE)
+def bundle(to: np.ndarray, of: np.ndarray, blobs: list[bytes]) -> bytes:
+    """Messages side by side: how many, to whom, from whom, their sizes and bytes; compressed."""
+    head = [np.array([len(blobs)], "<u4"), to.astype("<u4"), of.astype("<u4"), np.array([len(x) for x in blobs], "<u4")]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(h.tobytes() for h in head), *blobs]))
+
+
+def unbundled(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """To whom, from whom, sizes and bytes of a bundle's messages."""
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    to, of, size = (np.frombuffer(blob, "<u4", n, 4 + 4 * n * k) for k in range(3))
+    return to, of, size, np.frombuffer(blob, np.uint8, offset=4 + 12 * n)
+
+
+def sent(rows: list[tuple[int, int, bytes]], to: str, n: int, fan: int) -> pa.Table:
+    """Messages (bucket, g, blob) to n receivers, named by the column `to`: a row each, or bundles for `fan` ranges of receivers."""
+    if n <= fan:
+        return messages(rows)
+    out = []
+    if rows:
+        ends = np.array([r[:2] for r in rows], np.int64)
+        who, of = (ends[:, 0], ends[:, 1]) if to == "bucket" else (ends[:, 1], ends[:, 0])
+        order = np.argsort(who, kind="stable")
+        part = who[order] * fan // n
+        for at in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            out.append((int(who[at[0]] * fan // n), int(of[at[0]]), bundle(who[at], of[at], [rows[k][2] for k in at.tolist()])))
+    p, salt, blob = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table([pa.array(p, pa.int32()), pa.array(salt, pa.int32()), pa.array(blob, pa.binary())], ["part", "salt", "blob"])
+
+
+def delivered(df: DataFrame, to: str, n: int, fan: int) -> DataFrame:
+    """Rows that can be grouped by receiver: those that were sent, or (receiver, bundle) made of many senders' bundles."""
+    if n <= fan:
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunked(batches):
+            who, of, size, data = zip(*(unbundled(b) for b in _opened(t["blob"])), strict=True)
+            who, of, size, data = (np.concatenate(x) for x in (who, of, size, data))
+            ends = np.cumsum(size, dtype=np.int64)
+            order = np.argsort(who, kind="stable")
+            raw, out = memoryview(data), []
+            for at in np.split(order, np.flatnonzero(np.diff(who[order])) + 1):
+                out.append((int(who[at[0]]), bundle(who[at], of[at], [bytes(raw[ends[k] - size[k] : ends[k]]) for k in at.tolist()])))
+            yield binary_rows(out, to)
+        give_back()
+
+    # A range's bundles go to several tasks, by their senders.
+    tasks = -(-n // UNBUNDLED)
+    spread = F.pmod("salt", F.lit(max(1, tasks // fan)))
+    return df.repartition(max(tasks, fan), F.col("part"), spread).select("part", "blob").mapInArrow(run, f"`{to}` int, blob binary")
+
+
+def received(t: pa.Table, of: str) -> list[tuple[int, bytes]]:
+    """(sender, blob) of a receiver's rows; a sender may come more than once."""
+    if of in t.column_names:
+        return list(zip(t[of].to_pylist(), _opened(t["blob"]), strict=True))
+    out = []
+    for blob in _opened(t["blob"]):
+        _, senders, size, data = unbundled(blob)
+        ends, raw = np.cumsum(size, dtype=np.int64), data.tobytes()
+        out += [(k, raw[hi - n : hi]) for k, n, hi in zip(senders.tolist(), size.tolist(), ends.tolist(), strict=True)]
+    return out
 
 
 def shared_numbers(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:

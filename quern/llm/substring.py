@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.llm.common import U64, covered, full_windows, owner, spans_hash, split_by, windows_hash, words
-from quern.llm.grouped import NO_ID, Group, Grouped, in_answer, reduced, shared_here, shared_numbers, told_numbers
+from quern.llm.grouped import FAN, NO_ID, Group, Grouped, in_answer, shared_here, shared_numbers, told_numbers
 
 WIDTH = 13
 #: A difference cover for each period: every difference modulo the period is one of two members.
@@ -77,7 +77,7 @@ def least_ids(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, begin
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, period: int = 7, texts: bool = True) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, period: int = 7, texts: bool = True, fan: int = FAN) -> DataFrame:
     """Every row's key, n_words, n_removed, kept (its words left, one space between them) and kept_sha256.
 
     Without `texts`, kept is null.
@@ -88,7 +88,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
     """
     if period not in COVERS or period > width:
         raise ValueError(f"no difference cover for period {period} and width {width}")
-    docs = Grouped(df, key, text)
+    docs = Grouped(df, key, text, fan=fan)
     n = docs.n
 
     def tell_anchors(group: Group):
@@ -146,10 +146,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
             gone = covered(s[hit], width, len(w.starts))
         return results(group, w, gone, texts)
 
-    anchors = docs.tell(tell_anchors)
-    shared = reduced(anchors, shared_numbers, n)
-    windows = docs.hear(shared, tell_windows)
-    answers = reduced(windows, answer_windows, n)
+    shared = docs.reduced(docs.tell(tell_anchors, n), shared_numbers, n)
+    answers = docs.reduced(docs.hear(shared, tell_windows, to=n), answer_windows, n)
     return docs.hear(answers, remove, schema).withColumnRenamed("id", key)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from quern.llm.common import U64, eights, mix, spans_hash, split_by
-from quern.llm.grouped import NO_ID, Group, Grouped, in_answer, reduced, shared_here
+from quern.llm.grouped import FAN, NO_ID, Group, Grouped, in_answer, shared_here
 from quern.llm.suffix import permuted_lcp, suffix_array
 
 WIDTH, GRAM = 50, 16
@@ -185,7 +185,7 @@ def _by_group(shard: int, who: np.ndarray, rows: np.ndarray) -> list[tuple[int,
     return [(shard, int(groups[k]), x.tobytes()) for k, x in split_by(at, len(groups), rows)]
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True, carry: Column | None = None, wide: int = WIDE) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool | str = True, carry: Column | None = None, wide: int = WIDE, fan: int = FAN) -> DataFrame:
     """Every row's key, n_bytes, n_removed, n_spans, kept (the bytes left), kept_text, kept_sha256 and carried.
 
     kept_text is kept without the characters that a removed span cuts in two;
@@ -194,11 +194,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
     n_spans counts maximal removed runs. A null text is empty. Rows with the
     same id do not count against each other; a row with a null id keeps all its
     bytes and is held against none. Other columns of df are ignored, whatever
-    their names. Without `texts`, kept and kept_text are null.
+    their names. Without `texts`, kept and kept_text are null; with "text", kept is.
     """
     if not 8 <= gram <= 16 or not gram < width <= gram + 63:
         raise ValueError("gram is 8 to 16 bytes, and width up to 63 bytes more")
-    docs = Grouped(df, key, text, carry)
+    docs = Grouped(df, key, text, carry, fan)
     n = docs.n
     shards = 4 * n
 
@@ -294,34 +294,37 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
         gone = np.zeros(n_all, bool)
         if answer:
             a = np.frombuffer(b"".join(b for _, b in answer), GONE)
-            base, turn = group.off[a["doc"]] + a["at"], np.zeros(n_all + 1, np.int32)
+            base, turn = group.off[a["doc"]] + a["at"], np.zeros(n_all + 1, np.int32)  # sums stay small, for a window is marked once
             for k in range(64):
                 s = base[(a["mask"] >> U64(k)) & U64(1) > 0] + k
                 np.add.at(turn, s, 1)
                 np.add.at(turn, s + width, -1)
-            gone = np.cumsum(turn[:-1]) > 0
+            gone = np.cumsum(turn, out=turn)[:-1] > 0
         first = gone.copy()
         first[1:] &= ~gone[:-1]
         cut = group.off[1:-1]
         cut = cut[(cut > 0) & (cut < n_all)]
         first[cut] = gone[cut]
-        removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(first)]
-        count, runs = (x[group.off[1:]] - x[group.off[:-1]] for x in (removed, spans))
-        kept, digest = [], []
+        count, runs = (np.zeros(len(group.ids), np.int64) for _ in range(2))
+        some = np.flatnonzero(np.diff(group.off))
+        if len(some):
+            count[some], runs[some] = (np.add.reduceat(x.view(np.uint8), group.off[some], dtype=np.int64) for x in (gone, first))
+        kept, kept_text, digest = [], [], []
         for k in range(len(group.ids)):
             lo, hi = group.off[k], group.off[k + 1]
             own = group.data[lo:hi]
             own = (own[~gone[lo:hi]] if count[k] else own).tobytes()
-            kept.append(own if texts else None)
+            kept.append(own if texts is True else None)
+            kept_text.append(own.decode("utf-8", "ignore") if texts else None)
             digest.append(hashlib.sha256(own).hexdigest())
         return pa.table(
             [
                 group.id_column, pa.array(np.diff(group.off), pa.int64()), pa.array(count, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()),
-                pa.array([k.decode("utf-8", "ignore") if texts else None for k in kept], pa.string()), pa.array(digest), pa.array([c.decode() for c in group.carried], pa.string()),
+                pa.array(kept_text, pa.string()), pa.array(digest), pa.array([c.decode() for c in group.carried], pa.string()),
             ],
             ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", "carried"],
         )
 
-    shared = reduced(docs.tell(tell_keys), _wide_numbers(wide), n)
-    answers = reduced(docs.hear(shared, tell_segments), judge, shards)
+    shared = docs.reduced(docs.tell(tell_keys, n), _wide_numbers(wide), n)
+    answers = docs.reduced(docs.hear(shared, tell_segments, to=shards), judge, shards)
     return docs.hear(answers, remove, schema).withColumnRenamed("id", key)

@@ -43,12 +43,12 @@ def covered(rows, width, cut):
         yield i, w, gone
 
 
-def check_bytes(df, wide=suffix_dedup.WIDE):
+def check_bytes(df, wide=suffix_dedup.WIDE, **more):
     want = Counter()
     for i, w, gone in covered(pairs(df), 50, lambda t: (t or "").encode()):
         left = bytes(x for x, g in zip(w, gone, strict=True) if not g)
         want[i, len(w), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(left).hexdigest()] += 1
-    got = suffix_dedup.dedup(df, wide=wide).collect()
+    got = suffix_dedup.dedup(df, wide=wide, **more).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
@@ -76,6 +76,13 @@ def test_equal_hashes_of_other_bytes_are_told_apart(monkeypatch):
     assert suffix_dedup._least_of_equals(data, begin, end, np.array([3, 2, 3, 2, 1])).tolist() == [True, True, True, False, True]
 
 
+def test_bundles_deliver_the_same(docs):
+    """Many receivers for the fan: messages go in bundles, both ways."""
+    check_bytes(docs, fan=4)
+    plain, bundled = (Counter(map(str, substring.dedup(docs, fan=fan).collect())) for fan in (4096, 5))
+    assert plain == bundled and substring.dedup(docs.limit(0), fan=3).count() == 0
+
+
 def test_words_equal_brute_force(docs):
     want = Counter()
     for i, w, gone in covered(pairs(docs), 13, lambda t: (t or "").encode().split()):
