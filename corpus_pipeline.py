@@ -37,7 +37,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = suffix_dedup.dedup(docs, carry=F.to_json(F.struct(*others)) if others else None)
+    left = suffix_dedup.dedup(docs, texts="text", carry=F.to_json(F.struct(*others)) if others else None)
     kept = left.withColumn("_more", F.from_json("carried", docs.select(*others).schema)) if others else left
     return kept.select(
         *[
