@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import corpus_queries, pipelines, relational_queries, vector_queries, workspace_queries  # noqa: F401
+from quern.plans import corpus_queries, form_queries, pipelines, relational_queries, vector_queries, workspace_queries  # noqa: F401
 from quern.plans.bind import QUERIES, SQL
 
 

@@ -107,4 +107,6 @@ def sealed(column: str, key: bytes):
 
 
 def unsealed(column: str, key: bytes):
-    return F.aes_decrypt(F.unbase64(column), F.lit(key), F.lit("GCM")).cast("string")
+    """The text that was sealed; what cannot be opened, as text stored before there was a key, stays as it is."""
+    opened = F.try_aes_decrypt(F.try_to_binary(F.col(column), F.lit("base64")), F.lit(key), F.lit("GCM"))
+    return F.coalesce(opened.cast("string"), F.col(column))
