@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import fixed
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import clusters, evaluate, patterns, records, relational
+from quern.operators import clusters, context, evaluate, patterns, records, relational
 from quern.plans.bind import TICKETS, query, table, tickets
 from quern.plans.corpus_queries import _list, members
 from quern.plans.vector_queries import vectors
@@ -125,3 +125,44 @@ def sealed_names(spark, sf_dir):
 def query_words(spark, sf_dir):
     """A query's words and their aliases."""
     return spark.createDataFrame([(w,) for w in T.query_tokens("Semantisk SÖKNING, rules: a 42")], "word string")
+
+
+_KINDS = """d AS (SELECT 'd' || p_partkey AS id, 'src/' || p_name AS path, CASE p_partkey % 3 WHEN 0 THEN 'DOC' WHEN 1 THEN 'CODE' ELSE 'ADR' END AS kind, p_type AS excerpt, p_brand AS content FROM part),
+a AS (SELECT 'a' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN ' SRC/' || upper(p_name) ELSE '' END AS path, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS title FROM supplier JOIN part ON p_partkey = s_suppkey),
+r AS (SELECT 'r' || r_regionkey AS id, r_name AS title FROM region), c AS (SELECT 'c' || o_orderkey AS id, 'd' || (o_custkey % 300) AS file_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS name, o_orderstatus AS body FROM orders),
+l AS (SELECT id, list(DISTINCT rule ORDER BY rule) AS rules FROM (SELECT 'd' || n_nationkey AS id, 'r' || n_regionkey AS rule FROM nation UNION ALL SELECT 'd' || n_nationkey * 3, 'r' || (n_regionkey + 1) % 5 FROM nation) GROUP BY 1)"""
+
+
+@query("entity_rows", f"""WITH {_KINDS}, e AS (SELECT id, 'File' AS entity_type, kind, path AS label, path, path || chr(10) || excerpt || chr(10) || content AS text, rules FROM d LEFT JOIN l USING (id) WHERE kind <> 'ADR' OR lower(trim(path)) NOT IN (SELECT lower(trim(path)) FROM a)
+UNION ALL SELECT id, 'Rule', 'RULE', title, '', id || chr(10) || title || chr(10) || 'body', [id] FROM r UNION ALL SELECT id, 'ADR', 'ADR', coalesce(nullif(title, ''), id), path, path || chr(10) || title || chr(10) || 'body', [] FROM a
+UNION ALL SELECT c.id, 'Chunk', 'chunk', coalesce(nullif(name, ''), c.id), coalesce(d.path, ''), coalesce(d.path, '') || chr(10) || name || chr(10) || 'f()' || chr(10) || body, l.rules FROM c LEFT JOIN (SELECT * FROM d WHERE kind = 'CODE') d ON d.id = file_id LEFT JOIN l ON l.id = file_id)
+SELECT id, entity_type, kind, label, path, md5(text) AS text_md5, coalesce(array_to_string(rules, ','), '') AS rules FROM e""")
+def entity_rows(spark, sf_dir):
+    """Files, rules, decisions and parts of code as one relation."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    more = [F.lit("active").alias("status"), F.lit(True).alias("source_of_truth"), F.lit(50.0).alias("trust_level")]
+    at = F.lit("2024-01-01").cast("timestamp")
+    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    kind = F.when(_K % 3 == 0, "DOC").when(_K % 3 == 1, "CODE").otherwise("ADR")
+    documents = p.select(text("d", _K).alias("id"), F.concat(F.lit("src/"), "p_name").alias("path"), kind.alias("kind"), F.col("p_type").alias("excerpt"), F.col("p_brand").alias("content"), *more, at.alias("updated_at"))
+    k = F.col("s_suppkey")
+    adrs = table(spark, sf_dir, "supplier").join(p, _K == k).select(
+        text("a", k).alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" SRC/"), F.upper("p_name"))).otherwise("").alias("path"), F.when(k % 5 == 0, "").otherwise(F.col("s_name")).alias("title"), F.lit("body").alias("body"), *more, at.alias("decision_date")
+    )
+    rules = table(spark, sf_dir, "region").select(text("r", F.col("r_regionkey")).alias("id"), F.col("r_name").alias("title"), F.lit("body").alias("body"), *more, at.alias("updated_at"))
+    o = F.col("o_orderkey")
+    chunks = table(spark, sf_dir, "orders").select(
+        text("c", o).alias("id"), text("d", F.col("o_custkey") % 300).alias("file_id"), F.when(o % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("name"), F.lit("").alias("kind"), F.lit("f()").alias("signature"),
+        F.col("o_orderstatus").alias("body"), *more, at.alias("updated_at"),
+    )
+    own = n.select(text("r", F.col("n_regionkey")).alias("from"), text("d", F.col("n_nationkey")).alias("to"), F.lit("CONSTRAINS").alias("relation"), F.lit("").alias("note"))
+    done = n.select(text("d", F.col("n_nationkey") * 3).alias("from"), text("r", (F.col("n_regionkey") + 1) % 5).alias("to"), F.lit("IMPLEMENTS").alias("relation"), F.lit("").alias("note"))
+    out = context.entities(documents, rules, adrs, chunks, own.union(done))
+    return out.select("id", "entity_type", "kind", "label", "path", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("matched_rules", ",").alias("rules"))
+
+
+@query("part_of_links", "SELECT 'c' || o_orderkey AS \"from\", 'd' || o_custkey AS \"to\", 'PART_OF' AS relation FROM orders WHERE o_orderkey % 4 <> 0")
+def part_of_links(spark, sf_dir):
+    k = F.col("o_orderkey")
+    chunks = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("d"), F.col("o_custkey").cast("string"))).alias("file_id"))
+    return context.part_of(chunks).drop("note")
