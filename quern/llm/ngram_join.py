@@ -265,7 +265,7 @@ def _audited(texts: DataFrame, reps: DataFrame, members: DataFrame, threshold: f
     known = [sets_of.get(k, np.zeros(0, U64)) for k in range(len(drawn))]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for x in batches if x.num_rows):
             data, off = utf8(b.column(1))
             sig = data[: int(off[-1])].reshape(b.num_rows, -1)
             yield pa.record_batch([b.column(0).filter(pa.array(_agree(sig, queries, least).any(1)))], ["cls"])
