@@ -14,7 +14,10 @@ from quern.plans.vector_queries import vectors
 from quern.plans.workspace_queries import _ROWS, sheet
 from quern.sources import readers, sinks
 
-_K = F.col("p_partkey")
+
+def _k():
+    return F.col("p_partkey")
+
 
 # Titles: names are capitalised words; brands hold a #, so they are no names; every branch occurs.
 _TITLE = """t AS (SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN ['TIMS', lower(p_brand)] WHEN 1 THEN ['TIMS', lower(p_brand)] WHEN 2 THEN ['TIMS', 'PubTrans'] WHEN 3 THEN ['Tims'] WHEN 4 THEN ['late bus', 'slow'] WHEN 5 THEN ['slow'] WHEN 6 THEN ['slow'] ELSE [] END AS topics,
@@ -24,12 +27,12 @@ CASE WHEN p_partkey % 8 IN (0, 5) THEN 'fel' END AS action, ['fel', 'tims', spli
 @query("pattern_titles", f"""WITH {_TITLE}, w AS (SELECT *, common[3] AS k FROM t) SELECT id, CASE id % 8 WHEN 0 THEN 'TIMS — fel' WHEN 1 THEN 'TIMS — ' || topics[2] WHEN 2 THEN 'TIMS + PubTrans' WHEN 3 THEN 'Tims — ' || k WHEN 4 THEN 'late bus — slow'
 WHEN 5 THEN 'slow — fel' WHEN 6 THEN 'slow — tims' ELSE CASE WHEN len(top) > 0 THEN 'two words' ELSE 'Mönster (' || n || ' ärenden)' END END AS title FROM w""")
 def pattern_titles(spark, sf_dir):
-    case, brand = _K % 8, F.lower("p_brand")
+    case, brand = _k() % 8, F.lower("p_brand")
     lists = [F.array(F.lit("TIMS"), brand), F.array(F.lit("TIMS"), brand), F.array(F.lit("TIMS"), F.lit("PubTrans")), F.array(F.lit("Tims")), F.array(F.lit("late bus"), F.lit("slow")), F.array(F.lit("slow")), F.array(F.lit("slow")), F.array().cast("array<string>")]
     topics = F.coalesce(*[F.when(case == k, x) for k, x in enumerate(lists)])
-    top = F.when(_K % 16 == 7, F.array(F.lit("two"), F.lit("words"))).otherwise(F.array().cast("array<string>"))
+    top = F.when(_k() % 16 == 7, F.array(F.lit("two"), F.lit("words"))).otherwise(F.array().cast("array<string>"))
     common = F.array(F.lit("fel"), F.lit("tims"), F.split("p_name", " ")[0])
-    return table(spark, sf_dir, "part").select(_K.alias("id"), patterns.title(topics, F.when(case.isin(0, 5), "fel"), common, top, F.col("p_size")).alias("title"))
+    return table(spark, sf_dir, "part").select(_k().alias("id"), patterns.title(topics, F.when(case.isin(0, 5), "fel"), common, top, F.col("p_size")).alias("title"))
 
 
 @query("proper_topics", r"SELECT DISTINCT p_name AS topic, regexp_matches(p_name, '^[A-ZÄÖÅ][a-zäöå]{2,}$') AS proper FROM (SELECT unnest([p_brand, split_part(p_name, ' ', 1), upper(left(p_name, 1)) || split_part(substr(p_name, 2), ' ', 1), p_name]) AS p_name FROM part)")
@@ -43,14 +46,14 @@ def proper_topics(spark, sf_dir):
 def clean_titles(spark, sf_dir):
     """Replies with thoughts, quotes, numbering and labels, and some that are too long."""
     name = F.col("p_name")
-    reply = F.when(_K % 5 == 0, F.repeat(name, 20)).when(_K % 5 == 1, F.concat(F.lit("<think>a\nb</think> "), name)).when(_K % 5 == 2, F.concat(F.lit('"'), name, F.lit("”"))).when(_K % 5 == 3, F.concat(F.lit("12. "), name)).otherwise(F.concat(F.lit("Titel: "), name))
-    return table(spark, sf_dir, "part").select(_K.alias("id"), T.clean_title(reply, F.lit("own")).alias("title"))
+    reply = F.when(_k() % 5 == 0, F.repeat(name, 20)).when(_k() % 5 == 1, F.concat(F.lit("<think>a\nb</think> "), name)).when(_k() % 5 == 2, F.concat(F.lit('"'), name, F.lit("”"))).when(_k() % 5 == 3, F.concat(F.lit("12. "), name)).otherwise(F.concat(F.lit("Titel: "), name))
+    return table(spark, sf_dir, "part").select(_k().alias("id"), T.clean_title(reply, F.lit("own")).alias("title"))
 
 
 @query("json_lists", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '[' || p_size || ', [1]]' END AS list FROM part")
 def json_lists(spark, sf_dir):
-    reply = F.when(_K % 3 == 0, "no list").otherwise(F.concat(F.lit("text ["), F.col("p_size").cast("string"), F.lit(",\x01 [1]] and more")))
-    return table(spark, sf_dir, "part").select(_K.alias("id"), T.json_array(reply).alias("list"))
+    reply = F.when(_k() % 3 == 0, "no list").otherwise(F.concat(F.lit("text ["), F.col("p_size").cast("string"), F.lit(",\x01 [1]] and more")))
+    return table(spark, sf_dir, "part").select(_k().alias("id"), T.json_array(reply).alias("list"))
 
 
 @query("meeting_states", """SELECT o_orderkey AS id, o_orderstatus = 'O' OR o_orderkey % 2 = 0 AS started, o_orderstatus = 'F' AS ended FROM orders""")
@@ -143,10 +146,10 @@ def entity_rows(spark, sf_dir):
     more = [F.lit("active").alias("status"), F.lit(True).alias("source_of_truth"), F.lit(50.0).alias("trust_level")]
     at = F.lit("2024-01-01").cast("timestamp")
     p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    kind = F.when(_K % 3 == 0, "DOC").when(_K % 3 == 1, "CODE").otherwise("ADR")
-    documents = p.select(text("d", _K).alias("id"), F.concat(F.lit("src/"), "p_name").alias("path"), kind.alias("kind"), F.col("p_type").alias("excerpt"), F.col("p_brand").alias("content"), *more, at.alias("updated_at"))
+    kind = F.when(_k() % 3 == 0, "DOC").when(_k() % 3 == 1, "CODE").otherwise("ADR")
+    documents = p.select(text("d", _k()).alias("id"), F.concat(F.lit("src/"), "p_name").alias("path"), kind.alias("kind"), F.col("p_type").alias("excerpt"), F.col("p_brand").alias("content"), *more, at.alias("updated_at"))
     k = F.col("s_suppkey")
-    adrs = table(spark, sf_dir, "supplier").join(p, _K == k).select(
+    adrs = table(spark, sf_dir, "supplier").join(p, _k() == k).select(
         text("a", k).alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" SRC/"), F.upper("p_name"))).otherwise("").alias("path"), F.when(k % 5 == 0, "").otherwise(F.col("s_name")).alias("title"), F.lit("body").alias("body"), *more, at.alias("decision_date")
     )
     rules = table(spark, sf_dir, "region").select(text("r", F.col("r_regionkey")).alias("id"), F.col("r_name").alias("title"), F.lit("body").alias("body"), *more, at.alias("updated_at"))
