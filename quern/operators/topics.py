@@ -9,19 +9,23 @@ from quern.functions import fixed
 from quern.functions import text as T
 from quern.operators.lineage import kept
 
+#: Terms of the band up to which it is broadcast.
+BAND = 1_000_000
 
-def words(df: DataFrame, *by: str) -> DataFrame:
-    """(by, id, w): the words of the text and tags of each record, computed once, in tasks that hold whole records.
 
-    The texts are dealt by id, so that counting terms, and ranking them, needs no
-    shuffle of the terms, which are several times as large.
-    """
+def words(df: DataFrame, *by: str) -> DataFrame:
+    """(by, id, w): the words of the text and tags of each record, computed once."""
     text = T.words_for_topics(F.concat_ws(" ", "text", F.array_join("tags", " ")))
-    return kept(df.select(*by, "id", "text", "tags").repartition("id").select(*by, "id", text.alias("w")))
+    return kept(df.select(*by, "id", text.alias("w")))
 
 
 def terms_of(found: DataFrame, *by: str) -> DataFrame:
-    """(by, id, term, tf, first_pos) of words (by, id, w); unigrams come before bigrams."""
+    """(by, id, term, tf, first_pos) of words (by, id, w); unigrams come before bigrams.
+
+    The words are dealt by id, so that counting terms needs no shuffle of the
+    terms, which are several times as large.
+    """
+    found = found.repartition("id")
     following = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
     each = found.select(*by, "id", F.posexplode(F.arrays_zip(F.col("w").alias("w"), following.alias("n"))).alias("pos", "p"))
     each = each.select(*by, "id", "pos", F.explode(T.topic_terms(F.col("p.w"), F.col("p.n"))).alias("t")).where("t.term is not null")
@@ -51,8 +55,11 @@ def corpus_sizes(df: DataFrame, *by: str) -> DataFrame:
 
 def tf_idf(terms: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
     """terms in the band with their score: tf * ln(n / df), doubled for proper nouns."""
+    band = kept(banded(terms, sizes, *by))
+    # Without a hint the terms might be taken for the smaller side.
+    band = F.broadcast(band) if band.count() <= BAND else band.hint("merge")
     score = F.col("tf") * F.log(F.col("n").cast("double") / F.col("df")) * F.when(T.is_proper_noun(F.col("term")), fixed.PROPER_BOOST).otherwise(1.0)
-    return terms.join(banded(terms, sizes, *by), [*by, "term"]).withColumn("score", score)
+    return terms.join(band, [*by, "term"]).withColumn("score", score)
 
 
 def top_topics(scored: DataFrame, k: int = fixed.TOPIC_COUNT) -> DataFrame:
