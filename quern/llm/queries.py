@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import bpe, html_text, ngram_join, oracles, packing, quality, sharding, sstable, substring, suffix_dedup, vector_graph
+from quern.llm import bpe, collocations, html_text, ngram_join, oracles, packing, personal, prefix_trie, quality, sharding, sstable, substring, suffix_dedup, vector_graph
 
 MULTI_50K, BYTE_50K = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 SHARDS = 40
@@ -56,6 +57,20 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.link(table(spark, sf_dir, "embeddings"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.find(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    rows, ids = prefix_trie.grafted(table(spark, sf_dir, "conversations"), conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+    return prefix_trie.trie(rows, ids).drop("role", "text")
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -68,6 +83,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_substring": op9_substring,
         "op10_vector_graph": op10_vector_graph,
+        "op11_personal_data": op11_personal_data,
+        "op12_collocations": op12_collocations,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
