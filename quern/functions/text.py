@@ -169,6 +169,13 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys([*found, *(fixed.ALIASES[w] for w in found if w in fixed.ALIASES)]))
 
 
+def query_words(c: Column) -> Column:
+    """The same for a column of queries in Unicode form NFKC."""
+    known = F.create_map(*[F.lit(x) for pair in fixed.ALIASES.items() for x in pair])
+    own = tokens(c)
+    return F.array_distinct(F.concat(own, F.filter(F.transform(own, lambda w: known[w]), lambda w: w.isNotNull())))
+
+
 def described_topics(description: Column) -> Column:
     """The topics that a pattern's description lists, in lower case."""
     listed = F.regexp_extract(F.coalesce(description, F.lit("")), f"Ämnen:{SPACE}*([^.]+)", 1)

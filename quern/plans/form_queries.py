@@ -124,10 +124,18 @@ def sealed_names(spark, sf_dir):
     return stored.select("id", sinks.unsealed("stored", key).alias("name"), (F.col("stored") != F.col("s_name")).alias("hidden"))
 
 
-@query("query_words", f"SELECT unnest(['semantisk', 'sökning', 'rules', '42', 'semantic', 'search']) AS word WHERE {_list(fixed.ALIASES)} IS NOT NULL")
+def _aliases() -> str:
+    return "aliases(a, b) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in fixed.ALIASES.items()) + ")"
+
+
+@query("query_words", f"""WITH q AS (SELECT s_suppkey AS id, 'Semantisk SÖKNING, ' || s_name || ': a regel #' || s_nationkey AS q FROM supplier),
+w AS (SELECT id, list_filter(string_split_regex(lower(q), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2) AS w FROM q), {_aliases()}
+SELECT DISTINCT id, word FROM (SELECT id, unnest(w) AS word FROM w UNION ALL SELECT id, b FROM (SELECT id, unnest(w) AS a FROM w) JOIN aliases USING (a))""")
 def query_words(spark, sf_dir):
-    """A query's words and their aliases."""
-    return spark.createDataFrame([(w,) for w in T.query_tokens("Semantisk SÖKNING, rules: a 42")], "word string")
+    """The words of many queries, and their aliases."""
+    s = table(spark, sf_dir, "supplier")
+    q = F.concat(F.lit("Semantisk SÖKNING, "), "s_name", F.lit(": a regel #"), F.col("s_nationkey").cast("string"))
+    return s.select(F.col("s_suppkey").alias("id"), F.explode(T.query_words(q)).alias("word"))
 
 
 _KINDS = """d AS (SELECT 'd' || p_partkey AS id, 'src/' || p_name AS path, CASE p_partkey % 3 WHEN 0 THEN 'DOC' WHEN 1 THEN 'CODE' ELSE 'ADR' END AS kind, p_type AS excerpt, p_brand AS content FROM part),

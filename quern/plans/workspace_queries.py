@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import analytics, entities, evaluate, imports, records, relational, replies
 from quern.plans.bind import TICKETS, query, table, tickets
 from quern.plans.corpus_queries import _ACTIONS_SQL, NOUNS
-from quern.sources import feeds, readers, samples
+from quern.operators.lineage import checkpoint_dir
+from quern.sources import feeds, readers
+from quern.sources.log import TableLog
 
 #: Rows of a spreadsheet over customers, as SQL; the frame below is the same.
 _ROWS = """r AS (SELECT c_custkey AS ordinal, 'C-' || c_custkey AS case_number, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment || ' text' END AS description,
@@ -321,6 +327,19 @@ def group_entities(spark, sf_dir):
     return out.where("s > 0 or a > 0").select("cluster", F.col("s").alias("system_count"), F.col("a").alias("action_count"))
 
 
-@query("sample_records", "SELECT org, count(*) AS n FROM (SELECT [['Sales', 'Store'], ['Finance', 'HR', 'IT'], ['Finance'], ['IT', 'Office']][i % 4 + 1] AS o, i FROM range(5000) t(i)) SELECT o[i % len(o) + 1] AS org, count(*) AS n GROUP BY 1".replace("SELECT org, count(*) AS n FROM (", "FROM ("))
-def sample_records(spark, sf_dir):
-    return samples.generated(spark, 5000, "x", "w").groupBy("org").agg(F.count(F.lit(1)).alias("n"))
+@query("table_versions", """WITH o AS (SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS step, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+v(version) AS (VALUES (1), (2), (3), (4), (5)),
+s AS (SELECT version, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM v JOIN o ON o.step <= least(version, 3) WHERE version < 5 GROUP BY 1 UNION ALL
+  SELECT 5, count(*), CAST(sum(CASE WHEN step = 1 THEN cents + 1 ELSE cents END) AS BIGINT) FROM o)
+SELECT version, CASE version WHEN 4 THEN 'insert' WHEN 5 THEN 'upsert' ELSE 'append' END AS op, n, cents FROM s""")
+def table_versions(spark, sf_dir):
+    """Orders by state, appended commit by commit, then inserted as a whole, then partly put in place of themselves; read back version by version."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    state = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    tables = TableLog(spark, f"{checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}")
+    for k in (1, 2, 3):
+        tables.append({"orders": o.where(state == k)}, keys=["id"])
+    tables.insert("orders", o, ["id"])
+    tables.upsert("orders", o.where(state == 1).withColumn("cents", F.col("cents") + 1), ["id"])
+    rows = [tables.read("orders", v).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).withColumn("version", F.lit(v)) for v in range(1, 6)]
+    return reduce(DataFrame.unionByName, rows).join(tables.history().select("version", "op"), "version").select(F.col("version").cast("int").alias("version"), "op", "n", "cents")

@@ -1,74 +1,44 @@
-"""Writers: versions of tables, append, indexes with a manifest."""
+"""Writers: append, tables with a log of commits, indexes with a manifest."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.log import TableLog
+
 
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     w = df.write.mode("append")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    return jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _text(spark: SparkSession, path: str, text: str | None = None) -> str | None:
-    """Write a small file in one piece: beside its place, then moved there. Without text, read it; None if there is none."""
-    place, files = _files(spark, path)
-    if text is None:
-        if not files.exists(place):
-            return None
-        stream = files.open(place)
-        try:
-            return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-    fresh, _ = _files(spark, f"{path}.{uuid.uuid4().hex}")
-    stream = files.create(fresh, True)
-    stream.write(text.encode())
-    stream.close()
-    files.delete(place, False)
-    files.rename(fresh, place)
+def _text(spark: SparkSession, path: str, text: str) -> str:
+    """Write a small file that says what was done; a later run writes it again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
     return text
 
 
 def replace(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write tables as one new version below folder, then name it in folder/CURRENT.
-
-    Readers that follow CURRENT (see current) see all tables of one version: the
-    old one until the name is there, then the new one. A run that fails before
-    leaves the old version; the version before last is removed.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    for table, df in tables.items():
-        df.write.parquet(f"{folder}/{name}/{table}")
-    before = _text(spark, f"{folder}/CURRENT")
-    names = ([] if before is None else before.split())[-1:] + [name]
-    _text(spark, f"{folder}/CURRENT", " ".join(names))
-    for old in ([] if before is None else before.split())[:-1]:
-        place, files = _files(spark, f"{folder}/{old}")
-        files.delete(place, True)
+    """Tables below folder with these rows alone, all in one commit (see log.TableLog). A run that fails before it leaves what was there."""
+    TableLog(next(iter(tables.values())).sparkSession, folder).replace(tables)
 
 
 def current(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
-    """A table of the version that folder/CURRENT names; None if there is none."""
-    names = _text(spark, f"{folder}/CURRENT")
-    return None if names is None else spark.read.parquet(f"{folder}/{names.split()[-1]}/{table}")
+    """A table as the last commit left it; None if there is none."""
+    return TableLog(spark, folder).read(table)
 
 
 def added(new: dict[str, DataFrame], folder: str) -> None:
-    """A new version with what the tables held and the rows of new: all of them, or none."""
-    spark = next(iter(new.values())).sparkSession
-    held = {k: current(spark, folder, k) for k in new}
-    replace({k: df if held[k] is None else held[k].unionByName(df) for k, df in new.items()}, folder)
+    """Rows of new beside what the tables hold: all of them in one commit, or none. Only the new rows are written."""
+    TableLog(next(iter(new.values())).sparkSession, folder).append(new)
 
 
 def loaded_graph(vertices: dict[str, DataFrame], edges: dict[str, DataFrame], folder: str, now: str) -> dict:

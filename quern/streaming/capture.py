@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import text as T
-from quern.operators import batches, records, relational
-from quern.sources import sinks
+from quern.operators import batches, records
+from quern.operators.lineage import kept
+from quern.sources.log import TableLog
 
 
 def captured(stream: DataFrame) -> DataFrame:
@@ -36,29 +37,34 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def merged_to(stream: DataFrame, folder: str, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Insert what comes in and is not there yet, by keys, into a table of versions below folder; then stop.
+    """Insert what comes in and is not there yet, by keys, into a table with a log below folder; then stop.
 
-    A micro-batch that is run again inserts nothing twice, for its rows are there.
+    A micro-batch writes its new rows alone. One that is run again after a
+    restart is known by its number, and does nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = sinks.current(batch.sparkSession, folder, table)
-        fresh = batch.dropDuplicates(keys)
-        sinks.replace({table: fresh if held is None else relational.insert_absent(held, fresh, keys)}, folder)
+        TableLog(batch.sparkSession, folder).insert(table, batch, keys, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def embedded_to(stream: DataFrame, embed: Callable[[list[str]], list[list[float]]], folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep vectors (id, signature, vector) below folder: records (id, text) that are new, or whose text is, are embedded; then stop."""
+    """Keep vectors (id, signature, vector) below folder: records (id, text) that are new, or whose text is, are embedded; then stop.
+
+    Vectors that change take the place of the old ones in the parts that hold
+    them; the other parts stay as they are.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = sinks.current(spark, folder, "vectors")
+        tables = TableLog(spark, folder)
+        held = tables.read("vectors")
         own = batch.withColumn("signature", F.sha2("text", 256)).dropDuplicates(["id"])
         due = own if held is None else own.join(held.select("id", "signature"), ["id", "signature"], "left_anti")
         empty = spark.createDataFrame([], f"id {dict(batch.dtypes)['id']}, vector array<double>")
-        made = batches.embedded(due.select("id", "text"), embed, empty).join(due.select("id", "signature"), "id").select("id", "signature", "vector")
-        sinks.replace({"vectors": made if held is None else held.join(due.select("id"), "id", "left_anti").unionByName(made)}, folder)
+        # Embedded once: the write reads the rows more than once.
+        made = kept(batches.embedded(due.select("id", "text"), embed, empty).join(due.select("id", "signature"), "id").select("id", "signature", "vector"))
+        tables.upsert("vectors", made, ["id"], (checkpoint, number))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import analytics, batches, context, entities, evaluate, imports, records, relational, replies
-from quern.sources import feeds, readers, samples, sinks
+from quern.sources import feeds, readers, sinks
 from quern.streaming import capture
 
 
@@ -200,12 +200,6 @@ def test_chunks_are_part_of_files(spark):
     assert [(r["from"], r["to"]) for r in got] == [("c", "f")]
 
 
-def test_samples(spark):
-    df = samples.generated(spark, 200, "x", "w")
-    assert df.count() == 200 and df.select("text").distinct().count() == 200 and df.where("person is null or org is null or date is null").count() == 0
-    assert np.all([r["workspace"] == "w" for r in df.collect()])
-
-
 def test_streams_merge(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "id long, text string"
