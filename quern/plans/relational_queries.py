@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import analytics, context, crm, evaluate, relational
+from quern.operators.lineage import checkpoint_dir
+from quern.operators.search_index import SearchIndex
 from quern.plans.bind import NOW, TICKETS, now, query, spread, table, tickets
 from quern.plans.corpus_queries import _list
 from quern.plans.vector_queries import vectors
@@ -335,6 +339,35 @@ def hybrid_search(spark, sf_dir):
     return context.search(entities, rel, _QUERY, now(), 20, vectors=v, query_vector=_ASKED).select(*_SHOWN)
 
 
+#: Indexes of this session by their tables: built once, searched by every query.
+_INDEXES: dict[tuple, SearchIndex] = {}
+
+
+def _index(spark, sf_dir) -> SearchIndex:
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        entities, rel = found(spark, sf_dir)
+        v = vectors(spark, sf_dir).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "vector")
+        made = SearchIndex(spark, f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}")
+        made.build(entities, rel, v)
+        _INDEXES[at] = made
+    return _INDEXES[at]
+
+
+@query("indexed_search", f"WITH {_FOUND}, sem AS (SELECT *, 0.0 AS embedding, lexical AS semantic FROM lexical WHERE lexical >= 0.05) {_SCORE}")
+def indexed_search(spark, sf_dir):
+    """lexical_search from the inverted index."""
+    return _index(spark, sf_dir).search(_QUERY, now(), 20).select(*_SHOWN)
+
+
+@query("indexed_hybrid", f"""WITH {_FOUND}, vec AS (SELECT 'd' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), asked AS (SELECT {_ASKED}::DOUBLE[] AS q),
+sims AS (SELECT id, least(1.0, greatest(0.0, list_dot_product(x, q) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(q, q))))) AS e FROM vec, asked),
+hy AS (SELECT lexical.*, coalesce(e, 0.0) AS embedding FROM lexical LEFT JOIN sims USING (id)), sem AS (SELECT *, CASE WHEN embedding > 0 THEN embedding * 0.75 + lexical * 0.25 ELSE lexical END AS semantic FROM hy WHERE lexical >= 0.05 OR embedding >= 0.2) {_SCORE}""")
+def indexed_hybrid(spark, sf_dir):
+    """hybrid_search from the inverted index."""
+    return _index(spark, sf_dir).search(_QUERY, now(), 20, query_vector=_ASKED).select(*_SHOWN)
+
+
 @query("incremental_embed", """WITH s AS (SELECT doc_id AS id, sha256(left(regexp_replace(trim(text), '\\s+', ' ', 'g'), 7000)) AS signature FROM documents) SELECT id, signature, id % 2 = 0 AND id % 3 = 0 AS reused FROM s""")
 def incremental_embed(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
