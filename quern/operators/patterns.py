@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import fixed, scoring
 from quern.functions import text as T
 from quern.functions import vectors as V
+from quern.operators import set_join
 
 
 def words_of(members: DataFrame) -> DataFrame:
@@ -138,15 +139,11 @@ def linkage(members: DataFrame) -> DataFrame:
 def merge_candidates(patterns: DataFrame, most: int = fixed.MERGE_SIZE, similarity: float = fixed.MERGE_CENTROID, overlap: float = fixed.MERGE_TOPICS) -> DataFrame:
     """(workspace, i, j, similarity, overlap) of patterns (workspace, cluster, centroid, topics, size) of a workspace that may merge.
 
-    Overlap needs a shared topic, so pairs come from an equi-join on workspace
-    and topic; a topic that n patterns share makes n^2 / 2 pairs, and a
-    workspace's patterns are few.
+    Pairs come from a join of similar sets (set_join), by a pattern's rarest
+    topics: a topic that very many patterns share makes no pair of all of them.
     """
-    p = patterns.select("workspace", "cluster", "centroid", "topics", "size")
-    t = p.select("workspace", "cluster", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("t"))
-    pairs = t.alias("a").join(t.alias("b"), (F.col("a.workspace") == F.col("b.workspace")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.cluster") < F.col("b.cluster")))
-    pairs = pairs.select("a.workspace", F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j")).distinct()
-    a, b = p.toDF("workspace", "i", "ci", "ti", "si"), p.toDF("workspace", "j", "cj", "tj", "sj")
+    p = patterns.select("workspace", "cluster", "centroid", "topics", "size").withColumn("_own", F.transform("topics", F.lower))
+    pairs = set_join.similar(p, max(overlap, 1e-9), "workspace", "cluster", "_own")
+    a, b = p.select("workspace", "cluster", "centroid", "size").toDF("workspace", "i", "ci", "si"), p.select("workspace", "cluster", "centroid", "size").toDF("workspace", "j", "cj", "sj")
     out = pairs.join(a, ["workspace", "i"]).join(b, ["workspace", "j"]).where(F.col("si") + F.col("sj") <= most)
-    out = out.select("workspace", "i", "j", V.cosine(F.col("ci"), F.col("cj")).alias("similarity"), V.jaccard(F.col("ti"), F.col("tj")).alias("overlap"))
-    return out.where((F.col("similarity") >= similarity) & (F.col("overlap") >= overlap))
+    return out.select("workspace", "i", "j", V.cosine(F.col("ci"), F.col("cj")).alias("similarity"), "overlap").where(F.col("similarity") >= similarity)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scoring
 from quern.functions import vectors as V
-from quern.operators import analytics, patterns
+from quern.operators import analytics, patterns, set_join
 from quern.plans.bind import TICKETS, query, table
 
 _V = "v AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
@@ -60,6 +60,15 @@ def topic_jaccard(spark, sf_dir):
     return both.select("i", "j", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
+@query("similar_topics", """WITH p AS (SELECT p_partkey AS id, p_size AS size, list_distinct(string_split(lower(p_name), ' ') || [p_brand, lower(p_type)]) AS t FROM part),
+j AS (SELECT a.size, a.id AS i, b.id AS j, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.size = b.size AND a.id < b.id)
+SELECT size, i, j, round(k::DOUBLE / (n + m - k), 6) AS overlap FROM j WHERE k::DOUBLE / (n + m - k) >= 0.3""")
+def similar_topics(spark, sf_dir):
+    """Parts of one size whose words overlap by .3 or more, by the join of similar sets."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.concat(F.split(F.lower("p_name"), " "), F.array("p_brand", F.lower("p_type"))).alias("t"))
+    return set_join.similar(p, 0.3, "size", "id", "t").select("size", "i", "j", F.round("overlap", 6).alias("overlap"))
+
+
 @query("trend", """WITH d AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events), m AS (SELECT user_id, event_type, min(t) AS lo, max(t) AS hi, count(*) AS n FROM d GROUP BY 1, 2),
 e AS (SELECT user_id, event_type, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n, count(*) FILTER ((t - lo) * 2 <= hi - lo) AS early FROM d JOIN m USING (user_id, event_type) GROUP BY 1, 2)
 SELECT user_id, event_type, n, CASE WHEN n < 3 OR hi - lo < 604800000000 THEN 'ISOLATED' WHEN n - early >= early * 2 THEN 'ESCALATING' ELSE 'RECURRING' END AS trend FROM e""")
