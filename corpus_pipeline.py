@@ -30,21 +30,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.passed(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: How values that JSON has no form for are written, so that they are read back as they were.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timeZone": "UTC"}
+
+
+def _named(name: str):
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ngram_join.join(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    kept = ngram_join.join(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct().alias("kept_ids")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_ids._id")), "left_semi")
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = suffix_dedup.dedup(docs, texts="text", carry=F.to_json(F.struct(*others)) if others else None)
-    kept = left.withColumn("_more", F.from_json("carried", docs.select(*others).schema)) if others else left
-    return kept.select(
-        *[
-            F.col("doc_id") if c == "doc_id" else F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col("_more")[c].alias(c)
-            for c in docs.columns
-        ]
-    )
+    carried = docs.select(*[_named(c).alias(f"c{k}") for k, c in enumerate(others)]).schema
+    left = suffix_dedup.dedup(docs, texts="text", carry=F.to_json(F.struct(*[_named(c).alias(f"c{k}") for k, c in enumerate(others)]), EXACT) if others else None)
+    kept = left.withColumn("_more", F.from_json("carried", carried, EXACT)) if others else left
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    made |= {c: F.col("_more")[f"c{k}"] for k, c in enumerate(others)}
+    return kept.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
