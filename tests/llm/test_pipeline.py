@@ -3,6 +3,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 from conftest_llm import pairs
+from pyspark.sql import functions as F
 from test_near import components, grams
 from test_substrings import covered
 
@@ -64,3 +65,19 @@ def test_queries_equal_sql(spark, name):
     got = queries.queries()[name](spark, DIR).toPandas()
     rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy().tolist()))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_columns_stay_as_they_are(spark, docs):
+    """Stages that rewrite or drop rows keep every other column's values: microseconds, bytes, decimals, NaN, odd names, and `_id`."""
+    more = docs.where("doc_id is not null").select(
+        "doc_id", "text", F.timestamp_micros(F.lit(1_700_000_000_123_456) + F.col("doc_id")).alias("at"), F.expr("timestamp_ntz'1850-01-02 03:04:05.678901'").alias("local"), F.encode(F.lit("a\x00ÿ"), "utf-8").alias("raw"),
+        F.lit("12345678901234567890.123456789").cast("decimal(38,9)").alias("sum"), F.lit(float("nan")).alias("odd.name"), F.lit(float("-inf")).cast("float").alias("a`b"), F.lit(7).alias("_id"), F.lit(None).cast("string").alias("none"),
+        F.struct(F.lit(0.1).alias("x"), F.to_date(F.lit("1582-10-04")).alias("day")).alias("deep"), F.lit("kept").alias("carried"), F.lit(1).alias("_more"),
+    )
+    plain = lambda df: {r[0]: str(r[2:]) for r in df.collect()}
+    want = plain(more)
+    for stage in (corpus_pipeline.ngram_jaccard, corpus_pipeline.suffix_array):
+        out = stage(spark, more, "")
+        assert out.columns == more.columns and out.dtypes == more.dtypes
+        got = plain(out)
+        assert got and got == {k: want[k] for k in got}
