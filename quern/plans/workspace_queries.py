@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import analytics, entities, evaluate, imports, records, relational, replies
+from quern.operators import analytics, batches, entities, evaluate, imports, records, relational, replies
 from quern.plans.bind import TICKETS, query, table, tickets
 from quern.plans.corpus_queries import _ACTIONS_SQL, NOUNS
 from quern.operators.lineage import checkpoint_dir
@@ -343,3 +344,68 @@ def table_versions(spark, sf_dir):
     tables.upsert("orders", o.where(state == 1).withColumn("cents", F.col("cents") + 1), ["id"])
     rows = [tables.read("orders", v).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).withColumn("version", F.lit(v)) for v in range(1, 6)]
     return reduce(DataFrame.unionByName, rows).join(tables.history().select("version", "op"), "version").select(F.col("version").cast("int").alias("version"), "op", "n", "cents")
+
+
+#: Batches of parts by key, and whether a batch's reply is broken: its first text says so.
+_PASS = """p AS (SELECT p_partkey AS id, p_name AS text, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part), b AS (SELECT *, k // {n} AS batch, k % {n} AS place, first_value(length(text)) OVER (PARTITION BY k // {n} ORDER BY k) % 5 = 0 AS broken FROM p)"""
+
+
+def _placed(spark, sf_dir, task):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return batches.assembled(parts, batches.SIZES[task])
+
+
+def _model(answer):
+    """A model that answers each text of a batch, in a list with words around it; for some batches the list is broken."""
+
+    def call(texts: list[str]) -> str:
+        body = json.dumps([answer(k, t) for k, t in enumerate(texts)])
+        return "Here: " + (body[:-1] + ", {]" if len(texts[0]) % 5 == 0 else body) + " done"
+
+    return call
+
+
+@query("normalise_pass", f"WITH {_PASS.format(n=40)} SELECT id, upper(text) AS content FROM b WHERE NOT broken AND length(text) % 3 <> 0")
+def normalise_pass(spark, sf_dir):
+    """Texts as a model rewrites them, in batches of 40; an empty answer changes nothing."""
+    placed = _placed(spark, sf_dir, "normalise")
+    return replies.normalised(batches.asked(placed, _model(lambda k, t: "" if len(t) % 3 == 0 else t.upper())), placed)
+
+
+@query("tag_pass", f"""WITH {_PASS.format(n=25)}, t AS (SELECT id, string_split(text, ' ')[1] AS name FROM b WHERE NOT broken UNION SELECT id, 'part' FROM b WHERE NOT broken),
+old AS (SELECT id, 'part' AS name FROM b WHERE id % 2 = 0) SELECT 'tag' AS kind, name, NULL::BIGINT AS id FROM (SELECT DISTINCT name FROM t) WHERE name <> 'part' UNION ALL SELECT 'link', name, id FROM t WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.id = t.id AND old.name = t.name)""")
+def tag_pass(spark, sf_dir):
+    """Tags and links that a model adds, in batches of 25; answers for records of other batches do not count."""
+    placed = _placed(spark, sf_dir, "tag").withColumn("text", F.concat_ws("|", F.col("id").cast("string"), "text"))
+    answer = lambda k, t: {"id": t.split("|")[0] if k >= 0 else "", "tags": [t.split("|")[1].split(" ")[0] + " ", "part"]}
+
+    def call(texts: list[str]) -> str:
+        broken = len(texts[0].split("|", 1)[1]) % 5 == 0
+        body = json.dumps([answer(k, t) for k, t in enumerate(texts)] + [{"id": "0", "tags": ["nobody"]}])
+        return body[:-1] + ", {]" if broken else body
+
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    new = replies.tag_tables(replies.tagged(batches.asked(placed, call), placed), spark.createDataFrame([("part",)], "name string"), ids.where("id % 2 = 0").withColumn("name", F.lit("part")))
+    return new["tags"].select(F.lit("tag").alias("kind"), "name", F.lit(None).cast("long").alias("id")).unionByName(new["links"].select(F.lit("link").alias("kind"), "name", "id"))
+
+
+@query("suggest_pass", f"WITH {_PASS.format(n=8)} SELECT id, unnest(['try ' || text, 'or not']) AS content FROM b WHERE NOT broken AND place % 2 = 0")
+def suggest_pass(spark, sf_dir):
+    """Suggestions for every second pattern of a batch of 8, by its place."""
+    placed = _placed(spark, sf_dir, "suggest")
+    answer = lambda k, t: {"patternIndex": k if k % 2 == 0 else 99, "suggestions": [f"try {t}", "or not"]}
+    return replies.suggested(batches.asked(placed, _model(answer)), placed).select("id", "content")
+
+
+@query("polished_titles", f"""WITH {_PASS.format(n=8)} SELECT id, CASE WHEN NOT broken AND length(text) % 3 <> 0 THEN 'new ' || text WHEN length(text) % 2 = 0 THEN 'one ' || text ELSE text END AS title,
+CASE WHEN NOT broken AND length(text) % 3 <> 0 THEN 'batch' WHEN length(text) % 2 = 0 THEN 'single' ELSE 'original' END AS source FROM b""")
+def polished_titles(spark, sf_dir):
+    """Titles from batches, from single calls where these failed, else as they were."""
+    titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_name").alias("prompt"))
+
+    def one(prompt: str) -> str:
+        if len(prompt) % 2:
+            raise RuntimeError("no answer")
+        return f'"one {prompt}"'
+
+    return replies.polished(titles, _model(lambda k, t: "" if len(t) % 3 == 0 else f"new {t}"), one)
