@@ -11,6 +11,8 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +83,29 @@ def present(spark: SparkSession, folder: str, required: list[str], optional: lis
     return [name for name in optional if not there(name)]
 
 
+#: Spark's conditions for what a store does not give.
+UNREAD = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE", "LOAD_DATA_PATH_NOT_EXISTS")
+
+
 def chosen(graph: Callable[[], dict[str, DataFrame]], cache: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], str]:
-    """Per kind the graph's rows where it has some, else the cache's; all of the cache's, and why, if the graph cannot be read."""
+    """Per kind the graph's rows where it has some, else the cache's; all of the cache's, and why, if the graph cannot be read.
+
+    Only what the store does counts: files that are not there or cannot be read.
+    A mistake in the caller's plan is raised.
+    """
     try:
         found = graph()
         return {k: first_not_empty(found[k], own) if k in found else own for k, own in cache.items()}, ""
-    except Exception as e:  # the store is another system; the cache serves on
+    except OSError as e:  # the store is another system; the cache serves on
+        return dict(cache), f"graph not read: {e}"
+    except PySparkException as e:
+        if not str(e.getCondition() or "").startswith(UNREAD):
+            raise
         return dict(cache), f"graph not read: {e}"
+    except Py4JJavaError as e:
+        if "java.io." not in str(e.java_exception):
+            raise
+        return dict(cache), f"graph not read: {e.java_exception}"
 
 
 def model_of(index: DataFrame) -> str | None:

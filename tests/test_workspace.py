@@ -100,6 +100,8 @@ def test_graph_else_cache(spark):
 
     found, why = readers.chosen(broken, cache)
     assert found["b"].count() == 3 and "down" in why
+    with pytest.raises(Exception, match="nope"):  # a mistake in the caller's plan is no matter of the store
+        readers.chosen(lambda: {"a": spark.range(1).select("nope")}, cache)
 
 
 def test_files_and_statements(spark, tmp_path):
