@@ -107,6 +107,31 @@ def scored(members: DataFrame, topics: DataFrame) -> DataFrame:
     return out.withColumn("topics", F.slice("topics", 1, 5)).drop("common", "top", "dates", "action")
 
 
+def by_entities(members: DataFrame, titled: DataFrame) -> DataFrame:
+    """A row per cluster of members (cluster, pos from 0, id, text, person, date), described by what they name.
+
+    titled is (cluster, size, systems, title) with systems as structs (name, n).
+    The scope counts persons; confidence asks for a system. Evidence is the first
+    three members, ids and reporters are in the order of pos, entities the three
+    commonest systems. Only three texts of a cluster are collected.
+    """
+    shown = F.when(F.col("pos") < 3, F.struct("pos", "text", F.coalesce(F.nullif("person", F.lit("")), F.lit("Okänd")).alias("person")))
+    base = members.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.nullif("person", F.lit("")).alias("person"), "date"))).alias("m"), F.array_sort(F.collect_list(shown)).alias("e"))
+    people = F.array_distinct(F.filter(F.transform("m", lambda x: x["person"]), lambda p: p.isNotNull()))
+    out = base.join(titled, "cluster").select(
+        "cluster", "title", F.col("size").alias("count"), F.transform("m", lambda x: x["id"]).alias("ids"), people.alias("reporters"), F.slice("systems", 1, 3).alias("_systems"),
+        F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["person"].alias("person"))).alias("evidence"), scoring.trend(F.transform("m", lambda x: x["date"])).alias("trend"),
+    )
+    out = out.withColumn("scope", scoring.scope(F.lit(0), F.size("reporters"))).withColumn("confidence", scoring.confidence(F.col("count"), F.size("_systems") > 0))
+    out = out.withColumn("pattern_type", scoring.pattern_type(F.col("scope"), F.col("trend"))).withColumn("entities", F.transform("_systems", lambda x: x["name"]))
+    listed = F.array_join(F.transform("_systems", lambda x: F.concat(x["name"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
+    describe = F.concat_ws(
+        ". ", F.concat(F.col("count").cast("string"), F.lit(" ärenden")), F.concat(F.lit("System: "), F.nullif(listed, F.lit(""))), F.concat(F.lit("Scope: "), "scope"),
+        F.concat(F.lit("Trend: "), "trend"), F.concat(F.lit("Rapportörer: "), F.array_join(F.slice("reporters", 1, 5), ", ")),
+    )
+    return out.withColumn("description", F.concat(describe, F.lit("."))).drop("_systems")
+
+
 def numbered_titles(df: DataFrame, order: list[str], title_: str = "title", person: str = "person", by: tuple[str, ...] = ()) -> DataFrame:
     """Titles that several rows (of one `by`) share get the person (first two) or their number (later ones)."""
     w = Window.partitionBy(*by, title_)
