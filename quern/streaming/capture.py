@@ -68,3 +68,26 @@ def embedded_to(stream: DataFrame, embed: Callable[[list[str]], list[list[float]
         tables.upsert("vectors", made, ["id"], (checkpoint, number))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tickets_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the last form of every ticket (connection_id, ticket_id, at, category) of a stream of feeds in table tickets below folder; then stop.
+
+    Of forms of a ticket the one of the latest time stays, ties by category;
+    tickets without an id are told apart by nothing, so the last one stays.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keys, form = ["connection_id", "ticket_id"], F.struct("at", "category")
+        tables = TableLog(spark, folder)
+        # A feed is asked once: the write reads the rows more than once.
+        new = kept(batch.groupBy(*keys).agg(F.max(form).alias("_new")))
+        held = tables.read("tickets")
+        if held is not None:
+            n, h = new.alias("n"), held.select(*keys, form.alias("_old")).alias("h")
+            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+            new = n.join(h, same, "left").select("n.*", "_old").where("_old is null or _new > _old").drop("_old")
+        tables.upsert("tickets", new.select(*keys, "_new.at", "_new.category"), keys, (checkpoint, number))
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
