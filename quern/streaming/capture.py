@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import text as T
 from quern.operators import batches, records
-from quern.operators.lineage import kept
+from quern.operators.lineage import kept, stored
 from quern.sources.log import TableLog
 
 
@@ -82,7 +82,7 @@ def tickets_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
         keys, form = ["connection_id", "ticket_id"], F.struct("at", "category")
         tables = TableLog(spark, folder)
         # A feed is asked once: the write reads the rows more than once.
-        new = kept(batch.groupBy(*keys).agg(F.max(form).alias("_new")))
+        new = stored(batch.groupBy(*keys).agg(F.max(form).alias("_new")))
         held = tables.read("tickets")
         if held is not None:
             n, h = new.alias("n"), held.select(*keys, form.alias("_old")).alias("h")
