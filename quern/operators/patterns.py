@@ -77,13 +77,15 @@ def evidence(members: DataFrame, texts: DataFrame, order: str, k: int = 3) -> Da
 
 
 def scored(members: DataFrame, topics: DataFrame) -> DataFrame:
-    """A row per cluster of members (cluster, pos, id, text, person, org, date) with topics (cluster, topics).
+    """A row per cluster of members (cluster, pos from 0, id, text, person, org, date) with topics (cluster, topics).
 
-    ids, evidence (the first three) and reporters are in the order of pos.
+    ids, evidence (the first three) and reporters (those who have a name) are in
+    the order of pos. Only three texts of a cluster are collected.
     """
-    listed = F.array_sort(F.collect_list(F.struct("pos", "id", "text", "person", "date")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "id", F.nullif("person", F.lit("")).alias("person"), "date")))
+    shown = F.when(F.col("pos") < 3, F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.nullif("person", F.lit("")), F.lit("Okänd")).alias("person")))
     base = members.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("count"), F.count_distinct(F.nullif("org", F.lit(""))).alias("orgs"), F.count_distinct(F.nullif("person", F.lit(""))).alias("persons"), listed.alias("m")
+        F.count(F.lit(1)).alias("count"), F.count_distinct(F.nullif("org", F.lit(""))).alias("orgs"), F.count_distinct(F.nullif("person", F.lit(""))).alias("persons"), listed.alias("m"), F.array_sort(F.collect_list(shown)).alias("e")
     )
     out = base.join(topics, "cluster", "left").join(action_words(members), "cluster", "left")
     words = ranked_words(members, 0.4)
@@ -93,8 +95,8 @@ def scored(members: DataFrame, topics: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     out = out.select(
         "cluster", "count", "orgs", "persons", F.coalesce("topics", empty).alias("topics"), "action", F.coalesce("common", empty).alias("common"), F.coalesce("top", empty).alias("top"),
-        F.transform("m", lambda x: x["id"]).alias("ids"), F.transform(F.slice("m", 1, 3), lambda x: F.struct(x["text"].alias("text"), F.coalesce(x["person"], F.lit("Okänd")).alias("person"))).alias("evidence"),
-        F.array_distinct(F.transform("m", lambda x: x["person"])).alias("reporters"), F.transform("m", lambda x: x["date"]).alias("dates"),
+        F.transform("m", lambda x: x["id"]).alias("ids"), F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["person"].alias("person"))).alias("evidence"),
+        F.array_distinct(F.filter(F.transform("m", lambda x: x["person"]), lambda p: p.isNotNull())).alias("reporters"), F.transform("m", lambda x: x["date"]).alias("dates"),
     )
     out = out.withColumn("scope", scoring.scope(F.col("orgs"), F.col("persons"))).withColumn("trend", scoring.trend(F.col("dates")))
     out = out.withColumn("confidence", scoring.confidence(F.col("count"), F.size("topics") > 0)).withColumn("pattern_type", scoring.pattern_type(F.col("scope"), F.col("trend")))
@@ -115,7 +117,7 @@ def by_entities(members: DataFrame, titled: DataFrame) -> DataFrame:
     three members, ids and reporters are in the order of pos, entities the three
     commonest systems. Only three texts of a cluster are collected.
     """
-    shown = F.when(F.col("pos") < 3, F.struct("pos", "text", F.coalesce(F.nullif("person", F.lit("")), F.lit("Okänd")).alias("person")))
+    shown = F.when(F.col("pos") < 3, F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.nullif("person", F.lit("")), F.lit("Okänd")).alias("person")))
     base = members.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.nullif("person", F.lit("")).alias("person"), "date"))).alias("m"), F.array_sort(F.collect_list(shown)).alias("e"))
     people = F.array_distinct(F.filter(F.transform("m", lambda x: x["person"]), lambda p: p.isNotNull()))
     out = base.join(titled, "cluster").select(

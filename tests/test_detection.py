@@ -86,3 +86,15 @@ def test_linkage_is_the_average_of_pairs(spark):
     want = np.mean([unit[i] @ unit[j] for i in range(8) for j in range(i + 1, 8)])
     got = patterns.linkage(df).collect()
     assert len(got) == 1 and got[0]["n"] == 28 and abs(got[0]["linkage"] - want) < 1e-12
+
+
+def test_descriptions(spark):
+    """Reporters without a name are none, also among the first five; five topics are named; three texts are shown."""
+    people = [None, "", "a", "b", "a", "c", "d", "e", "f"]
+    rows = [(1, k, k, None if k == 1 else f"text {k}", p, "", f"2024-01-{1 + k:02d}") for k, p in enumerate(people)] + [(2, 0, 20, "x", "", "o", None), (2, 1, 21, "y", None, "o", None)]
+    m = spark.createDataFrame(rows, "cluster int, pos int, id long, text string, person string, org string, date string").withColumn("date", F.col("date").cast("timestamp"))
+    topics = spark.createDataFrame([(1, list("uvwxyz"))], "cluster int, topics array<string>")
+    got = {r["cluster"]: r for r in patterns.scored(m, topics).collect()}
+    assert got[1]["description"] == "9 ärenden. Ämnen: u, v, w, x, y. Scope: CROSS_TEAM. Trend: RECURRING. Rapportörer: a, b, c, d, e."
+    assert got[2]["description"] == "2 ärenden. Scope: SINGLE. Trend: ISOLATED. Rapportörer: ." and got[1]["topics"] == list("uvwxy")
+    assert [tuple(e) for e in got[1]["evidence"]] == [("text 0", "Okänd"), ("", "Okänd"), ("text 2", "a")] and got[1]["ids"] == list(range(9))
