@@ -189,8 +189,12 @@ def initials(name: Column) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    """Bytes as B, whole KB, or MB with a decimal."""
-    kb, mb = F.round(n / 1024, 0).cast("long").cast("string"), F.format_string("%.1f", n / 1048576)
+    """Bytes as B, whole KB, or MB with a decimal; what lies just between two decimals goes to the even one, as C's printf has it."""
+    kb = F.round(n / 1024, 0).cast("long").cast("string")
+    # In whole numbers, for Java's format rounds such a half up.
+    tenths, rest = F.floor(n * 10 / 1048576), F.pmod(n * 10, F.lit(1048576))
+    tenths = tenths + F.when((rest > 524288) | ((rest == 524288) & (F.pmod(tenths, F.lit(2)) == 1)), 1).otherwise(0)
+    mb = F.concat_ws(".", F.floor(tenths / 10).cast("string"), F.pmod(tenths, F.lit(10)).cast("string"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 
