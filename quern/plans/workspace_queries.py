@@ -381,7 +381,9 @@ def tag_pass(spark, sf_dir):
 
     def call(texts: list[str]) -> str:
         broken = len(texts[0].split("|", 1)[1]) % 5 == 0
-        body = json.dumps([answer(k, t) for k, t in enumerate(texts)] + [{"id": "0", "tags": ["nobody"]}])
+        # The greatest id of the batch and one more: never a record of this batch, whatever ids there are.
+        other = str(max(int(t.split("|")[0]) for t in texts) + 1)
+        body = json.dumps([answer(k, t) for k, t in enumerate(texts)] + [{"id": other, "tags": ["nobody"]}])
         return body[:-1] + ", {]" if broken else body
 
     ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
