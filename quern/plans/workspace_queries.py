@@ -13,7 +13,7 @@ from quern.functions import text as T
 from quern.operators import analytics, batches, entities, evaluate, imports, records, relational, replies
 from quern.plans.bind import TICKETS, query, table, tickets
 from quern.plans.corpus_queries import _ACTIONS_SQL, NOUNS
-from quern.operators.lineage import checkpoint_dir
+from quern.operators.lineage import checkpoint_dir, kept
 from quern.sources import feeds, readers
 from quern.sources.log import TableLog
 
@@ -321,8 +321,8 @@ SELECT c.cluster, coalesce(top.n, 0) AS system_count, coalesce(atop.n, 0) AS act
 def group_entities(spark, sf_dir):
     """How many members name the system, and the action, that a cluster's title is made of."""
     t = tickets(spark, sf_dir).withColumn("cluster", F.floor(F.col("id") / 5)).withColumn("pos", F.col("id"))
-    signed = entities.extracted(t)
-    titles = entities.group_titles(t, signed).select("cluster", F.get("systems", 0).alias("system"), F.get("actions", 0).alias("action"))
+    signed = kept(entities.extracted(t))
+    titles = entities.group_entities(t, signed).select("cluster", F.get("systems", 0)["name"].alias("system"), F.get("actions", 0)["name"].alias("action"))
     both = t.select("id", "cluster").join(signed, "id").join(titles, "cluster")
     out = both.groupBy("cluster").agg(F.count_if(F.array_contains("systems", F.col("system"))).alias("s"), F.count_if(F.array_contains("actions", F.col("action"))).alias("a"))
     return out.where("s > 0 or a > 0").select("cluster", F.col("s").alias("system_count"), F.col("a").alias("action_count"))
