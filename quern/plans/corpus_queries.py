@@ -96,19 +96,17 @@ def term_freq(spark, sf_dir):
 
 @query("doc_freq", f"WITH {TICKETS}, {TERMS} SELECT term, df FROM dfs")
 def doc_freq(spark, sf_dir):
-    return topics.document_counts(topics.term_counts(tickets(spark, sf_dir)))
+    return topics.document_counts(tickets(spark, sf_dir))
 
 
 @query("df_band", f"WITH {TICKETS}, {TERMS} SELECT term, df FROM band")
 def df_band(spark, sf_dir):
-    w = topics.words(tickets(spark, sf_dir))
-    return topics.banded(topics.terms_of(w), topics.corpus_sizes(w)).select("term", "df")
+    return topics.banded(tickets(spark, sf_dir))
 
 
 @query("tfidf", f"WITH {TICKETS}, {TERMS} SELECT id, term, tf, round(score, 6) AS score FROM scored")
 def tfidf(spark, sf_dir):
-    w = topics.words(tickets(spark, sf_dir))
-    return topics.tf_idf(topics.terms_of(w), topics.corpus_sizes(w)).select("id", "term", "tf", F.round("score", 6).alias("score"))
+    return topics.tf_idf(tickets(spark, sf_dir)).select("id", "term", "tf", F.round("score", 6).alias("score"))
 
 
 @query("tfidf_top5", f"WITH {TICKETS}, {TERMS} SELECT t.id, coalesce(array_to_string(topics, ','), '') AS topics, CASE WHEN topics IS NULL THEN 'UNKNOWN' ELSE array_to_string(topics[1:3], '|') END AS signature FROM tickets t LEFT JOIN topics USING (id)")
