@@ -55,9 +55,16 @@ def centroid_pairs(spark, sf_dir):
 @query("topic_jaccard", """WITH p AS (SELECT p_partkey AS id, p_brand AS brand, p_size AS size, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part)
 SELECT a.id AS i, b.id AS j, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM p a JOIN p b ON a.brand = b.brand AND a.size = b.size AND a.id < b.id""")
 def topic_jaccard(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.split("p_name", " ").alias("t"))
-    both = p.toDF("i", "p_brand", "p_size", "a").join(p.toDF("j", "p_brand", "p_size", "b"), ["p_brand", "p_size"]).where("i < j")
-    return both.select("i", "j", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    """Every pair is a row; overlaps are computed once for each two different names of a brand and size."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.coalesce(F.concat(F.lit("="), "p_name"), F.lit("")).alias("t"))
+    names = p.select("p_brand", "p_size", "t").distinct()
+    words = names.select("p_brand", "p_size", "t", F.split(F.when(F.col("t") != "", F.substring("t", 2, 2**31 - 1)), " ").alias("w"))
+    two = words.toDF("p_brand", "p_size", "a", "x").join(words.toDF("p_brand", "p_size", "b", "y"), ["p_brand", "p_size"])
+    # As in SQL, a missing first name gives none, a missing second one 0.
+    overlap = F.when(F.col("x").isNotNull(), F.round(V.jaccard(F.col("x"), F.col("y")), 6))
+    two = two.select("p_brand", "p_size", "a", "b", overlap.alias("jaccard"))
+    both = p.toDF("i", "p_brand", "p_size", "a").join(two, ["p_brand", "p_size", "a"]).join(p.toDF("j", "p_brand", "p_size", "b"), ["p_brand", "p_size", "b"])
+    return both.where("i < j").select("i", "j", "jaccard")
 
 
 @query("similar_topics", """WITH p AS (SELECT p_partkey AS id, p_size AS size, list_distinct(string_split(lower(p_name), ' ') || [p_brand, lower(p_type)]) AS t FROM part),
