@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import scoring
 from quern.functions import vectors as V
 from quern.operators import analytics, patterns, set_join
+from quern.operators.lineage import kept
 from quern.plans.bind import TICKETS, query, table
 
 _V = "v AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
@@ -17,17 +20,60 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
 
 
-def pairs(spark, sf_dir):
-    """Similarities within a cluster: the equi-key bounds what meets. Vectors get their length once, not for each pair."""
-    sized = vectors(spark, sf_dir).withColumn("size", F.sqrt(V.dot(F.col("vector"), F.col("vector"))))
-    a = sized.select("id", "cluster", F.transform("vector", lambda x: F.when(F.col("size") > 0, x.cast("double") / F.col("size")).otherwise(0.0)))
-    both = a.toDF("i", "cluster", "x").join(a.toDF("j", "cluster", "y"), "cluster").where("i < j")
-    return both.select("cluster", "i", "j", V.dot(F.col("x"), F.col("y")).alias("sim"))
+#: Vectors of a cluster that a task multiplies with as many others.
+BLOCK = 4096
+
+
+def pairs(v, digits: int):
+    """(cluster, i, j, sim) for all i < j of a cluster of v (id, cluster, vector): cosines to so many digits, 0 for zero vectors, null for missing ones and other lengths.
+
+    A cluster is dealt into blocks; each two blocks meet in one place, where a
+    matrix product gives all their pairs. Vectors get length 1 once.
+    """
+    spark, kinds = v.sparkSession, dict(v.dtypes)
+    v = v.where("id is not null and cluster is not null").select("cluster", "id", F.col("vector").cast("array<double>").alias("vector"))
+    v = v.withColumn("width", F.when(F.col("vector").isNull() | F.exists("vector", lambda x: x.isNull()), -1).otherwise(F.size("vector")))
+    count = v.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    v = v.join(count, "cluster").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        width = t["width"][0].as_py()
+        x = np.array(t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, width) if width > 0 else np.zeros((t.num_rows, 0))
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x = np.divide(x, size, out=np.zeros_like(x), where=~(size <= 0))
+        return pa.table({"cluster": t["cluster"][:1], "name": [f"{t['b'][0]}/{width}"], "width": pa.array([width], pa.int32()), "ids": [t["id"].to_numpy().astype("<i8").tobytes()], "xs": [x.tobytes()]})
+
+    packed = kept(v.groupBy("cluster", "b", "width").applyInArrow(pack, f"cluster {kinds['cluster']}, name string, width int, ids binary, xs binary"))
+    # Few bytes become many rows, so tiles are dealt by number.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tiles = packed.toDF("cluster", "a", "wa", "ia", "xa").join(packed.toDF("cluster", "b", "wb", "ib", "xb"), "cluster").where("a <= b").repartition(n, "cluster", "a", "b")
+
+    def run(batches):
+        for t in batches:
+            for k in range(t.num_rows):
+                row = {c: t.column(t.schema.names.index(c))[k].as_py() for c in t.schema.names}
+                left, right = np.frombuffer(row["ia"], "<i8"), np.frombuffer(row["ib"], "<i8")
+                known = row["wa"] == row["wb"] >= 0
+                x, y = (np.frombuffer(row[c], "<f8").reshape(len(i), max(row["wa"], 0)) if known else None for c, i in (("xa", left), ("xb", right)))
+                for lo in range(0, len(left), 64):
+                    i, j = np.broadcast_arrays(left[lo : lo + 64, None], right[None, :])
+                    keep = i < j if row["a"] == row["b"] else i != j
+                    sim = None
+                    if known:
+                        # Half away from zero, as SQL rounds.
+                        sim = (x[lo : lo + 64] @ y.T)[keep] * 10.0**digits
+                        whole = np.trunc(sim)
+                        sim = (whole + np.copysign(np.abs(sim - whole) >= 0.5, sim)) / 10.0**digits + 0.0
+                    i, j = i[keep], j[keep]
+                    cluster = pa.array([row["cluster"]], t.schema.field("cluster").type).take(pa.array(np.zeros(len(i), np.int32)))
+                    yield pa.record_batch([cluster, pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(sim) if known else pa.nulls(len(i), pa.float64())], ["cluster", "i", "j", "sim"])
+
+    return tiles.mapInArrow(run, f"cluster {kinds['cluster']}, i long, j long, sim double")
 
 
 @query("pair_similarity", _PAIRS + " SELECT cluster, i, j, round(sim, 4) + 0.0 AS sim FROM pairs")
 def pair_similarity(spark, sf_dir):
-    return pairs(spark, sf_dir).select("cluster", "i", "j", (F.round("sim", 4) + F.lit(0.0)).alias("sim"))
+    return pairs(vectors(spark, sf_dir), 4)
 
 
 @query("avg_linkage", _PAIRS + " SELECT cluster, round(avg(sim), 8) AS linkage, count(*) AS n FROM pairs GROUP BY 1")
