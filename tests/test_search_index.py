@@ -59,3 +59,38 @@ def test_add_and_reload(spark, data, tmp_path):
     assert reader.log.read("texts").count() == entities.count()
     index.build(entities.where("id in ('d1', 'd2')"), rel)
     assert {r["id"] for r in reader.search("red blue the search rules x1 zeta", now(), 20, True).collect()} <= {"d1", "d2"}
+
+
+def test_a_token_is_a_row_for_many_entities(spark, data, tmp_path):
+    entities, rel, vectors = data
+    index = SearchIndex(spark, f"file://{tmp_path}/i")
+    index.build(entities.coalesce(1), rel, vectors)
+    postings = index.log.read("postings")
+    assert postings.count() == postings.select("token").distinct().count()
+    want = entities.select("id", F.explode(F.array_distinct(search_index.T.tokens(search_index.T.nfkc(F.coalesce("text", F.lit(""))))))).groupBy("col").count()
+    assert {(r["token"], r["n"]) for r in postings.select("token", F.size("places").alias("n")).collect()} == {tuple(r) for r in want.collect()}
+    # Texts are written in place: no sort, no exchange.
+    plan = index._tables(entities.coalesce(1), rel, vectors, None)["texts"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_inverted_over_blocks_and_batches(monkeypatch):
+    monkeypatch.setattr(search_index, "TOGETHER", 40)
+    random.seed(5)
+    rows = {n: sorted({random.choice("abcdefgh") for _ in range(random.randint(0, 6))}) for n in [*range(32760, 32780), *range((1 << 33) + 65530, (1 << 33) + 65540), (7 << 33) + 98303]}
+    batches = [search_index.pa.RecordBatch.from_pydict({"number": list(x), "tokens": search_index.pa.array([rows[n] for n in x], search_index.pa.list_(search_index.pa.string()))}) for x in (list(rows)[:9], list(rows)[9:10], list(rows)[10:])]
+    got = [(t, (b << search_index.PLACE) + p) for out in search_index.inverted(iter(batches)) for t, b, places in zip(*(out[c].to_pylist() for c in ("token", "block", "places")), strict=True) for p in places]
+    assert sorted(got) == sorted((t, n) for n, tokens in rows.items() for t in tokens)
+    assert list(search_index.inverted(iter([]))) == []
+
+
+def test_two_adds_give_the_same_numbers(spark, data, tmp_path):
+    entities, rel, vectors = data
+    index = SearchIndex(spark, f"file://{tmp_path}/i")
+    index.build(entities.where("id = 'd1'"), rel)
+    both = [index._tables(entities.where(f"pmod(hash(id), 2) = {k} and id <> 'd1'").coalesce(1), rel, None, 16) for k in (0, 1)]
+    for tables in both:
+        del tables["settings"]
+        index.log.append(tables, by={"postings": "folder"})
+    want = context.search(entities, rel, "red the zeta", now(), 20)
+    assert list(map(tuple, index.search("red the zeta", now(), 20).collect())) == list(map(tuple, want.collect()))
