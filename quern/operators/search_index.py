@@ -35,8 +35,8 @@ from quern.sources.log import TableLog
 FOLDER_BYTES, FOLDERS, SPREAD = 256 << 20, 16, 4
 #: Candidates and finalists up to which their facts and texts are read by their numbers, in so many ranges; more are joined.
 NAMED, RANGES = 1000, 32
-#: Bits of a number that are its place in its block (a short), bits of a row's place in its partition, tokens that are put in order together.
-PLACE, ROW, TOGETHER = 15, 33, 4_000_000
+#: Bits of a number that are its place in its block (a short), tokens that are put in order together.
+PLACE, TOGETHER = 15, 4_000_000
 
 FACTS = ["degree", "trust_level", "source_of_truth", "updated_at", "live"]
 SHOWN = ["entity_type", "kind", "label", "path", "status", "snippet", "matched_rules"]
@@ -110,7 +110,7 @@ class SearchIndex:
 
         def facts(done: dict[str, DataFrame]) -> DataFrame:
             rows = done["texts"].join(context.degrees(relations), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
-            return rows.select("batch", "number", *FACTS).repartition(F.shiftright("number", ROW)).sortWithinPartitions("number")
+            return rows.select("batch", "number", *FACTS).repartitionByRange("number").sortWithinPartitions("number")
 
         def near(done: dict[str, DataFrame]) -> DataFrame:
             none = self.spark.createDataFrame([], f"id {dict(entities.dtypes)['id']}, vector array<double>")
