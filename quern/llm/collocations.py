@@ -15,6 +15,10 @@ by following these pointers: joins of the frequent phrases alone.
 
 A chunk sends each word or pair once, however often it holds it, so a word that
 makes up a third of all text costs a row per chunk, and no key is hot.
+
+What a task holds is bounded by its chunk: a chunk ends after so many bytes, words
+or distinct words, and its texts are looked at a few MB at a time. Only a piece
+longer than that, without punctuation or line end, is looked at as a whole.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from quern.llm.common import _M1, U64, chunked, give_back, mix, one_array, small
 
 #: A place in a chunk's list is one long: the chunk above, the place in PLACE bits below; chunks are numbered within a task in CHUNK bits.
 PLACE, CHUNK = 31, 12
+#: Bytes of text looked at together; words of a chunk, and words in all its parts' lists, after which a new one begins.
+PART_BYTES, WORDS, LISTED = 2 << 20, 4 << 20, 1 << 20
 #: Parts in which a language's phrases are ranked before its best are ranked together.
 SALTS = 32
 
@@ -53,16 +59,16 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     ends = np.flatnonzero(inside & (np.r_[~inside[1:], True] | edge[1:])) + 1
     counts = np.diff(np.searchsorted(starts, off))
     of = np.repeat(np.arange(len(off) - 1), counts)
-    breaks = np.r_[0, np.cumsum(stop)]
+    breaks = np.cumsum(stop, dtype=np.int32)
     follows = np.zeros(len(starts), bool)
-    follows[:-1] = (of[1:] == of[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
+    follows[:-1] = (of[1:] == of[:-1]) & (breaks[starts[1:] - 1] == breaks[ends[:-1] - 1])
     return starts, ends, of, follows
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, number, count) of the distinct (words, of): where each occurs first, the number of every word, and occurrences.
 
-    Words with equal hashes are told apart by a second hash, and by their bytes
+    They are numbered as they first occur. Words with equal hashes are told apart by a second hash, and by their bytes
     if that ever finds two.
     """
     salt = mix((of.astype(U64) + U64(1)) * _M1)
@@ -72,49 +78,108 @@ def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.nda
         raw, seen = data.tobytes(), {}
         number = np.array([seen.setdefault((raw[s:e], k), len(seen)) for s, e, k in zip(starts.tolist(), ends.tolist(), of.tolist(), strict=True)], np.int64)
         _, first, count = np.unique(number, return_index=True, return_counts=True)
-    return first, number, count
+    order = np.argsort(first)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return first[order], rank[number], count[order]
+
+
+def _cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of spans that ascend and don't overlap, one after another."""
+    turn = np.zeros(len(data) + 1, np.int8)
+    turn[starts] += 1
+    turn[ends] -= 1
+    return data[np.cumsum(turn[:-1], dtype=np.int8).view(bool)]
+
+
+def _windows(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where to cut texts into parts of about PART_BYTES: at ends of texts and after what parts pieces, so that no piece is cut."""
+    lo, n, most = 0, int(off[-1]), PART_BYTES
+    while lo < n:
+        hi = min(lo + most, n)
+        breaks = np.flatnonzero(_BREAK[data[lo:hi]])
+        cut = max(int(off[np.searchsorted(off, hi, "right") - 1]), lo + int(breaks[-1]) + 1 if len(breaks) else 0)
+        if cut > lo:
+            yield lo, cut
+            lo, most = cut, PART_BYTES
+        else:
+            most *= 2
+
+
+def _united(held: list[tuple]) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of several parts (bytes, sizes, languages, counts) made one, and their sequences (places in all parts' lists) joined: (words, languages, counts, sequence)."""
+    texts, sizes, langs, counts, sequences = zip(*held, strict=True)
+    data, size, lang = np.concatenate([*texts, np.zeros(8, np.uint8)]), np.concatenate(sizes), np.concatenate(langs)
+    ends = np.cumsum(size)
+    starts = ends - size
+    first, number, _ = _distinct(data, starts, ends, lang)
+    count = np.zeros(len(first), np.int64)
+    np.add.at(count, number, np.concatenate(counts))
+    # The last, at -1, is what parts pieces.
+    place = np.append(number, -1).astype("<i4")
+    sequence = np.concatenate([place[s] for s in sequences])
+    offsets = np.r_[0, np.cumsum(size[first])].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(_cut_out(data, starts[first], ends[first])))
+    return words, lang[first], count, sequence
+
+
+def _lists(t: pa.Table) -> Iterator[tuple[pa.StringArray, pa.StringArray, np.ndarray, np.ndarray]]:
+    """Of texts (lang, text): distinct words, their languages and counts, and the sequence of places in that list; -1 parts pieces.
+
+    Texts are looked at by parts, of which only the distinct words are held, and
+    four bytes a word for the sequence. There is more than one list if there are
+    over WORDS words, or parts have over LISTED distinct ones: what is held
+    depends neither on how short or varied words are nor on how long a text is.
+    """
+    langs = one_array(t["lang"]).dictionary_encode()
+    by_row = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    data, off = utf8(t["text"])
+    held, words, listed = [], 0, 0
+    for lo, hi in _windows(data, off):
+        part, row = data[lo:hi], int(np.searchsorted(off, lo, "right")) - 1
+        part[(part >= 65) & (part <= 90)] += 32
+        starts, ends, of, follows = tokens(data[lo : hi + 8], np.clip(off[row : np.searchsorted(off, hi) + 1], lo, hi) - lo)
+        lang = by_row[row + of]
+        first, number, count = _distinct(data[lo : hi + 8], starts, ends, lang)
+        sequence = np.insert((number + listed).astype("<i4"), np.flatnonzero(~follows) + 1, -1)
+        held.append((_cut_out(part, starts[first], ends[first]), (ends - starts)[first], lang[first], count, sequence))
+        words, listed = words + len(starts), listed + len(first)
+        if words >= WORDS or listed >= LISTED or hi == off[-1]:
+            found, lang, count, sequence = _united(held)
+            yield found, langs.dictionary.take(pa.array(lang)), count, sequence
+            held, words, listed = [], 0, 0
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (lang, text): a row for each distinct word of a chunk (at, lang, word, n), and one with the chunk's sequence of places; -1 parts pieces."""
     task, k = TaskContext.get().partitionId(), 0
     pack = zstandard.ZstdCompressor(level=1)
-    for t in chunked(batches):
-        data, off = utf8(t["text"])
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        langs = one_array(t["lang"]).dictionary_encode()
-        starts, ends, of, follows = tokens(data, off)
-        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of] if len(of) else of
-        first, number, count = _distinct(data, starts, ends, lang)
-        raw, at = data.tobytes(), ((task << CHUNK) + k) << PLACE
-        words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sequence = np.insert(number, np.flatnonzero(~follows) + 1, -1).astype("<i4")
-        n, k = len(words), k + 1
-        rows = [pa.array(at + np.arange(n)), langs.dictionary.take(pa.array(lang[first])), pa.array(words, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64)), pa.nulls(n, pa.binary())]
+    names = ["at", "lang", "word", "n", "seq"]
+    for words, lang, count, sequence in (found for t in chunked(batches) for found in _lists(t)):
+        n, at, k = len(words), ((task << CHUNK) + k) << PLACE, k + 1
+        rows = [pa.array(at + np.arange(n)), lang, words, pa.array(count), pa.nulls(n, pa.binary())]
         last = [pa.array([at]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([pack.compress(sequence.tobytes())], pa.binary())]
-        names = ["at", "lang", "word", "n", "seq"]
         yield pa.record_batch(rows, names)
         yield pa.record_batch(last, names)
     give_back()
 
 
-def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a sequence of names (-1: none): its distinct adjacent pairs (left, right), their counts, and for each place the number of its pair or -1."""
-    known = (ids[:-1] >= 0) & (ids[1:] >= 0) if len(ids) else np.zeros(0, bool)
-    here = np.flatnonzero(known)
-    names, small = np.unique(ids, return_inverse=True)
-    key = small[here].astype(np.int64) * len(names) + small[here + 1]
-    key, number, count = np.unique(key, return_inverse=True, return_counts=True)
-    places = np.full(len(ids), -1, np.int64)
-    places[here] = number
-    return names[key // max(len(names), 1)], names[key % max(len(names), 1)], count, places
-
-
-def _renamed(places: np.ndarray, at: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Names in place of places in a chunk's list; -1 for what has none."""
-    table = np.full(int(max(places.max(initial=-1), at.max(initial=-1))) + 2, -1, np.int64)
-    table[at] = names
-    return table[places]
+def _pairs(places: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sequence of places in a list and the names of that list (-1: none; the last is no place's): its distinct adjacent pairs of names (left, right), their counts, and for each place the number of its pair or -1."""
+    known = (named >= 0)[places]
+    here = np.flatnonzero(known[:-1] & known[1:])
+    key = places[here].astype(np.int64)
+    key *= len(named)
+    key += places[here + 1]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    out = np.full(len(places), -1, np.int32)
+    out[here[order]] = np.cumsum(new, dtype=np.int32) - 1
+    begin = np.flatnonzero(new)
+    key = key[begin]
+    return named[key // len(named)], named[key % len(named)], np.diff(np.r_[begin, len(order)]), out
 
 
 def _level(t: pa.Table, names: pa.Table) -> pa.Table:
@@ -122,11 +187,13 @@ def _level(t: pa.Table, names: pa.Table) -> pa.Table:
     if t.num_rows == 0:
         return pa.table({"at": pa.array([], pa.int64()), "left": pa.array([], pa.int64()), "right": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     chunk = int(t["chunk"][0].as_py())
-    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(t["seq"][0].as_py()), "<i4").astype(np.int64)
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(t["seq"][0].as_py()), "<i4")
     level, at, name = (names[c].to_numpy() for c in ("level", "place", "id"))
     for k in range(1, int(level.max(initial=1)) + 1):
         of = level == k
-        left, right, count, places = _pairs(_renamed(places, at[of], name[of]))
+        named = np.full(int(max(places.max(initial=-1), at.max(initial=-1))) + 2, -1, np.int64)
+        named[at[of]] = name[of]
+        left, right, count, places = _pairs(places, named)
     give_back()
     return pa.table({"at": (chunk << PLACE) + np.arange(len(left)), "left": left, "right": right, "n": count.astype(np.int64)})
 

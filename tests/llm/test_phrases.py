@@ -3,9 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +106,51 @@ def test_equal_hashes_are_told_apart(spark, monkeypatch):
     assert len(first) == 8 and sorted(count.tolist()) == [1] * 6 + [2] * 2 and number[0] == number[6] != number[8]
 
 
+def test_parts_of_a_chunk_are_one_list(monkeypatch):
+    """Texts cut to parts of a few bytes, and lists that end after a few words: the same pieces, and each word of a language once in a list."""
+    random.seed(7)
+    rows = [(random.choice(["en", "de"]), " ".join(random.choices(["A", "b", "c\tD", "Éa", "e,", "f.", ".", "g\n", "long" * 9], k=random.randint(0, 40)))) for _ in range(60)] + [("de", ""), ("en", "x " * 300), ("en", None)]
+    t = pa.table({"lang": [a for a, _ in rows], "text": pa.array([b for _, b in rows], pa.string())})
+    lower = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+    want = [(lang, w) for lang, text in rows for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(lower)) if (w := re.findall("[^\x20\x09]+", piece))]
+    for part, words, listed in ((2 << 20, 4 << 20, 1 << 20), (11, 4 << 20, 1 << 20), (11, 50, 1 << 20), (300, 4 << 20, 25)):
+        for name, most in (("PART_BYTES", part), ("WORDS", words), ("LISTED", listed)):
+            monkeypatch.setattr(collocations, name, most)
+        got, lists = [], 0
+        for word, lang, count, sequence in collocations._lists(t):
+            listing, lists = list(zip(lang.to_pylist(), word.to_pylist(), strict=True)), lists + 1
+            assert len(set(listing)) == len(listing) and count.tolist() == np.bincount(sequence[sequence >= 0]).tolist() and sequence[-1] == -1
+            for piece in np.split(sequence, np.flatnonzero(sequence < 0)):
+                held = [listing[k] for k in piece[piece >= 0]]
+                got += [(held[0][0], [w for _, w in held])] if held else []
+        assert got == want and (lists > 1) == (words == 50 or listed == 25)
+
+
+@pytest.mark.parametrize("letters", [1, 5])
+def test_memory_of_a_chunk(monkeypatch, letters):
+    """16 MB of short words, and of words that are nearly all different, in one text: tasks held 30 and 54 times that."""
+    monkeypatch.setattr(collocations, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    text = np.random.default_rng(1).integers(97, 123, (16 << 20) // (letters + 1) * (letters + 1), np.uint8)
+    text[letters :: letters + 1] = 32
+    text[letters :: 20 * (letters + 1)] = 10
+    batch, most, chunks = pa.record_batch({"lang": ["en"], "text": [text.tobytes().decode()]}), 0, []
+    tracemalloc.start()
+    try:
+        for b in collocations._read(iter([batch])):
+            chunks.append(b)
+        most = tracemalloc.get_traced_memory()[1]
+        for words, last in zip(chunks[::2], chunks[1::2], strict=True):
+            n = words.num_rows
+            at = last["at"].to_numpy() >> collocations.PLACE
+            names = pa.table({"chunk": np.repeat(at, n), "level": np.ones(n, int), "place": np.arange(n), "id": np.arange(n)})
+            tracemalloc.reset_peak()
+            collocations._level(pa.table({"chunk": at, "seq": last["seq"]}), names)
+            most = max(most, tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert most < 24 * len(text)
+
+
 def placed(rows):
     by = {}
     for c, t, r, x in rows:
