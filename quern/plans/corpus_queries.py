@@ -106,7 +106,7 @@ def df_band(spark, sf_dir):
 
 @query("tfidf", f"WITH {TICKETS}, {TERMS} SELECT id, term, tf, round(score, 6) AS score FROM scored")
 def tfidf(spark, sf_dir):
-    return topics.tf_idf(tickets(spark, sf_dir)).select("id", "term", "tf", F.round("score", 6).alias("score"))
+    return topics.tf_idf(tickets(spark, sf_dir)).select("id", "term", "tf", (F.round(F.col("score") * 1e6) / 1e6).alias("score"))
 
 
 @query("tfidf_top5", f"WITH {TICKETS}, {TERMS} SELECT t.id, coalesce(array_to_string(topics, ','), '') AS topics, CASE WHEN topics IS NULL THEN 'UNKNOWN' ELSE array_to_string(topics[1:3], '|') END AS signature FROM tickets t LEFT JOIN topics USING (id)")
