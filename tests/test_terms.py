@@ -35,8 +35,8 @@ def test_terms_are_not_shuffled(spark, monkeypatch):
     assert {r["topics"][0] for r in topics.corpus_topics(df).collect()} == {"SAP0", "SAP1", "SAP2"}
 
 
-def test_counts_meet_their_terms_in_any_order(spark, monkeypatch):
-    """The texts of a slice, asked in one order, are told in another, as when several executors send them."""
+def _turned(spark, monkeypatch):
+    """Records, from whose slices terms are asked in one order of texts and told in another, as when several executors send them; and how to turn it on."""
     df = spark.createDataFrame([(k, f"alpha{k % 5} beta{k % 7} gamma{k % 11} SAP{k % 3}", ["x"]) for k in range(200)], "id long, text string, tags array<string>").repartition(3, "id")
     asked = topics._asked
 
@@ -44,10 +44,22 @@ def test_counts_meet_their_terms_in_any_order(spark, monkeypatch):
         rows, back, buckets = asked(df, by)
         return rows.orderBy(F.desc("id")), back, buckets
 
-    monkeypatch.setattr(topics, "_asked", turned)
+    return df, lambda: monkeypatch.setattr(topics, "_asked", turned)
+
+
+def test_counts_meet_their_terms_in_any_order(spark, monkeypatch):
+    df, turn = _turned(spark, monkeypatch)
+    turn()
     counts = {r["term"]: r["df"] for r in topics.document_counts(df).collect()}
     band = {r["term"] for r in topics.banded(df).collect()}
     got = topics.tf_idf(df).collect()
     assert {r["term"] for r in got} == band
     for r in got:
         assert abs(r["score"] - r["tf"] * np.log(200 / counts[r["term"]]) * (2 if r["term"].startswith("SAP") else 1)) < 1e-9
+
+
+def test_topics_of_records_in_any_order(spark, monkeypatch):
+    df, turn = _turned(spark, monkeypatch)
+    want = topics.corpus_topics(df).orderBy("id").collect()
+    turn()
+    assert topics.corpus_topics(df).orderBy("id").collect() == want
