@@ -63,3 +63,11 @@ def test_topics_of_records_in_any_order(spark, monkeypatch):
     want = topics.corpus_topics(df).orderBy("id").collect()
     turn()
     assert topics.corpus_topics(df).orderBy("id").collect() == want
+
+
+def test_topics_of_clusters_in_any_order(spark, monkeypatch):
+    df, turn = _turned(spark, monkeypatch)
+    scores = lambda: topics.cluster_scores(topics.corpus_topics(df), df.selectExpr("id", "id % 2 as cluster")).orderBy("cluster", "topic").collect()
+    want = scores()
+    turn()
+    assert scores() == want
