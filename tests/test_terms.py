@@ -71,3 +71,11 @@ def test_topics_of_clusters_in_any_order(spark, monkeypatch):
     want = scores()
     turn()
     assert scores() == want
+
+
+def test_pruned_topics_in_any_order(spark, monkeypatch):
+    df, turn = _turned(spark, monkeypatch)
+    pruned = lambda: topics.cluster_topics(topics.corpus_topics(df), df.selectExpr("id", "id % 2 as cluster")).orderBy("cluster").collect()
+    want = pruned()
+    turn()
+    assert pruned() == want
